@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from tesserae.llm.byte_bpe import op5_byte_bpe
 from tesserae.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tesserae.llm.token_sstable import op3_token_sstable
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op3_token_sstable": op3_token_sstable,
+        "op5_byte_bpe": op5_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict:
