@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from tesserae.llm.byte_bpe import op5_byte_bpe
 from tesserae.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tesserae.llm.langid import op9_langid
 from tesserae.llm.token_sstable import op3_token_sstable
+from tesserae.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_token_sstable": op3_token_sstable,
         "op5_byte_bpe": op5_byte_bpe,
+        "op9_langid": op9_langid,
     }
 
 
