@@ -181,7 +181,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = S
         pdf = pdf.sort_values(["lang", "doc_id", "text"], kind="stable")
         return pd.DataFrame({"model": [pickle.dumps(fit(pdf["text"].tolist(), pdf["lang"].tolist()))]})
 
-    found = sample.select("doc_id", "lang", "text").groupBy(F.lit(0)).applyInPandas(run, "model binary").collect()
+    found = sample.select("doc_id", "lang", "text").groupBy().applyInPandas(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else fit([], [])
 
 

@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
         pdf = pdf.sort_values(["doc_id", "toxic", "text"], kind="stable", na_position="first")
         return pd.DataFrame({"model": [pickle.dumps(fit([t if isinstance(t, str) else None for t in pdf["text"]], pdf["toxic"].to_numpy(), prior))]})
 
-    found = sample.groupBy(F.lit(0)).applyInPandas(run, "model binary").collect()
+    found = sample.groupBy().applyInPandas(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else fit([], np.zeros(0), prior)
 
 
