@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tesserae.llm.byte_bpe import op5_byte_bpe
 from tesserae.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tesserae.llm.exact_topk import OP10_SQL, op10_exact_topk
 from tesserae.llm.langid import op9_langid
 from tesserae.llm.token_sstable import op3_token_sstable
 from tesserae.llm.toxicity import op2_toxicity
@@ -16,8 +17,9 @@ def queries() -> dict:
         "op3_token_sstable": op3_token_sstable,
         "op5_byte_bpe": op5_byte_bpe,
         "op9_langid": op9_langid,
+        "op10_exact_topk": op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_exact_topk": OP10_SQL}
