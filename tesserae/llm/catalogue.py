@@ -6,8 +6,10 @@ from tesserae.llm.byte_bpe import op5_byte_bpe
 from tesserae.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tesserae.llm.exact_topk import OP10_SQL, op10_exact_topk
 from tesserae.llm.langid import op9_langid
+from tesserae.llm.mixing import op8_mixing
 from tesserae.llm.token_sstable import op3_token_sstable
 from tesserae.llm.toxicity import op2_toxicity
+from tesserae.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict:
@@ -16,10 +18,12 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_token_sstable": op3_token_sstable,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_warc": op6_warc,
+        "op8_mixing": op8_mixing,
         "op9_langid": op9_langid,
         "op10_exact_topk": op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op10_exact_topk": OP10_SQL}
