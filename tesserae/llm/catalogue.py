@@ -6,6 +6,7 @@ from tesserae.llm.byte_bpe import op5_byte_bpe
 from tesserae.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tesserae.llm.exact_topk import OP10_SQL, op10_exact_topk
 from tesserae.llm.langid import op9_langid
+from tesserae.llm.minhash_forest import op4_minhash_forest
 from tesserae.llm.mixing import op8_mixing
 from tesserae.llm.token_sstable import op3_token_sstable
 from tesserae.llm.toxicity import op2_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_token_sstable": op3_token_sstable,
+        "op4_minhash_forest": op4_minhash_forest,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_warc": op6_warc,
         "op8_mixing": op8_mixing,
