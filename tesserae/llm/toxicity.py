@@ -16,6 +16,7 @@ toxic labels (0 without labels).  All documents are scored, whole.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,32 +30,28 @@ from tesserae.llm.common import require
 ORDERS = (4, 5, 6)
 BITS = 20
 KEPT = 1 << 12
-SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = 2500
+SAMPLE_CHARS = 10_000
 
 
-def present(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, by text; `wanted`: a place for each bucket, -1 to leave it."""
-    docs, feats = [], []
+def pairs(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (text, feature) pairs, some texts at a time; `wanted`: a place for each bucket, -1 to leave it."""
     for at, part in portions(texts):
         batch = TextBatch(part)
         owner = batch.owner()
         keys = []
         for order in ORDERS:
             f = batch.grams(order, BITS)
-            if wanted is None:
-                ok = owner >= 0
-                keys.append(owner[ok].astype(np.int64) << 32 | f[ok])
-            else:
-                place = wanted[f]
-                ok = (place >= 0) & (owner >= 0)
-                keys.append(owner[ok].astype(np.int64) << 32 | place[ok])
+            place = f if wanted is None else wanted[f]
+            ok = (owner >= 0) if wanted is None else (place >= 0) & (owner >= 0)
+            keys.append(owner[ok].astype(np.int64) << 32 | place[ok])
         keys = np.unique(np.concatenate(keys))
-        docs.append((keys >> 32) + at)
-        feats.append(keys & 0xFFFFFFFF)
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(docs), np.concatenate(feats)
+        yield (keys >> 32) + at, keys & 0xFFFFFFFF
+
+
+def present(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *pairs(texts, wanted)]
+    return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
 
 
 class NbLinear:
@@ -75,10 +72,11 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, rounds: int =
     if not 0 < prior < 1 or not 0 < labels.sum() < len(labels):
         bias = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
         return NbLinear(np.full(1 << BITS, -1, np.int32), np.zeros(0), bias)
-    docs, feats = present(texts)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    p = np.bincount(feats, labels[docs], 1 << BITS)
-    q = np.bincount(feats, 1 - labels[docs], 1 << BITS)
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for docs, feats in pairs(texts):
+        p += np.bincount(feats, labels[docs], 1 << BITS)
+        q += np.bincount(feats, 1 - labels[docs], 1 << BITS)
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     share = (p + q) / (n1 + n0)
     z = np.abs(p / n1 - q / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
@@ -87,8 +85,7 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, rounds: int =
     kept = np.sort(kept[z[kept] > 4])
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    ok = place[feats] >= 0
-    rows, cols = docs[ok], place[feats[ok]]
+    rows, cols = present(texts, place)
     r = ratio[kept]
     values = r[cols]
     weights, bias = np.zeros(len(kept)), 0.0
@@ -152,6 +149,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sampl
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample) -> DataFrame:
+    """`docs` with all its columns, less the rows whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels.where(~held_out(F.col("doc_id"))), **sample))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
