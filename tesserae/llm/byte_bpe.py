@@ -38,9 +38,7 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n == 0:
         return []
-    size = 1
-    while size < n:
-        size *= 2
+    size = n  # a tree of any size: every leaf's ancestors end at the root, and least is symmetric
     tree = [NONE] * (2 * size)
     rank = ranks.get
     for i in range(n - 1):
@@ -158,15 +156,22 @@ def loaded(path: str, pattern: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids: the texts' token ids."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: the texts' token ids and the digests of round_trip_digests()."""
 
     def run(batches):
         bpe = loaded(path, pattern)
+        sha = hashlib.sha256
         for batch in batches:
-            ids = [bpe.encode(t or "")[0] for t in _texts(batch)]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return require(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                coded = [bpe.encode(t or "") for t in _texts(part)]
+                ids = [x for x, _ in coded]
+                yield pa.record_batch(
+                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([sha(s.encode()).hexdigest() for _, s in coded]), pa.array([sha(bpe.decode(x)).hexdigest() for x in ids])],
+                    names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+                )
+
+    return require(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def _texts(batch):

@@ -118,3 +118,19 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values])
 
 
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str, bits: int = 1 << 27) -> DataFrame:
+    """`rows` whose key isn't among `dropped` (one column, `key`); rows with a null key stay.
+
+    A bit filter of fixed size tells most rows apart where they are read; only rows that it
+    may hold are shuffled to meet the keys themselves.
+    """
+    built = build_filter(dropped, key, bits)
+    block, bit = bit_address(F.col(key), bits)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flagged = rows.withColumn("_at", block).join(F.broadcast(built.withColumnRenamed("_block", "_at")), "_at", "left")
+    flagged = flagged.withColumn("_may", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
+    clear = flagged.where(~F.col("_may")).select(*rows.columns)
+    doubtful = flagged.where("_may").select(*rows.columns).join(dropped.select(key).distinct(), key, "left_anti")
+    return clear.unionByName(doubtful.select(*rows.columns))
