@@ -33,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn, once for each copy, shard by shard in the shards' shuffled order."""
     dealt = mixing.deal(mixing.draw(docs)).select(F.col("doc_id").alias("_d"), "shard", "place")
-    drawn = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return drawn.repartition(F.col("shard")).sortWithinPartitions("shard", "place").select(*docs.columns)
+    held = docs.select("doc_id", F.struct("*").alias("row"))  # no column of the row can clash
+    drawn = held.join(dealt, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return drawn.repartition(F.col("shard")).sortWithinPartitions("shard", "place").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

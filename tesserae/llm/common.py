@@ -126,11 +126,13 @@ def without(rows: DataFrame, dropped: DataFrame, key: str, bits: int = 1 << 27)
     A bit filter of fixed size tells most rows apart where they are read; only rows that it
     may hold are shuffled to meet the keys themselves.
     """
-    built = build_filter(dropped, key, bits)
-    block, bit = bit_address(F.col(key), bits)
+    built = build_filter(dropped.select(F.col(key).alias("key")), "key", bits)
+    # the row goes along as one value, so that no column of it can clash
+    held = rows.select(F.col(f"`{key}`").alias("key"), F.struct("*").alias("row"))
+    block, bit = bit_address(F.col("key"), bits)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    flagged = rows.withColumn("_at", block).join(F.broadcast(built.withColumnRenamed("_block", "_at")), "_at", "left")
-    flagged = flagged.withColumn("_may", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
-    clear = flagged.where(~F.col("_may")).select(*rows.columns)
-    doubtful = flagged.where("_may").select(*rows.columns).join(dropped.select(key).distinct(), key, "left_anti")
-    return clear.unionByName(doubtful.select(*rows.columns))
+    flagged = held.withColumn("_at", block).join(F.broadcast(built.withColumnRenamed("_block", "_at")), "_at", "left")
+    flagged = flagged.select("key", "row", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("may"))
+    clear = flagged.where(~F.col("may")).select("row.*")
+    doubtful = flagged.where("may").join(dropped.select(F.col(key).alias("key")).distinct(), "key", "left_anti").select("row.*")
+    return clear.unionByName(doubtful)
