@@ -10,8 +10,8 @@ going a value deeper into each part of the region.  Candidates whose signatures'
 is clearly too low are left out; the rest are confirmed on full sets.
 
 Confirmed links give components.  In a large region the pairs left out may link different
-components, so these, and only these, are then compared in blocks, confirmed and joined:
-no partner is capped.
+components, so these, and only these, are then compared, block by block, on full sets: no
+partner is capped, and what comes out is only the links that join components.
 
 Empty sets (null or empty text, or no words) are linked with nothing.  Rows repeated with one
 doc_id are alike.  Rows with a null doc_id count in no set and are their own component, null.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Workspace, build_filter, lookup, probe_filter, require
+from tesserae.llm.common import Workspace, build_filter, lookup, probe_filter, require, tidy
 from tesserae.llm.components import components
 from tesserae.llm.shingles import meets, permutations, set_digest, shingle_sets, signatures
 
@@ -34,6 +34,8 @@ FULL = 8
 OPEN = 0.64
 #: From this share on the pair with the region's first class needs no other beside it.
 SURE = 0.9
+#: Classes of a region that a task holds; of a larger region, block meets block.
+BLOCK = 20_000
 PORTION = 1 << 20
 FILTER_BITS = 1 << 27
 
@@ -56,6 +58,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest (of the set), signature."""
     kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
+    @tidy
     def run(batches):
         perms = permutations(TREES * DEPTH)
         for batch in batches:
@@ -74,6 +77,7 @@ def _matrix(column) -> np.ndarray:
 def region_keys(classes: DataFrame) -> DataFrame:
     """(key, node): the region of each class in each order."""
 
+    @tidy
     def run(batches):
         salt = np.random.default_rng(5).integers(1, 2**62, (TREES, LEAST + 1), dtype=np.int64).astype(np.uint64) | np.uint64(1)
         for batch in batches:
@@ -112,6 +116,7 @@ def _runs(batches):
 def shared_regions(keys: DataFrame) -> DataFrame:
     """(key, node) of regions of more than one class."""
 
+    @tidy
     def run(batches):
         for table in _runs(batches):
             key = table.column(0).to_numpy()
@@ -157,48 +162,99 @@ def region_pairs(ids: np.ndarray, order: np.ndarray, small: np.ndarray, depth: i
     return out
 
 
-def cross_pairs(ids: np.ndarray, parts: np.ndarray, small: np.ndarray) -> list[tuple[int, int]]:
-    """Open pairs of a large region between different components, each pair once."""
-    names, counts = np.unique(parts, return_counts=True)
-    if len(ids) <= FULL or len(names) < 2:
-        return []
-    largest = names[np.argmax(counts)]
-    rest = np.flatnonzero(parts != largest)
+def cross_links(ids: np.ndarray, parts: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], tree: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a large region between components that nothing joined so far.
+
+    A pair is left to the first order in which its classes share a region.  Pairs are
+    compared on full sets, and those that links found here have joined are passed over.
+    """
+    small = _small(signs)
+    names, parts = np.unique(parts, return_inverse=True)
+    counts = np.bincount(parts)
     out = []
-    for r in rest:  # each against all rows that aren't yet joined to it
-        other = np.flatnonzero((parts != parts[r]) & ((parts == largest) | (ids > ids[r])))
-        ok = other[(small[other] == small[r]).mean(axis=1) >= OPEN]
-        out += [(int(ids[r]), int(x)) for x in ids[ok]]
+    firsts = signs.reshape(len(ids), TREES, DEPTH)[:, :tree, :LEAST]
+    for r in np.flatnonzero(parts != np.argmax(counts)):
+        other = np.flatnonzero(parts != parts[r])
+        other = other[(small[other] == small[r]).mean(axis=1) >= OPEN]
+        other = other[~(firsts[other] == firsts[r]).all(axis=2).any(axis=1)]
+        for x in other:
+            if parts[x] != parts[r] and meets(sets[r], sets[x], percent):
+                out.append((int(ids[r]), int(ids[x])))
+                parts[parts == parts[x]] = parts[r]
     return out
 
 
-def _regions(rows: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
-    met = rows.join(classes.select("node", "signature", *more), "node")
-    return met.select("key", "node", "signature", *more).repartition(F.col("key")).sortWithinPartitions("key", "node")
+def _blocks(rows: DataFrame, pairs: bool) -> DataFrame:
+    """`rows` (key, node) with `at`: large regions are cut into blocks of about BLOCK classes.
+
+    pairs: every two blocks of a region meet once, so a class is in as many as there are blocks.
+    """
+    count = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").withColumn("count", count)
+    own = F.pmod(F.xxhash64("node"), F.col("count")).cast("int")
+    if not pairs:
+        return sized.select("key", "node", F.xxhash64("key", own).alias("at"))
+    other = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    return other.where(F.col("n") > FULL).select("key", "node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("at"))
+
+
+def _region_rows(rows: DataFrame) -> DataFrame:
+    columns = [c for c in rows.columns if c not in ("at", "key", "node")]
+    return rows.select("at", "key", "node", *columns).repartition(F.col("at")).sortWithinPartitions("at", "node")
+
+
+def _cuts(values: np.ndarray):
+    edges = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
 
+def _as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    p = np.sort(np.array(pairs, np.int64), axis=1)
+    return pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-def _candidates(regions: DataFrame, across: bool) -> DataFrame:
+
+def candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the regions' `rows` (key, node)."""
+
+    @tidy
     def run(batches):
         for table in _runs(batches):
-            key, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-            signs = _matrix(table.column(2))
+            at, key, ids = (table.column(i).to_numpy() for i in range(3))
+            signs = _matrix(table.column(3))
             small = _small(signs)
-            parts = table.column(3).to_numpy() if across else None
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             pairs: list[tuple[int, int]] = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if across:
-                    pairs += cross_pairs(ids[lo:hi], parts[lo:hi], small[lo:hi])
-                else:
-                    t = int(key[lo]) & (TREES - 1)
-                    order = signs[lo:hi, t * DEPTH : (t + 1) * DEPTH]
-                    at = np.lexsort(order.T[::-1]) + lo
-                    pairs += region_pairs(ids[at], order[at - lo], small[at])
+            for lo, hi in _cuts(at):
+                t = int(key[lo]) & (TREES - 1)
+                order = signs[lo:hi, t * DEPTH : (t + 1) * DEPTH]
+                place = np.lexsort(order.T[::-1])
+                pairs += region_pairs(ids[lo:hi][place], order[place], small[lo:hi][place])
             if pairs:
-                p = np.sort(np.array(pairs, np.int64), axis=1)
-                yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                yield _as_batch(pairs)
+
+    met = _blocks(rows, pairs=False).join(classes.select("node", "signature"), "node")
+    return _region_rows(met).mapInArrow(run, "a long, b long").distinct()
 
-    return regions.mapInArrow(run, "a long, b long").distinct()
+
+def links_across(rows: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components (`parts`: node, signature, part) that meet in a large region."""
+
+    @tidy
+    def run(batches):
+        for table in _runs(batches):
+            at, key, ids, part = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
+            signs = _matrix(table.column(3))
+            links: list[tuple[int, int]] = []
+            for lo, hi in _cuts(at):
+                sets = [np.frombuffer(x, np.uint64) for x in table.column(5).slice(lo, hi - lo).to_pylist()]
+                links += cross_links(ids[lo:hi], part[lo:hi], signs[lo:hi], sets, int(key[lo]) & (TREES - 1), percent)
+            if links:
+                yield _as_batch(links)
+
+    known = rows.join(parts.select("node", "part"), "node")
+    mixed = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > FULL)).select("key")
+    met = _blocks(rows.join(mixed, "key", "left_semi"), pairs=True).join(parts.select("node", "signature", "part"), "node").join(sets, "node")
+    return _region_rows(met).mapInArrow(run, "a long, b long").distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -207,6 +263,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     rows = probe_filter(require(docs, "doc_id", "text"), "doc_id", built, FILTER_BITS)
     rows = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for ids, texts in _portions(batch.column(0).to_pylist(), batch.column(1)):
@@ -224,6 +281,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fit = fit.where(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent).select("a", "b")
     met = fit.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
 
+    @tidy
     def run(batches):
         for batch in batches:
             a, b, ma, mb = batch.columns
@@ -241,20 +299,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = known.where("n_shingles > 0 and doc_id is not null")
     classes = ws.save(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "classes")
     rows = ws.save(shared_regions(region_keys(classes)), "regions")
-    pairs = ws.save(_candidates(_regions(rows, classes), across=False), "pairs")
+    pairs = ws.save(candidates(rows, classes), "pairs")
     nodes = rows.select("node").distinct()
     sets = ws.save(sets_of(docs, nodes, width), "sets")
     links = ws.save(confirm(pairs, sets, percent), "links")
     labels = components(ws, links)
-    # the rest: open pairs between components of large regions
+    # the rest: pairs left out between components that meet in a large region
     parts = classes.join(labels, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("part"))
-    large = rows.groupBy("key").count().where(F.col("count") > FULL).select("key")
-    rest = _candidates(_regions(rows.join(large, "key", "left_semi"), parts, "part"), across=True)
-    open_pairs = ws.save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not open_pairs.isEmpty():
-        more = ws.save(confirm(open_pairs, sets, percent), "rest_links")
-        if not more.isEmpty():
-            labels = components(ws, links.union(more), "joined")
+    more = ws.save(links_across(rows, parts, sets, percent), "rest")
+    if not more.isEmpty():
+        labels = components(ws, links.union(more), "joined")
     ws.drop("sets")
     groups = classes.join(labels, "node", "left").where("n > 1 or component is not null")
     groups = groups.select("digest", F.coalesce("component", "node").alias("component"), "n")
