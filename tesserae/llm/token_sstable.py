@@ -23,22 +23,28 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import files
 from tesserae.llm.cache import Generations
-from tesserae.llm.common import Workspace, require
+from tesserae.llm.common import Workspace, require, tidy
 
 MAGIC = b"TSSTAB01"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
 HASHES, BITS_PER_KEY = 7, 10
+#: Marks that are tokens of their own after a letter or digit.
+MARKS = ".,;:!?"
+#: First letter beyond the Latin blocks whose letters all libraries agree on.
+LATIN = "\u0250"
 #: Entries in a generation of a worker's cache; longer chunks are not kept.
 CACHE, LONGEST = 500_000, 64
 
@@ -150,6 +156,8 @@ class TableReader:
         bloom_at, self.bits, index_at, blocks, self.n, self.tokens, self.width, crc, magic = FOOTER.unpack(source.read(FOOTER.size))
         if magic != MAGIC:
             raise ValueError("bad magic bytes")
+        if not bloom_at <= index_at <= size - FOOTER.size:
+            raise ValueError("bad offsets")
         source.seek(bloom_at)
         data = source.read(size - FOOTER.size - bloom_at)
         if zlib.crc32(data) != crc:
@@ -204,7 +212,11 @@ class TableReader:
 class WordEncoder:
     """A tokenizer of the tokenizers library whose tokens never span white space.
 
-    Each chunk between spaces, tabs and line ends is encoded by the library once and kept.
+    Texts are cut at spaces, tabs and line ends; each different chunk is encoded by the
+    library once and kept, and texts are put together from the chunks' ids.  A mark of
+    punctuation after a letter or digit is a token of its own.  Chunks of small Latin letters
+    in normal form are left alone by normaliser and splitter, so these go to the same model
+    without them.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -212,36 +224,92 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.final[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.end = end_id.to_bytes(self.width, "little")
         self.known = Generations(CACHE)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids with the end id."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        young = self.known.young
-        used: dict[str, bytes] = {"": b""}
-        new: list[str] = []
-        for words in cut:
-            for w in words:
-                if w not in used:
-                    hit = young.get(w) or self.known.old_get(w)
-                    used[w] = hit
-                    if hit is None:
-                        new.append(w)
-        kind = f"<u{self.width}"
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            packed = np.asarray([x for ids in coded for x in ids], kind).tobytes()
-            at = 0
-            for w, ids in zip(part, coded, strict=True):
-                used[w] = packed[at : (at := at + self.width * len(ids))]
-                if 0 < len(w) < LONGEST and ids:
-                    self.known.put(w, used[w])
-        return [b"".join([used[w] for w in words]) + self.end for words in cut]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text with the end id; a null text has the end id alone."""
+        texts = pc.fill_null(texts, "")
+        for mark in "\n\t\r":
+            texts = pc.replace_substring(texts, mark, " ")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        values = self._values(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(starts[at] - ends[:-1], counts)
+        places += np.arange(len(places))
+        ids = np.frombuffer(b"".join(values), self.kind)[places].tobytes()
+        edges = (ends[np.asarray(cut.offsets) - cut.offsets[0].as_py()] * self.width).tolist()
+        return [ids[a:b] + self.end for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk."""
+        young, old = self.known.young, self.known.old_get
+        values = [b"" if w == "" else young.get(w) or old(w) for w in chunks]
+        new = [i for i, v in enumerate(values) if v is None]
+        slow, fast = {}, {}
+        split: list[tuple[str, str]] = []
+        for i in new:
+            w = chunks[i]
+            core, mark = w, ""
+            if w[-1] in MARKS and w[-2:-1].isalnum():
+                core, mark = w[:-1], w[-1]
+                if mark not in slow:
+                    slow[mark] = b""
+            low = core.lower() if core.isascii() else core
+            if low.isalpha() and max(low) < LATIN and low == low.lower() and is_normalized("NFC", low):
+                core = low
+                fast[core] = b""
+            else:
+                slow[core] = b""
+            split.append((core, mark))
+        self._run_plain(fast)
+        self._run(slow)
+        for i, (core, mark) in zip(new, split, strict=True):
+            value = fast.get(core) or slow[core]
+            values[i] = value = value + slow[mark] if mark else value
+            if value and len(chunks[i]) < LONGEST:
+                self.known.put(chunks[i], value)
+        return values
+
+    def _run(self, wanted: dict[str, bytes]) -> None:
+        words = list(wanted)
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                wanted[w] = np.asarray(e.ids, self.kind).tobytes()
+
+    def _run_plain(self, wanted: dict[str, bytes]) -> None:
+        """Many words in one call; a token that ends a word tells where the next begins."""
+        words = list(wanted)
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            ids = np.asarray(self.plain.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ends = (np.flatnonzero(self.final[ids]) + 1) * self.width
+            if len(ends) != len(part) or ends[-1] != len(ids) * self.width:  # no such tokens: one by one
+                self._run(apart := dict.fromkeys(part, b""))
+                wanted.update(apart)
+                continue
+            packed, at = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                wanted[w] = packed[at:end]
+                at = end
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -253,6 +321,16 @@ def encoder(path: str, end_id: int) -> WordEncoder:
     return _ENCODERS[path, end_id]
 
 
+def portions(batch: pa.RecordBatch, most: int = 8 << 20):
+    """Slices of whole rows with about `most` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 MANIFEST = "shard_range int, shard_seq int, uri string, n_docs long, n_tokens long"
 
 
@@ -263,6 +341,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, n_ranges:
     """
     ordered = require(docs, "doc_id", "text").repartitionByRange(n_ranges, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
+    @tidy
     def run(batches):
         from pyspark import TaskContext
 
@@ -275,10 +354,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, n_ranges:
             rows.append((at, len(rows), uri, table.n, table.tokens))
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, value in zip(part.column(0).to_pylist(), words.encode(texts), strict=True):
+            for part in portions(batch):
+                for doc_id, value in zip(part.column(0).to_pylist(), words.encode(part.column(1)), strict=True):
                     if table is None:
                         uri = files.unique_name(folder, f"shard-{at:06d}-{len(rows):04d}", ".sst")
                         table = TableWriter(files.create(uri), words.width, block_bytes)
@@ -304,6 +381,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     starts = manifest.select("shard_range", "shard_seq", "uri", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
     spread = starts.select("uri", "start").repartition(F.col("uri"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
