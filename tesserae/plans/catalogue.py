@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tesserae.plans import raster_queries
+
 FLAGSHIP = "alloc_structural"
+REGISTRIES = (raster_queries.R,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: call for r in REGISTRIES for name, call in r.calls.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
