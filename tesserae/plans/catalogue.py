@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.plans import raster_queries
+from tesserae.plans import cell_queries, plan_queries, raster_queries
 
 FLAGSHIP = "alloc_structural"
-REGISTRIES = (raster_queries.R,)
+REGISTRIES = (raster_queries.R, cell_queries.R, plan_queries.R)
 
 
 def queries() -> dict:
