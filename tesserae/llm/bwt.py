@@ -14,19 +14,19 @@ import numpy as np
 
 
 class _Files:
-    """Transform and prefix lengths, a byte a suffix each, rewritten sequentially."""
+    """Transform and prefix lengths, a byte a suffix each; a round reads one pair of files and writes the other."""
 
     def __init__(self, folder: str):
-        self.paths = [os.path.join(folder, n) for n in ("bwt", "lcp")]
+        self.pairs = [[os.path.join(folder, f"{n}{i}") for n in ("bwt", "lcp")] for i in (0, 1)]
 
     def write(self, *columns: np.ndarray) -> None:
-        for path, column in zip(self.paths, columns, strict=True):
-            with open(path + ".new", "wb") as out:
+        self.pairs.reverse()
+        for path, column in zip(self.pairs[0], columns, strict=True):
+            with open(path, "wb") as out:
                 column.tofile(out)
-            os.replace(path + ".new", path)
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(p, np.uint8) for p in self.paths]
+        return [np.fromfile(p, np.uint8) for p in self.pairs[0]]
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -71,9 +71,9 @@ def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int)
             # rows by symbol, stably: what extends them is in this order after the empty suffixes
             order = np.argsort(bwt, kind="stable")
             whole = int(np.count_nonzero(bwt == 0))
-            place = np.empty(len(bwt), np.int64)
-            place[order] = np.arange(len(bwt)) - whole + m
-            at = place[rows]
+            place = np.empty(len(bwt), np.int32)
+            place[order] = np.arange(m - whole, m - whole + len(bwt), dtype=np.int32)
+            at = place[rows].astype(np.int64)
             by = np.argsort(at)
             docs, rows, at = docs[by], rows[by], at[by]
             # the old row before this one, and the one after, with the same symbol

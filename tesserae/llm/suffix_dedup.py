@@ -27,17 +27,18 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bwt
-from tesserae.llm.common import Workspace, build_filter, lookup, probe_filter, require, without
+from tesserae.llm.common import Workspace, build_filter, lookup, probe_filter, require, tidy, without
 from tesserae.llm.shingles import BASE, BYTE, mix, powers
 
 LENGTH, ANCHOR = 50, 16
 PORTION = 4 << 20  # bytes of text at once; below 1 << 22 and a text more
-#: Different pieces of a collection.
-COLLECTION = 16_000
+#: Pieces of a collection: its arrays then stay in a core's cache.
+COLLECTION = 12_000
 FILTER_BITS = 1 << 27
 
 
@@ -99,6 +100,7 @@ PACKED = "bucket int, keys binary, docs binary, locs binary"
 def packed_anchors(docs: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
     """Anchors of all pieces, a row for each portion of texts and bucket: key, doc_id and place << 8 | windows."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for ids, data, starts, ends in _portions(batch):
@@ -131,6 +133,7 @@ def shared_anchors(packed: DataFrame) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         return (key[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)) if len(key) else (key, lo, hi)
 
+    @tidy
     def run(batches):
         parts, rows, sizes = [], 0, []
         with tempfile.TemporaryFile() as spill:
@@ -169,11 +172,15 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
 
 
 def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, start, piece): the bytes of the shared anchors' windows."""
+    """(key, doc_id, start, more, piece): the bytes of the shared anchors' windows.
+
+    A piece that a document repeats is one row; `more` has its further starts.
+    """
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("loc", "key")).alias("found"))
     built = build_filter(wanted.select("doc_id"), "doc_id", FILTER_BITS)
-    texts = probe_filter(docs, "doc_id", built, FILTER_BITS).dropDuplicates(["doc_id"]).join(wanted, "doc_id")
+    texts = probe_filter(docs, "doc_id", built, FILTER_BITS).join(wanted, "doc_id")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -184,9 +191,22 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 held, begins = gathered(data, loc >> 8, sizes)
                 offsets = np.append(begins, len(held)).astype(np.int32)
                 piece = pa.Array.from_buffers(pa.binary(), len(loc), [None, pa.py_buffer(offsets), pa.py_buffer(held.tobytes())])
-                yield pa.record_batch([pa.array(key), pa.array(np.full(len(loc), batch.column(0)[i].as_py(), np.int64)), pa.array(loc >> 8), piece], names=["key", "doc_id", "start", "piece"])
-
-    return texts.select("doc_id", "text", "found").mapInArrow(run, "key long, doc_id long, start long, piece binary")
+                start, more = loc >> 8, None
+                coded = piece.dictionary_encode()
+                if len(coded.dictionary) < len(piece):
+                    which = coded.indices.to_numpy()
+                    order = np.argsort(which, kind="stable")
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(which[order]) != 0]))
+                    rest = np.delete(order, first)
+                    counts = np.diff(np.append(first, len(order))) - 1
+                    edges = np.append(0, np.cumsum(counts)).astype(np.int32)
+                    more = pa.ListArray.from_arrays(pa.array(edges), pa.array(start[rest]), mask=pa.array(counts == 0))
+                    piece, key, start = coded.dictionary, key[order[first]], start[order[first]]
+                if more is None:
+                    more = pa.nulls(len(piece), pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(key), pa.array(np.full(len(piece), batch.column(0)[i].as_py(), np.int64)), pa.array(start), more, piece], names=["key", "doc_id", "start", "more", "piece"])
+
+    return texts.select("doc_id", "text", "found").mapInArrow(run, "key long, doc_id long, start long, more array<long>, piece binary")
 
 
 def earliest(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +226,25 @@ def earliest(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.n
     return out, begins
 
 
+def may_repeat(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Whether a window of the piece may also be in another piece: its hash is."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, bool)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(BASE, n))])
+    windows = sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    at = starts[owner] + np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
+    h = mix((sums[at + length] - sums[at]) * powers(pow(BASE, -1, 2**64), n)[at])
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    same = h[1:] == h[:-1]
+    out = np.zeros(len(sizes), bool)
+    out[owner[1:][same]] = True
+    out[owner[:-1][same]] = True
+    return out
+
+
 def repeated_spans(found: DataFrame, length: int) -> DataFrame:
     """(doc_id, start, end) of bytes that a string with an earlier document covers."""
 
@@ -213,13 +252,28 @@ def repeated_spans(found: DataFrame, length: int) -> DataFrame:
         piece = table.column("piece").combine_chunks()
         coded = piece.dictionary_encode()
         which, unique = coded.indices.to_numpy(), coded.dictionary
-        docs, begin = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
+        docs = table.column("doc_id").to_numpy()
+        more = table.column("more").combine_chunks()
+        n_starts = 1 + pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at_start = np.cumsum(n_starts) - n_starts
+        starts_of = np.empty(int(n_starts.sum()), np.int64)
+        further = np.ones(len(starts_of), bool)
+        further[at_start] = False
+        starts_of[at_start], starts_of[further] = table.column("start").to_numpy(), more.flatten().to_numpy()
         offsets = np.frombuffer(unique.buffers()[1], np.int32)[unique.offset : unique.offset + len(unique) + 1].astype(np.int64)
         data = np.frombuffer(unique.buffers()[2], np.uint8)
         sizes = np.diff(offsets)
         least = np.full(len(unique), np.iinfo(np.int64).max)
         np.minimum.at(least, which, docs)
-        early, begins = earliest(data, offsets[:-1], sizes, least, length)
+        # pieces of one document that share no window with another have nothing to lose or to give
+        latest = np.full(len(unique), np.iinfo(np.int64).min)
+        np.maximum.at(latest, which, docs)
+        part = (least < latest) | may_repeat(data, offsets[:-1], sizes, length)
+        place = np.cumsum(part) - 1
+        rows = np.flatnonzero(part[which])
+        which, docs = place[which[rows]], docs[rows]
+        starts, sizes, least = offsets[:-1][part], sizes[part], least[part]
+        early, begins = earliest(data, starts, sizes, least, length)
         windows = (sizes - length + 1)[which]
         held, own = gathered(early, begins[which], windows)
         member = np.repeat(np.arange(len(which)), windows)
@@ -229,8 +283,11 @@ def repeated_spans(found: DataFrame, length: int) -> DataFrame:
         first = np.flatnonzero(gone & ~same)
         last = np.flatnonzero(gone & ~np.concatenate([(member[1:] == member[:-1]) & gone[1:], [False]]))
         who = member[first]
-        return pa.record_batch([pa.array(docs[who]), pa.array(begin[who] + offset[first]), pa.array(begin[who] + offset[last] + length)], names=["doc_id", "start", "end"])
+        each = n_starts[rows[who]]
+        begin, _ = gathered(starts_of, at_start[rows[who]], each)
+        return pa.record_batch([pa.array(np.repeat(docs[who], each)), pa.array(begin + np.repeat(offset[first], each)), pa.array(begin + np.repeat(offset[last], each) + length)], names=["doc_id", "start", "end"])
 
+    @tidy
     def run(batches):
         held = list(batches)
         if not sum(b.num_rows for b in held):
@@ -252,8 +309,9 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_removed, n_spans, kept) of the documents that lose bytes; `kept` is the bytes that stay."""
     lost = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     built = build_filter(lost.select("doc_id"), "doc_id", FILTER_BITS)
-    texts = probe_filter(docs, "doc_id", built, FILTER_BITS).dropDuplicates(["doc_id"]).join(lost, "doc_id")
+    texts = probe_filter(docs, "doc_id", built, FILTER_BITS).join(lost, "doc_id")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -293,7 +351,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     shared = ws.save(shared_anchors(packed), "shared")
     spans = ws.save(repeated_spans(pieces(rows, shared, length), length), "spans")
     ws.drop("shared")
-    left = cut(rows, spans).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("left_sha256"))
+    left = cut(rows, spans).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("left_sha256")).dropDuplicates(["doc_id"])
     empty = hashlib.sha256(b"").hexdigest()
     out = judged.join(left, "doc_id", "left")
     return out.select(
