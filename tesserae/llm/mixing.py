@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import require
+from tesserae.llm.common import Workspace, require
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, PASSES = 1.5, 2
@@ -96,7 +96,8 @@ def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     Blocks are at most `blocks` rows a source, however many documents it has; documents are
     put in order only in the one block of a source that its target cuts.
     """
-    rows = sized(docs, seed, blocks)
+    # texts are read once; what is kept of each is a few numbers
+    rows = Workspace(docs.sparkSession, "mixing").save(sized(docs, seed, blocks), "sized")
     targets = targets_of(rows, weights, share, passes)
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
