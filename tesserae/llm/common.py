@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,8 +63,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts; the default of 10000 may be a gigabyte of long ones.
+BATCH_ROWS = 1000
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that further columns can't clash."""
+    """Only the named columns, so that further columns can't clash.
+
+    Also lowers the session's Arrow batches to BATCH_ROWS rows where they are at the default.
+    """
+    if df.sparkSession.conf.get(_RECORDS) == "10000":
+        df.sparkSession.conf.set(_RECORDS, str(BATCH_ROWS))
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
@@ -136,3 +147,43 @@ def without(rows: DataFrame, dropped: DataFrame, key: str, bits: int = 1 << 27)
     clear = flagged.where(~F.col("may")).select("row.*")
     doubtful = flagged.where("may").join(dropped.select(F.col(key).alias("key")).distinct(), "key", "left_anti").select("row.*")
     return clear.unionByName(doubtful)
+
+
+def slices(batches, rows: int = 512):
+    """The same rows in smaller batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def tidy(run):
+    """A task function that gives its memory back at its end: workers outlive tasks."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Have the executors collect garbage, so that heap grown for shuffles goes back before a stage of large Python workers."""
+    tasks = 4 * max(1, spark.sparkContext.defaultParallelism)
+    collected = spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
+    collected.write.format("noop").mode("overwrite").save()

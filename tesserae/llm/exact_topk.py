@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import require
+from tesserae.llm.common import require, tidy
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
@@ -66,6 +66,7 @@ def build_block(ids: np.ndarray, values: np.ndarray) -> dict:
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per block of at most `block_rows` rows of (vec_id, v); a task holds one block."""
 
+    @tidy
     def run(batches):
         ids, lists = [], []
 
@@ -150,6 +151,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, query_rows: int = QUERY_
     spread = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = spread.join(held, "query_block")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.char_ngrams import TextBatch, portions
-from tesserae.llm.common import require
+from tesserae.llm.common import release, require, slices, tidy
 
 ORDERS = (2, 3, 4)
 BITS = 17
@@ -179,7 +179,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = S
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lang", "doc_id", "text"], kind="stable")
-        return pd.DataFrame({"model": [pickle.dumps(fit(pdf["text"].tolist(), pdf["lang"].tolist()))]})
+        model = pickle.dumps(fit(pdf["text"].tolist(), pdf["lang"].tolist()))
+        release()
+        return pd.DataFrame({"model": [model]})
 
     found = sample.select("doc_id", "lang", "text").groupBy().applyInPandas(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else fit([], [])
@@ -188,8 +190,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = S
 def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of a machine each
 
+    @tidy
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             langs, sure = shared.value.predict(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.char_ngrams import TextBatch, portions
-from tesserae.llm.common import require
+from tesserae.llm.common import release, require, slices, tidy
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -124,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "toxic", "text"], kind="stable", na_position="first")
-        return pd.DataFrame({"model": [pickle.dumps(fit([t if isinstance(t, str) else None for t in pdf["text"]], pdf["toxic"].to_numpy(), prior))]})
+        model = pickle.dumps(fit([t if isinstance(t, str) else None for t in pdf["text"]], pdf["toxic"].to_numpy(), prior))
+        release()
+        return pd.DataFrame({"model": [model]})
 
     found = sample.groupBy().applyInPandas(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else fit([], np.zeros(0), prior)
@@ -134,8 +136,9 @@ def score(docs: DataFrame, model: NbLinear) -> DataFrame:
     """`docs` rows as doc_id, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 2**BITS places
 
+    @tidy
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             yield pa.record_batch([batch.column(0), pa.array(shared.value.scores(texts), pa.float64())], names=["doc_id", "score"])
 
@@ -152,10 +155,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sampl
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample) -> DataFrame:
     """`docs` with all its columns, less the rows whose score reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels.where(~held_out(F.col("doc_id"))), **sample))
+    require(docs, "doc_id", "text")
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import files
-from tesserae.llm.common import Workspace, lookup, require
+from tesserae.llm.common import Workspace, lookup, require, tidy
 
 SKIPPABLE, ZSTD = 0x184D2A5D, 0xFD2FB528
 DICTIONARY_BYTES = 16 << 10
@@ -207,6 +207,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     """Write archives below `folder` when the frame runs; save the manifest (uri, n_records) once."""
     shared = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages))
 
+    @tidy
     def run(batches):
         names, counts, archive = [], [], None
         for batch in batches:
@@ -232,6 +233,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     columns = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long"} | ({"payload": "binary"} if payloads else {})
     kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in columns.items()])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for uri, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
