@@ -21,16 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.cache import Generations
-from tesserae.llm.common import require
+from tesserae.llm.common import require, tidy
 
 #: White space of Unicode's White_Space property, spelt out as the libraries' \s differ.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries in a generation of a worker's caches, each a few hundred bytes; longer keys are not kept.
-CACHE, LONGEST = 300_000, 64
-NONE = 1 << 62
+#: Entries in a generation of a worker's caches, each some 300 bytes; longer keys are not kept.
+CACHE, LONGEST = 400_000, 64
+#: Rank of no pair; a leaf is rank * bytes + position, so leaves from here on are no pair either.
+NONE = 1 << 59
 
 
-def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_ranks(ranks: dict[bytes, int]) -> list[int]:
+    """Rank of each pair of bytes, by first * 256 + second."""
+    return [ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
+
+
+def merge_ranks(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     """Ids of one match."""
     whole = ranks.get(piece)
     if whole is not None:
@@ -39,18 +45,16 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if n == 0:
         return []
     size = n  # a tree of any size: every leaf's ancestors end at the root, and least is symmetric
-    tree = [NONE] * (2 * size)
+    tree = [NONE] * size
+    tree += [pairs[a << 8 | b] * n + i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False))]
+    tree.append(NONE)
     rank = ranks.get
-    for i in range(n - 1):
-        r = rank(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r * n + i
     for at in range(size - 1, 0, -1):
         a, b = tree[2 * at], tree[2 * at + 1]
         tree[at] = a if a < b else b
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    while tree[1] != NONE:
+    while tree[1] < NONE:
         i = tree[1] % n
         j = after[i]
         k = after[j]
@@ -67,6 +71,8 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             changed.append((p, NONE if r is None else r * n + p))
         for leaf, value in changed:
             at = size + leaf
+            if tree[at] == value:
+                continue
             tree[at] = value
             while at > 1:
                 other = tree[at ^ 1]
@@ -89,15 +95,17 @@ class ByteBpe:
     #: White space before a space: there a match can span the space.
     _run = re.compile(r"\s ")
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
         import regex
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+        self.pairs = pair_ranks(self.ranks)
+        self.comma = {i: f",{i}" for i in self.ranks.values()}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
-        self.matches = Generations(CACHE)
-        self.chunks = Generations(CACHE)
+        self.matches = Generations(cache)
+        self.chunks = Generations(cache)
 
     def _encode_matches(self, text: str) -> list[int]:
         out: list[int] = []
@@ -105,7 +113,7 @@ class ByteBpe:
         for m in self.find(text):
             ids = known.get(m) or self.matches.old_get(m)
             if ids is None:
-                ids = merge_ranks(m.encode("utf-8"), self.ranks)
+                ids = tuple(merge_ranks(m.encode("utf-8"), self.ranks, self.pairs))
                 if len(m) < LONGEST:
                     self.matches.put(m, ids)
             out += ids
@@ -113,7 +121,7 @@ class ByteBpe:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         ids = self._encode_matches(chunk)
-        return array("I", ids).tobytes(), "".join(f",{i}" for i in ids)
+        return array("I", ids).tobytes(), "".join([self.comma[i] for i in ids])
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids, and the same ids in decimal joined by commas.
@@ -126,16 +134,18 @@ class ByteBpe:
             return ids, ",".join(map(str, ids))
         known = self.chunks.young
         head, *rest = text.split(" ")
-        got = [self._chunk(head)]
-        for word in rest:
-            hit = known.get(word)
-            if hit is None:
-                hit = self.chunks.old_get(word)
+        got = list(map(known.get, rest))
+        if None in got:
+            for i, hit in enumerate(got):
                 if hit is None:
-                    hit = self._chunk(" " + word)
-                    if len(word) < LONGEST:
-                        self.chunks.put(word, hit)
-            got.append(hit)
+                    word = rest[i]
+                    hit = known.get(word) or self.chunks.old_get(word)
+                    if hit is None:
+                        hit = self._chunk(" " + word)
+                        if len(word) < LONGEST:
+                            self.chunks.put(word, hit)
+                    got[i] = hit
+        got.insert(0, self._chunk(head))
         ids = array("I")
         ids.frombytes(b"".join([x[0] for x in got]))
         return ids.tolist(), "".join([x[1] for x in got])[1:]
@@ -144,22 +154,23 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+_LOADED: dict[tuple[str, str, int], ByteBpe] = {}
 
 
-def loaded(path: str, pattern: str) -> ByteBpe:
+def loaded(path: str, pattern: str, cache: int = CACHE) -> ByteBpe:
     """The vocabulary, loaded once in a worker."""
-    key = (path, pattern)
+    key = (path, pattern, cache)
     if key not in _LOADED:
-        _LOADED[key] = ByteBpe(path, pattern)
+        _LOADED[key] = ByteBpe(path, pattern, cache)
     return _LOADED[key]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: the texts' token ids and the digests of round_trip_digests()."""
 
+    @tidy
     def run(batches):
-        bpe = loaded(path, pattern)
+        bpe = loaded(path, pattern, cache)
         sha = hashlib.sha256
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -182,6 +193,7 @@ def _texts(batch):
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes that the ids decode to)."""
 
+    @tidy
     def run(batches):
         bpe = loaded(path, pattern)
         sha = hashlib.sha256
