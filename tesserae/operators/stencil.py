@@ -55,25 +55,30 @@ def taps(kernel: Kernel) -> Column:
 
 
 def scatter(px: DataFrame, kernel: Kernel, values: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Sums by target pixel: `n_<v>` = sum(w * v), `s_<v>` = sum(w where v is there), `g` = sum(w).
+    """`px` with sums over the pixels it sees: `n_<v>` = sum(w * v), `s_<v>` = sum(w where v is there), `g` = sum(w).
 
-    Each pixel is spread to the targets that see it and summed by target: one shuffle, with
-    partial sums before it.  Targets outside of the pixels are dropped by the caller's join.
+    Each pixel is spread to the targets that see it and summed by target.  A pixel also meets
+    itself, and that row carries its own columns, so there is no join: one shuffle, with
+    partial sums before it.  Targets that aren't pixels are dropped.
     """
     keys = keys or []
-    spread = px.select(*keys, "r", "c", *values, F.explode(taps(kernel)).alias("k"))
-    spread = spread.select(*keys, (F.col("r") - F.col("k.dr")).alias("r"), (F.col("c") - F.col("k.dc")).alias("c"), F.col("k.w").alias("w"), *values)
-    sums = [F.sum("w").alias("g")]
+    place = [*keys, "r", "c"]
+    kept = [c for c in px.columns if c not in place]
+    if not any((dr, dc) == (0, 0) for dr, dc, _ in kernel):
+        kernel = [*kernel, (0, 0, 0.0)]
+    spread = px.withColumn("_k", F.explode(taps(kernel))).withColumn("_w", F.col("_k.w")).withColumn("_own", (F.col("_k.dr") == 0) & (F.col("_k.dc") == 0))
+    spread = spread.withColumn("r", F.col("r") - F.col("_k.dr")).withColumn("c", F.col("c") - F.col("_k.dc"))
+    own = [F.max(F.when(F.col("_own"), F.col(c))).alias(f"_own_{c}") for c in kept]
+    sums = [F.sum("_w").alias("g")]
     for v in values:
-        sums += [F.sum(F.col("w") * F.col(v)).alias(f"n_{v}"), F.sum(F.when(F.col(v).isNotNull(), F.col("w"))).alias(f"s_{v}")]
-    return spread.groupBy(*keys, "r", "c").agg(*sums)
+        sums += [F.sum(F.col("_w") * F.col(v)).alias(f"n_{v}"), F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).alias(f"s_{v}")]
+    out = spread.groupBy(*place).agg(F.max("_own").alias("_there"), *own, *sums).where("_there").drop("_there")
+    return out.withColumnsRenamed({f"_own_{c}": c for c in kept})
 
 
 def kernel_mean(px: DataFrame, kernel: Kernel, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """`px` with `k_<v>` (mean over valid weight), `s_<v>` (valid support) and `g` (geometric support)."""
-    keys = keys or []
-    sums = scatter(px, kernel, values, keys)
-    out = px.join(sums, [*keys, "r", "c"])
+    out = scatter(px, kernel, values, keys)
     one = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0))))
     for v in values:
         out = out.withColumn(f"k_{v}", F.when(F.coalesce(F.col(f"s_{v}"), F.lit(0.0)) > EPS32, F.col(f"n_{v}") / F.col(f"s_{v}")))
@@ -117,8 +122,7 @@ def daily_stencil(daily: DataFrame, proxy: DataFrame, kernel: Kernel, least: flo
     structural = h * mean(v) / mean(h) with h at least `least`, where mean(h) > 1e-6.
     """
     held = daily.join(proxy.select("r", "c", F.greatest(F.col("h"), F.lit(least)).alias("h")), ["r", "c"], "left")
-    sums = scatter(held, kernel, ["v", "h"], ["d"])
-    out = held.join(sums, ["d", "r", "c"])
+    out = scatter(held, kernel, ["v", "h"], ["d"])
     n = len(kernel)
     full = lambda s: F.coalesce(F.col(s), F.lit(0.0)) > 1 - 0.5 / n
     uniform_value = F.when(full("s_v"), F.col("n_v"))
