@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import byte_bpe, exact_dedup, minhash_forest, mixing, toxicity
-from tesserae.llm.common import Workspace, without
+from tesserae.llm.common import Workspace, give_back, without
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    give_back(spark)
+    # a smaller cache than where this is all that runs: earlier stages' memory is still there
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cache=60_000)
 
 
 STAGES = [
