@@ -164,8 +164,13 @@ def boxes(c):
     return c.select(F.col("cell_id").alias("cell"), (F.col("x_m") / 40).alias("x0"), (F.col("y_m") / 40).alias("y0"), (F.col("x_m") / 40 + 7.5).alias("x1"), (F.col("y_m") / 40 + 12.25).alias("y1"))
 
 
+def footprints(c):
+    """750 m squares of the cells, on the scale of the boxes: wider than the cells' pitch of 600 m, so they reach the neighbours' boxes."""
+    return c.select(F.col("cell_id").alias("id"), (F.col("x_m") / 40).alias("x0"), (F.col("y_m") / 40).alias("y0"), ((F.col("x_m") + 750) / 40).alias("x1"), ((F.col("y_m") + 750) / 40).alias("y1"))
+
+
 R.add("overlap_pairs", lambda s, d, c: relational.overlap_pairs(boxes(c), 5.0), f"WITH bx AS ({BOXES}), p AS (SELECT *, unnest(range(CAST(floor(y0 / 5) AS BIGINT), CAST(ceil(y1 / 5) AS BIGINT))) AS r FROM bx), q AS (SELECT *, unnest(range(CAST(floor(x0 / 5) AS BIGINT), CAST(ceil(x1 / 5) AS BIGINT))) AS c FROM p), a AS (SELECT cell, CAST(r AS INT) AS r, CAST(c AS INT) AS c, greatest(0.0, least(x1, (c + 1) * 5.0) - greatest(x0, c * 5.0)) * greatest(0.0, least(y1, (r + 1) * 5.0) - greatest(y0, r * 5.0)) AS area FROM q) SELECT * FROM a WHERE area > 1e-8", ("cells",), "area")
-R.add("spatial_overlap_join", lambda s, d, c: relational.box_overlaps(boxes(c.where("cell_id % 2 = 0")).withColumnRenamed("cell", "id"), boxes(c.where("cell_id % 2 = 1")).withColumnRenamed("cell", "id"), 25.0), f"WITH bx AS ({BOXES}), j AS (SELECT a.cell AS a_id, b.cell AS b_id, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h FROM bx a JOIN bx b ON a.cell % 2 = 0 AND b.cell % 2 = 1) SELECT a_id, b_id, w * h AS area FROM j WHERE w > 0 AND h > 0", ("cells",), "area")
+R.add("spatial_overlap_join", lambda s, d, c: relational.box_overlaps(boxes(c).withColumnRenamed("cell", "id"), footprints(c), 25.0), f"WITH bx AS ({BOXES}), j AS (SELECT a.cell AS a_id, b.cell AS b_id, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h FROM bx a JOIN bx b ON a.cell % 2 = 0 AND b.cell % 2 = 1) SELECT a_id, b_id, w * h AS area FROM j WHERE w > 0 AND h > 0", ("cells",), "area")
 
 # --- features
 
