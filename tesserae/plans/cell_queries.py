@@ -191,9 +191,9 @@ R.add("building_fraction", lambda s, d, c: boxes(c).where("cell <= 200").transfo
 
 
 def segments(s, d, c):
-    """Lines of cells to their right neighbours, cut into pieces of 10 m at most, length by pixel of each piece's middle."""
-    lines = c.where("cell_id <= 300").select("cell_id", F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.lit(137.0).alias("dx"), F.lit(91.0).alias("dy"))
-    n = F.ceil(F.hypot("dx", "dy") / 10).cast("int")
+    """Lines of cells to their right neighbours, cut into pieces of 1 m at most, length by pixel of each piece's middle."""
+    lines = c.select("cell_id", F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.lit(137.0).alias("dx"), F.lit(91.0).alias("dy"))
+    n = F.ceil(F.hypot("dx", "dy")).cast("int")
     each = lines.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     mid = (F.col("i") + 0.5) / F.col("n")
     at = each.select(F.floor((F.col("y") + F.col("dy") * mid) / 50).cast("int").alias("r"), F.floor((F.col("x") + F.col("dx") * mid) / 50).cast("int").alias("c"), (F.hypot("dx", "dy") / F.col("n")).alias("length"))

@@ -52,3 +52,17 @@ def test_spatial_overlap_join_has_all_pairs(spark):
     same(got, want)
     assert {(a + b) % 2 for a, b in got} == {0, 1}
     assert out.select("b_id").distinct().count() == 1500
+
+
+@tables
+def test_road_segmentize_cuts_every_line_at_one_metre(spark):
+    cells = [(x.x_m, x.y_m) for x in view(spark, SF, "cells").collect()]
+    length = math.hypot(137, 91)
+    n, want = math.ceil(length), {}
+    for x, y in cells:
+        for i in range(n):
+            at = math.floor((y + 91 * ((i + 0.5) / n)) / 50), math.floor((x + 137 * ((i + 0.5) / n)) / 50)
+            want[at] = want.get(at, 0) + length / n
+    got = {(x.r, x.c): x.length for x in QUERIES["road_segmentize"](spark, SF).collect()}
+    same(got, want)
+    assert math.isclose(sum(got.values()), len(cells) * length, rel_tol=1e-6)
