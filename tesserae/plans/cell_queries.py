@@ -187,7 +187,7 @@ R.add("geom_measure", lambda s, d, f: relational.weighted_measure(f, class_weigh
 R.add("road_class_anti", lambda s, d, f: relational.unlisted(f, class_weights(s, d).where("class not like 'P%'")), f"WITH {WEIGHTS} SELECT DISTINCT class FROM features WHERE class NOT IN (SELECT class FROM cw WHERE class NOT LIKE 'P%')", ("features",))
 R.add("osm_consolidate", lambda s, d, f: f.dropDuplicates(["feature_id", "class"]).groupBy("class").agg(F.count(F.lit(1)).alias("n")), "SELECT class, count(DISTINCT feature_id) AS n FROM features GROUP BY class", ("features",))
 R.add("water_class_filter", lambda s, d: s.createDataFrame([("river", "Polygon"), ("pool", "Polygon"), ("river", "LineString"), ("lake", "MultiPolygon")], "class string, kind string").where(F.col("class").isin(*relational.AREAL_WATER) & F.col("kind").isin("Polygon", "MultiPolygon")), "SELECT * FROM (VALUES ('river', 'Polygon'), ('lake', 'MultiPolygon')) AS t(class, kind)")
-R.add("building_fraction", lambda s, d, c: boxes(c).where("cell <= 200").transform(lambda b: relational.overlap_pairs(b, 2.0)).select("r", "c").distinct().groupBy(F.floor(F.col("r") / 5).cast("int").alias("r"), F.floor(F.col("c") / 5).cast("int").alias("c")).agg((F.count(F.lit(1)) / 25).alias("fraction")), f"WITH bx AS (SELECT * FROM ({BOXES}) WHERE cell <= 200), p AS (SELECT *, unnest(range(CAST(floor(y0 / 2) AS BIGINT), CAST(ceil(y1 / 2) AS BIGINT))) AS r FROM bx), q AS (SELECT DISTINCT r, unnest(range(CAST(floor(x0 / 2) AS BIGINT), CAST(ceil(x1 / 2) AS BIGINT))) AS c FROM p) SELECT CAST(floor(r / 5.0) AS INT) AS r, CAST(floor(c / 5.0) AS INT) AS c, count(*) / 25.0 AS fraction FROM q GROUP BY 1, 2", ("cells",), "fraction")
+R.add("building_fraction", lambda s, d, c: relational.overlap_pairs(boxes(c), 2.0).select("r", "c").distinct().groupBy(F.floor(F.col("r") / 5).cast("int").alias("r"), F.floor(F.col("c") / 5).cast("int").alias("c")).agg((F.count(F.lit(1)) / 25).alias("fraction")), f"WITH bx AS (SELECT * FROM ({BOXES}) WHERE cell <= 200), p AS (SELECT *, unnest(range(CAST(floor(y0 / 2) AS BIGINT), CAST(ceil(y1 / 2) AS BIGINT))) AS r FROM bx), q AS (SELECT DISTINCT r, unnest(range(CAST(floor(x0 / 2) AS BIGINT), CAST(ceil(x1 / 2) AS BIGINT))) AS c FROM p) SELECT CAST(floor(r / 5.0) AS INT) AS r, CAST(floor(c / 5.0) AS INT) AS c, count(*) / 25.0 AS fraction FROM q GROUP BY 1, 2", ("cells",), "fraction")
 
 
 def segments(s, d, c):

@@ -66,3 +66,15 @@ def test_road_segmentize_cuts_every_line_at_one_metre(spark):
     got = {(x.r, x.c): x.length for x in QUERIES["road_segmentize"](spark, SF).collect()}
     same(got, want)
     assert math.isclose(sum(got.values()), len(cells) * length, rel_tol=1e-6)
+
+
+@tables
+def test_building_fraction_covers_every_box(spark):
+    covered = set()
+    for cell in view(spark, SF, "cells").collect():
+        x0, y0 = cell.x_m / 40, cell.y_m / 40
+        covered |= {(r, c) for r in range(math.floor(y0 / 2), math.ceil((y0 + 12.25) / 2)) for c in range(math.floor(x0 / 2), math.ceil((x0 + 7.5) / 2))}
+    want = {}
+    for r, c in covered:
+        want[r // 5, c // 5] = want.get((r // 5, c // 5), 0) + 1 / 25
+    same({(x.r, x.c): x.fraction for x in QUERIES["building_fraction"](spark, SF).collect()}, want)
