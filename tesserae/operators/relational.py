@@ -52,8 +52,11 @@ def unlisted(features: DataFrame, weights: DataFrame) -> DataFrame:
     return features.select("class").distinct().join(F.broadcast(weights), "class", "left_anti")
 
 
-def sample_points(points: DataFrame, px: DataFrame, west: float, north: float, res: float) -> DataFrame:
-    """Value of the pixel that holds each point (x, y): an equi-join on computed row and column."""
+def sample_points(points: DataFrame, px: DataFrame, west: float, north: float | Column, res: float) -> DataFrame:
+    """Value of the pixel that holds each point (x, y): an equi-join on computed row and column.
+
+    north may be a column of the points.
+    """
     at = points.withColumn("r", F.floor((F.lit(north) - F.col("y")) / res).cast("int")).withColumn("c", F.floor((F.col("x") - west) / res).cast("int"))
     return at.join(px, ["r", "c"])
 

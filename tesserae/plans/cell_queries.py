@@ -155,7 +155,16 @@ DEG = " UNION ALL ".join(
 R.add("nb_degradation", degradation, f"WITH {KNN} {DEG}", ("cells",), "mae")
 R.add("dedup_first", lambda s, d, c: c.groupBy("block_id").agg(F.min("cell_id").alias("cell_id")), "SELECT block_id, cell_id FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY cell_id) AS i FROM cells) WHERE i = 1", ("cells",))
 R.add("tile_ownership", lambda s, d, c: c.select("cell_id", *[x.alias(n) for x, n in zip(relational.tile_of(F.col("x_m"), F.col("y_m"), 5120.0), ("tile_x", "tile_y"), strict=True)]), "SELECT cell_id, CAST(floor(x_m / 5120.0) AS INT) AS tile_x, CAST(floor(y_m / 5120.0) AS INT) AS tile_y FROM cells", ("cells",))
-R.add("pt_sample_join", lambda s, d, c, px: relational.sample_points(c.where("cell_id <= 400").select("cell_id", (F.col("x_m") / 200).alias("x"), (F.col("y_m") / 50).alias("y")), px.select("r", "c", "base_proxy"), 0.0, 1000.0, 10.0).select("cell_id", "base_proxy"), "SELECT cell_id, base_proxy FROM cells JOIN grid_px g ON g.r = CAST(floor((1000 - y_m / 50) / 10) AS INT) AND g.c = CAST(floor(x_m / 200 / 10) AS INT) WHERE cell_id <= 400", ("cells", "grid_px"), "base_proxy")
+
+
+def point_samples(s, d, c, px):
+    """Values under all cells: y = 0 is the middle of the raster's last row, so its north grows with its rows as the cells' y does with theirs."""
+    edge = px.agg(((F.max("r") + 0.5) * 10.0).alias("north"))
+    points = c.select("cell_id", (F.col("x_m") / 200).alias("x"), (F.col("y_m") / 50).alias("y")).crossJoin(F.broadcast(edge))
+    return relational.sample_points(points, px.select("r", "c", "base_proxy"), 0.0, F.col("north"), 10.0).select("cell_id", "base_proxy")
+
+
+R.add("pt_sample_join", point_samples, "SELECT cell_id, base_proxy FROM cells JOIN grid_px g ON g.r = CAST(floor((1000 - y_m / 50) / 10) AS INT) AND g.c = CAST(floor(x_m / 200 / 10) AS INT) WHERE cell_id <= 400", ("cells", "grid_px"), "base_proxy")
 R.add("coverage_sites", lambda s, d, c, px: relational.sample_points(c.where("cell_id <= 7").select("cell_id", (F.col("x_m") / 200).alias("x"), (F.col("y_m") / 50).alias("y")), px, 0.0, 10.0, 10.0).select("cell_id", "radiance", "base_proxy", "occ"), "SELECT cell_id, g.radiance, base_proxy, occ FROM cells JOIN grid_px g ON g.r = CAST(floor((10 - y_m / 50) / 10) AS INT) AND g.c = CAST(floor(x_m / 200 / 10) AS INT) WHERE cell_id <= 7", ("cells", "grid_px"), "radiance base_proxy occ")
 BOXES = "SELECT cell_id AS cell, x_m / 40.0 AS x0, y_m / 40.0 AS y0, x_m / 40.0 + 7.5 AS x1, y_m / 40.0 + 12.25 AS y1 FROM cells"
 

@@ -78,3 +78,15 @@ def test_building_fraction_covers_every_box(spark):
     for r, c in covered:
         want[r // 5, c // 5] = want.get((r // 5, c // 5), 0) + 1 / 25
     same({(x.r, x.c): x.fraction for x in QUERIES["building_fraction"](spark, SF).collect()}, want)
+
+
+@tables
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", SF])
+def test_pt_sample_join_samples_every_cell(spark, sf):
+    px = {(x.r, x.c): x.base_proxy for x in view(spark, sf, "grid_px").select("r", "c", "base_proxy").collect()}
+    north = (max(r for r, _ in px) + 0.5) * 10
+    cells = view(spark, sf, "cells").collect()
+    want = {x.cell_id: px[at] for x in cells if (at := (math.floor((north - x.y_m / 50) / 10), math.floor(x.x_m / 200 / 10))) in px}
+    got = {x.cell_id: x.base_proxy for x in QUERIES["pt_sample_join"](spark, sf).collect()}
+    assert len(got) == len(cells) and got.keys() == want.keys()
+    assert all(got[k] is want[k] is None or math.isclose(got[k], want[k], rel_tol=1e-6, abs_tol=2e-5) for k in want)
