@@ -148,7 +148,7 @@ R.add("sink_metrics", metrics, "SELECT 'pixels' AS name, count(*) AS n, NULL AS
 
 def geometry(s, d, c):
     """Closed rings from ordered corners, with area and whether they close."""
-    corners = c.where("cell_id <= 100").select("cell_id", F.array(*[F.struct((F.col("x_m") + a).alias("x"), (F.col("y_m") + b).alias("y")) for a, b in ((0.0, 0.0), (30.0, 0.0), (30.0, 20.0), (0.0, 20.0), (0.0, 0.0))]).alias("ring"))
+    corners = c.select("cell_id", F.array(*[F.struct((F.col("x_m") + a).alias("x"), (F.col("y_m") + b).alias("y")) for a, b in ((0.0, 0.0), (30.0, 0.0), (30.0, 20.0), (0.0, 20.0), (0.0, 0.0))]).alias("ring"))
     pair = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda p, q: p.x * q.y - q.x * p.y)
     return corners.select("cell_id", (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"), F.abs(F.aggregate(pair, F.lit(0.0), lambda a, v: a + v) / 2).alias("area"))
 

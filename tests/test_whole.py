@@ -90,3 +90,10 @@ def test_pt_sample_join_samples_every_cell(spark, sf):
     got = {x.cell_id: x.base_proxy for x in QUERIES["pt_sample_join"](spark, sf).collect()}
     assert len(got) == len(cells) and got.keys() == want.keys()
     assert all(got[k] is want[k] is None or math.isclose(got[k], want[k], rel_tol=1e-6, abs_tol=2e-5) for k in want)
+
+
+@tables
+def test_osm_geometry_builds_every_ring(spark):
+    got = {x.cell_id: (x.closed, x.area) for x in QUERIES["osm_geometry"](spark, SF).collect()}
+    assert got == {x.cell_id: (True, 600.0) for x in view(spark, SF, "cells").select("cell_id").collect()}
+    assert len(got) == 1500
