@@ -204,7 +204,16 @@ RES_SQL = "x AS (SELECT d, r, c, ln(1 + greatest(radiance, 0.0)) AS x, age_days
 R.add("within_cell_residual", lambda s, d, o: statistics.within_cell_residual(o, KEYS, "radiance", True).select("source_index", "residual"), "WITH x AS (SELECT source_index, r, c, ln(1 + greatest(radiance, 0.0)) AS x FROM daily_obs), q AS (SELECT r, c, median(x) AS m FROM x GROUP BY r, c) SELECT source_index, x.x - q.m AS residual FROM x JOIN q USING (r, c)", ("daily_obs",), "residual")
 R.add("obs_conditions", lambda s, d, o: statistics.within_cell_residual(o, KEYS, "radiance", True).withColumn("age", F.col("age_days").cast("double")).agg(F.count("residual").alias("n"), statistics.pearson("residual", "age").alias("pearson"), F.avg(F.abs("residual")).alias("mean_abs")).withColumn("r2", F.col("pearson") * F.col("pearson")), f"WITH {RES_SQL}, t AS (SELECT count(residual) AS n, covar_pop(residual, age_days) / nullif(stddev_pop(residual) * stddev_pop(age_days), 0) AS pearson, avg(abs(residual)) AS mean_abs FROM w) SELECT *, pearson * pearson AS r2 FROM t", ("daily_obs",), "pearson mean_abs r2")
 R.add("obs_invariants", lambda s, d, o: o.groupBy("datatake").agg(F.min("mqf").alias("least"), F.max("mqf").alias("most"), F.to_json(F.sort_array(F.collect_set("mqf"))).alias("kinds"), (F.count_distinct("mqf") > 1).alias("varies")), "SELECT datatake, min(mqf) AS least, max(mqf) AS most, CAST(to_json(list_sort(list(DISTINCT mqf))) AS VARCHAR) AS kinds, count(DISTINCT mqf) > 1 AS varies FROM daily_obs GROUP BY datatake", ("daily_obs",))
-R.add("band_summary", lambda s, d, o: o.groupBy("datatake").agg(F.min("radiance").alias("least"), F.max("radiance").alias("most"), F.avg("radiance").alias("mean"), F.count("radiance").alias("n"), F.count_distinct("d").alias("days"), F.slice(F.sort_array(F.collect_list("source_index")), 1, 3).alias("first_images")), "SELECT datatake, min(radiance) AS least, max(radiance) AS most, avg(radiance) AS mean, count(radiance) AS n, count(DISTINCT d) AS days, list_sort(list(source_index))[1:3] AS first_images FROM daily_obs GROUP BY datatake", ("daily_obs",), "least most mean")
+
+
+def band_images(s, d, o):
+    """Every source image of a datatake as a row, with the datatake's summary beside it."""
+    summary = o.groupBy("datatake").agg(F.min("radiance").alias("least"), F.max("radiance").alias("most"), F.avg("radiance").alias("mean"), F.count("radiance").alias("n"), F.count_distinct("d").alias("days"))
+    # there are four datatakes, so the images stay where they are
+    return o.select("datatake", "source_index").join(F.broadcast(summary), "datatake").select("datatake", "least", "most", "mean", "n", "days", "source_index")
+
+
+R.add("band_summary", band_images, "SELECT datatake, min(radiance) AS least, max(radiance) AS most, avg(radiance) AS mean, count(radiance) AS n, count(DISTINCT d) AS days, list_sort(list(source_index))[1:3] AS first_images FROM daily_obs GROUP BY datatake", ("daily_obs",), "least most mean")
 
 # --- blocks, bands, comparisons
 R.add("block_mean", lambda s, d, px: stencil.block_mean(px, "radiance", 2, True), "SELECT CAST(floor(r / 2.0) AS INT) AS br, CAST(floor(c / 2.0) AS INT) AS bc, CASE WHEN count(radiance) = 4 THEN avg(radiance) END AS mean, count(radiance) AS n FROM grid_px GROUP BY 1, 2", ("grid_px",), "mean")

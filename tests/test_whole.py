@@ -97,3 +97,18 @@ def test_osm_geometry_builds_every_ring(spark):
     got = {x.cell_id: (x.closed, x.area) for x in QUERIES["osm_geometry"](spark, SF).collect()}
     assert got == {x.cell_id: (True, 600.0) for x in view(spark, SF, "cells").select("cell_id").collect()}
     assert len(got) == 1500
+
+
+@tables
+def test_band_summary_has_every_image(spark):
+    takes = {}
+    for x in view(spark, SF, "daily_obs").select("datatake", "source_index", "radiance", "d").collect():
+        takes.setdefault(x.datatake, []).append(x)
+    out = QUERIES["band_summary"](spark, SF).collect()
+    assert sorted((x.datatake, x.source_index) for x in out) == sorted((k, x.source_index) for k, rows in takes.items() for x in rows)
+    summaries = {(x.datatake, x.least, x.most, x.mean, x.n, x.days) for x in out}
+    assert len(summaries) == len(takes)
+    for k, least, most, mean, n, days in summaries:
+        v = [x.radiance for x in takes[k] if x.radiance is not None]
+        assert (n, days) == (len(v), len({x.d for x in takes[k]}))
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-5) for a, b in zip((least, most, mean), (min(v), max(v), math.fsum(v) / n), strict=True))
