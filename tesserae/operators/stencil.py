@@ -152,6 +152,13 @@ def nearest_distance(px: DataFrame, target: Column, cap: int, pixel_m: float) ->
     return px.join(found, ["r", "c"], "left")
 
 
+def lattice(px: DataFrame) -> DataFrame:
+    """Every place (r, c) of the raster's extent, whether a pixel is there or not."""
+    ends = px.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    rows = ends.select(F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").repartition("r")
+    return rows.select("r", F.explode(F.sequence("c0", "c1")).alias("c"))
+
+
 def tile_halo(px: DataFrame, tile: int, halo: int) -> DataFrame:
     """Pixels copied to every tile whose window, widened by the halo, holds them; `core`: in the tile itself."""
     lo = lambda x: F.floor((F.col(x) - halo) / tile).cast("int")

@@ -282,17 +282,35 @@ PAIR_SQL = f"u AS (SELECT r, c, CASE WHEN count(CASE WHEN {accepts('strict')} TH
 R.add("qa_coverage_compare", lambda s, d, o: qa_pairs(o).agg(F.count("strict").alias("n_strict"), F.count("broad").alias("n_broad"), F.count_if(F.col("strict").isNull() & F.col("broad").isNotNull()).alias("n_broad_only"), F.avg(F.when(F.col("strict").isNull(), F.col("broad"))).alias("broad_only_mean"), (F.count("broad") * 0.0001).alias("area_km2"), statistics.pearson("strict", "broad").alias("pearson")), f"WITH {PAIR_SQL} SELECT count(strict) AS n_strict, count(broad) AS n_broad, count(*) FILTER (strict IS NULL AND broad IS NOT NULL) AS n_broad_only, avg(CASE WHEN strict IS NULL THEN broad END) AS broad_only_mean, count(broad) * 0.0001 AS area_km2, (SELECT covar_pop(strict, broad) / nullif(stddev_pop(strict) * stddev_pop(broad), 0) FROM u WHERE strict IS NOT NULL AND broad IS NOT NULL) AS pearson FROM u", ("daily_obs",), "broad_only_mean area_km2 pearson")
 R.add("broad_audit", lambda s, d, o: statistics.comparison(qa_pairs(o), "strict", "broad").selectExpr("'common' AS part", "n", "mae AS value").unionByName(qa_pairs(o).where("strict is null and broad is not null").agg(F.lit("newly_filled").alias("part"), F.count(F.lit(1)).alias("n"), F.avg("broad").alias("value"))), f"WITH {PAIR_SQL} SELECT 'common' AS part, count(*) AS n, avg(abs(broad - strict)) AS value FROM u WHERE strict IS NOT NULL AND broad IS NOT NULL UNION ALL SELECT 'newly_filled', count(*), avg(broad) FROM u WHERE strict IS NULL AND broad IS NOT NULL", ("daily_obs",), "value")
 R.add("quantile_limits", lambda s, d, px: px.agg(F.percentile("radiance", F.lit(0.02)).alias("p02"), F.percentile("radiance", F.lit(0.98)).alias("p98"), F.percentile("radiance", F.lit(0.995)).alias("p995")), "SELECT quantile_cont(radiance, 0.02) AS p02, quantile_cont(radiance, 0.98) AS p98, quantile_cont(radiance, 0.995) AS p995 FROM grid_px", ("grid_px",), "p02 p98 p995")
-R.add("resample_nearest", lambda s, d, px: s.range(50).select(F.col("id").alias("i"), (F.col("id") * 4.1).alias("y"), (F.col("id") * 3.7).alias("x")).transform(lambda p: p.withColumn("r", F.floor(F.col("y") / 20).cast("int")).withColumn("c", F.floor(F.col("x") / 10).cast("int"))).join(px.select(*KEYS, "radiance"), KEYS).select("i", "radiance"), "SELECT i, radiance FROM (SELECT unnest(range(50)) AS i) p JOIN grid_px g ON g.r = CAST(floor(i * 4.1 / 20) AS INT) AND g.c = CAST(floor(i * 3.7 / 10) AS INT)", ("grid_px",), "radiance")
+
+
+def targets(at, step, start, size):
+    """Indices k of target places k * step + start that lie in the source pixel `at` of the given size."""
+    first, last = F.floor((F.col(at) * size - start) / step) - 1, F.floor(((F.col(at) + 1) * size - start) / step) + 1
+    return F.explode(F.filter(F.sequence(first, last), lambda k: F.floor((k * step + start) / size) == F.col(at)))
+
+
+def nearest(s, d, px):
+    """Every target of the raster's extent takes the value of the source pixel that holds it, null in a hole."""
+    held = stencil.lattice(px).join(px.select(*KEYS, "radiance"), KEYS, "left")
+    return held.withColumn("i", targets("r", 4.1, 0.0, 20.0)).withColumn("j", targets("c", 3.7, 0.0, 10.0)).select("i", "j", "radiance")
+
+
+R.add("resample_nearest", nearest, "SELECT i, radiance FROM (SELECT unnest(range(50)) AS i) p JOIN grid_px g ON g.r = CAST(floor(i * 4.1 / 20) AS INT) AND g.c = CAST(floor(i * 3.7 / 10) AS INT)", ("grid_px",), "radiance")
 
 
 def bilinear(s, d, px):
-    p = s.range(60).select(F.col("id").alias("i"), (F.col("id") * 0.13 + 0.25).alias("y"), (F.col("id") * 0.29 + 0.25).alias("x"))
-    taps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    fy, fx = F.col("y") - F.floor("y"), F.col("x") - F.floor("x")
-    each = p.withColumn("t", taps).withColumn("w", F.when(F.col("t.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("t.b") == 1, fx).otherwise(1 - fx))
-    each = each.select("i", "w", (F.floor("y") + F.col("t.a")).cast("int").alias("r"), (F.floor("x") + F.col("t.b")).cast("int").alias("c"))
-    met = each.join(px.select(*KEYS, "base_proxy"), KEYS)
-    return met.groupBy("i").agg(F.when(F.count("base_proxy") == 4, F.sum(F.col("w") * F.col("base_proxy"))).alias("value"))
+    """Every target of the raster's extent from the four pixels around it, null where one is missing."""
+    # a source pixel is a corner of four squares, so the squares meet their corners before targets are made
+    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
+    taps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in corners]))
+    each = px.select(*KEYS, "base_proxy", taps.alias("t")).select((F.col("r") - F.col("t.a")).alias("r"), (F.col("c") - F.col("t.b")).alias("c"), "t", "base_proxy")
+    squares = each.groupBy(*KEYS).agg(*[F.max(F.when((F.col("t.a") == a) & (F.col("t.b") == b), F.col("base_proxy"))).alias(f"v{a}{b}") for a, b in corners])
+    held = stencil.lattice(px).join(squares, KEYS, "left").withColumn("i", targets("r", 0.13, 0.25, 1.0)).withColumn("j", targets("c", 0.29, 0.25, 1.0))
+    y, x = F.col("i") * 0.13 + 0.25, F.col("j") * 0.29 + 0.25
+    fy, fx = y - F.floor(y), x - F.floor(x)
+    parts = [(fy if a else 1 - fy) * (fx if b else 1 - fx) * F.col(f"v{a}{b}") for a, b in corners]
+    return held.select("i", "j", (parts[0] + parts[1] + parts[2] + parts[3]).alias("value"))
 
 
 R.add("resample_bilinear", bilinear, "WITH p AS (SELECT i, i * 0.13 + 0.25 AS y, i * 0.29 + 0.25 AS x FROM (SELECT unnest(range(60)) AS i)), t AS (SELECT i, a, b, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w, CAST(floor(y) AS INT) + a AS r, CAST(floor(x) AS INT) + b AS c FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS v(a, b)) SELECT i, CASE WHEN count(base_proxy) = 4 THEN sum(w * base_proxy) END AS value FROM t JOIN grid_px USING (r, c) GROUP BY i", ("grid_px",), "value")

@@ -112,3 +112,44 @@ def test_band_summary_has_every_image(spark):
         v = [x.radiance for x in takes[k] if x.radiance is not None]
         assert (n, days) == (len(v), len({x.d for x in takes[k]}))
         assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-5) for a, b in zip((least, most, mean), (min(v), max(v), math.fsum(v) / n), strict=True))
+
+
+def pixels_of(spark, sf, value):
+    return {(x.r, x.c): x[value] for x in view(spark, sf, "grid_px").select("r", "c", value).collect()}
+
+
+def indices(step, start, size, last):
+    """k whose place k * step + start lies in pixels 0 to last."""
+    return [k for k in range(-5, int((last + 1) * size / step) + 5) if 0 <= math.floor((k * step + start) / size) <= last]
+
+
+def same_or_null(got, want):
+    assert got.keys() == want.keys()
+    assert all((got[k] is None and want[k] is None) or math.isclose(got[k], want[k], rel_tol=1e-6, abs_tol=2e-5) for k in want)
+
+
+@tables
+def test_resample_nearest_covers_the_raster(spark):
+    px = pixels_of(spark, SF, "radiance")
+    r1, c1 = max(r for r, _ in px), max(c for _, c in px)
+    want = {(i, j): px.get((math.floor(i * 4.1 / 20), math.floor(j * 3.7 / 10))) for i in indices(4.1, 0.0, 20, r1) for j in indices(3.7, 0.0, 10, c1)}
+    rows = QUERIES["resample_nearest"](spark, SF).collect()
+    assert len(rows) == len(want)
+    same_or_null({(x.i, x.j): x.radiance for x in rows}, want)
+
+
+@tables
+def test_resample_bilinear_covers_the_raster(spark):
+    px = pixels_of(spark, SF, "base_proxy")
+    r1, c1 = max(r for r, _ in px), max(c for _, c in px)
+    want = {}
+    for i in indices(0.13, 0.25, 1, r1):
+        for j in indices(0.29, 0.25, 1, c1):
+            y, x = i * 0.13 + 0.25, j * 0.29 + 0.25
+            r, c, fy, fx = math.floor(y), math.floor(x), y - math.floor(y), x - math.floor(x)
+            v = [px.get((r + a, c + b)) for a in (0, 1) for b in (0, 1)]
+            w = [(1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx]
+            want[i, j] = None if None in v else sum(p * q for p, q in zip(v, w, strict=True))
+    rows = QUERIES["resample_bilinear"](spark, SF).collect()
+    assert len(rows) == len(want)
+    same_or_null({(x.i, x.j): x.value for x in rows}, want)
