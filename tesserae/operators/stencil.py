@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Support of a mean at which float32 noise begins.
@@ -152,6 +152,49 @@ def nearest_distance(px: DataFrame, target: Column, cap: int, pixel_m: float) ->
     return px.join(found, ["r", "c"], "left")
 
 
+def exact_distance(px: DataFrame, target: Column, pixel_m: float) -> DataFrame:
+    """(r, c, distance) of all pixels: exact Euclidean distance in metres to the nearest target however far, null if there is none.
+
+    Two passes over the raster's extent: windows give the rows to the nearest target of the
+    same column, then each row takes the lower envelope of its columns' parabolas.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, g = pdf["c"].to_numpy().astype(float), pdf["g"].to_numpy().astype(float)
+        top: list[tuple[float, float]] = []  # column of a parabola and its height there
+        start: list[float] = []  # where it becomes the lowest
+        for at in np.argsort(c):
+            if np.isnan(g[at]):
+                continue
+            k, h, left = c[at], g[at] ** 2, -np.inf
+            while top:
+                left = ((h + k * k) - (top[-1][1] + top[-1][0] ** 2)) / (2 * (k - top[-1][0]))
+                if left > start[-1]:
+                    break
+                top.pop()
+                start.pop()
+                left = -np.inf
+            top.append((k, h))
+            start.append(left)
+        if top:
+            near = np.array(top)[np.searchsorted(start, c) - 1]
+            far = np.sqrt((c - near[:, 0]) ** 2 + near[:, 1]) * pixel_m
+        else:
+            far = [None] * len(c)
+        out = pd.DataFrame({"r": pdf["r"], "c": pdf["c"], "distance": pd.array(far, "Float64")})
+        return out[pdf["there"].to_numpy()]
+
+    marked = px.select("r", "c", F.lit(True).alias("there"), F.when(target, F.col("r")).alias("t"))
+    held = lattice(px).join(marked, ["r", "c"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    column = Window.partitionBy("c")
+    above, below = F.last("t", True).over(column.orderBy("r")), F.last("t", True).over(column.orderBy(F.desc("r")))
+    held = held.withColumn("above", above).withColumn("below", below)
+    held = held.select("r", "c", "there", F.least(F.col("r") - F.col("above"), F.col("below") - F.col("r")).cast("double").alias("g"))
+    return held.groupBy("r").applyInPandas(run, "r int, c int, distance double")
+
+
 def lattice(px: DataFrame) -> DataFrame:
     """Every place (r, c) of the raster's extent, whether a pixel is there or not."""
     ends = px.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))

@@ -225,7 +225,7 @@ def distances(px):
     return stencil.nearest_distance(px, F.col("occ") >= 90, 12, 10.0)
 
 
-R.add("edt_distance", lambda s, d, px: distances(px).select(*KEYS, "distance"), f"WITH {DIST_SQL} SELECT g.r, g.c, distance FROM grid_px g LEFT JOIN dist USING (r, c)", ("grid_px",), "distance")
+R.add("edt_distance", lambda s, d, px: stencil.exact_distance(px, F.col("occ") >= 90, 10.0), f"WITH {DIST_SQL} SELECT g.r, g.c, distance FROM grid_px g LEFT JOIN dist USING (r, c)", ("grid_px",), "distance")
 
 
 def with_bands(px):

@@ -5,8 +5,9 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tesserae.operators import relational
+from tesserae.operators import relational, stencil
 from tesserae.plans import catalogue
 from tesserae.sources.views import view
 
@@ -153,3 +154,23 @@ def test_resample_bilinear_covers_the_raster(spark):
     rows = QUERIES["resample_bilinear"](spark, SF).collect()
     assert len(rows) == len(want)
     same_or_null({(x.i, x.j): x.value for x in rows}, want)
+
+
+def test_distance_is_exact_however_far(spark):
+    draw = random.Random(5)
+    places = [(r, c) for r in range(3, 60) for c in range(2, 45) if draw.random() > 0.1]
+    water = set(draw.sample([p for p in places if p[0] < 15 and p[1] < 12], 9))
+    px = spark.createDataFrame([(r, c, (r, c) in water) for r, c in places], "r int, c int, water boolean")
+    got = {(x.r, x.c): x.distance for x in stencil.exact_distance(px, F.col("water"), 10.0).collect()}
+    want = {(r, c): min(math.hypot(r - a, c - b) for a, b in water) * 10 for r, c in places}
+    assert max(want.values()) > 400
+    same(got, want)
+    assert {x.distance for x in stencil.exact_distance(px, F.lit(False), 10.0).collect()} == {None}
+
+
+def test_edt_distance_has_no_radius(spark, tmp_path):
+    # 100 rows of 20 pixels, with water in the first only
+    spark.range(2000).selectExpr("id AS p_partkey", "CAST(IF(id = 3, 50, 1) AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2000).selectExpr("id AS l_partkey", "1.0D AS l_extendedprice", "1.0D AS l_quantity", "0.0D AS l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(x.r, x.c): x.distance for x in QUERIES["edt_distance"](spark, str(tmp_path)).collect()}
+    same(got, {(r, c): math.hypot(r, c - 3) * 10 for r in range(100) for c in range(20)})
