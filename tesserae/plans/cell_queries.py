@@ -157,15 +157,16 @@ R.add("dedup_first", lambda s, d, c: c.groupBy("block_id").agg(F.min("cell_id").
 R.add("tile_ownership", lambda s, d, c: c.select("cell_id", *[x.alias(n) for x, n in zip(relational.tile_of(F.col("x_m"), F.col("y_m"), 5120.0), ("tile_x", "tile_y"), strict=True)]), "SELECT cell_id, CAST(floor(x_m / 5120.0) AS INT) AS tile_x, CAST(floor(y_m / 5120.0) AS INT) AS tile_y FROM cells", ("cells",))
 
 
-def point_samples(s, d, c, px):
-    """Values under all cells: y = 0 is the middle of the raster's last row, so its north grows with its rows as the cells' y does with theirs."""
+def point_samples(c, px):
+    """Pixels under all cells: y = 0 is the middle of the raster's last row, so its north grows with its rows as the cells' y does with theirs."""
     edge = px.agg(((F.max("r") + 0.5) * 10.0).alias("north"))
-    points = c.select("cell_id", (F.col("x_m") / 200).alias("x"), (F.col("y_m") / 50).alias("y")).crossJoin(F.broadcast(edge))
-    return relational.sample_points(points, px.select("r", "c", "base_proxy"), 0.0, F.col("north"), 10.0).select("cell_id", "base_proxy")
+    points = c.select("cell_id", (F.col("x_m") / 200).alias("x"), (F.col("y_m") / 50).alias("y")).crossJoin(F.broadcast(edge))  # one row
+    return relational.sample_points(points, px, 0.0, F.col("north"), 10.0)
 
 
-R.add("pt_sample_join", point_samples, "SELECT cell_id, base_proxy FROM cells JOIN grid_px g ON g.r = CAST(floor((1000 - y_m / 50) / 10) AS INT) AND g.c = CAST(floor(x_m / 200 / 10) AS INT) WHERE cell_id <= 400", ("cells", "grid_px"), "base_proxy")
-R.add("coverage_sites", lambda s, d, c, px: relational.sample_points(c.where("cell_id <= 7").select("cell_id", (F.col("x_m") / 200).alias("x"), (F.col("y_m") / 50).alias("y")), px, 0.0, 10.0, 10.0).select("cell_id", "radiance", "base_proxy", "occ"), "SELECT cell_id, g.radiance, base_proxy, occ FROM cells JOIN grid_px g ON g.r = CAST(floor((10 - y_m / 50) / 10) AS INT) AND g.c = CAST(floor(x_m / 200 / 10) AS INT) WHERE cell_id <= 7", ("cells", "grid_px"), "radiance base_proxy occ")
+UNDER = "JOIN grid_px g ON g.r = CAST(floor(((SELECT max(r) + 0.5 FROM grid_px) * 10 - y_m / 50) / 10) AS INT) AND g.c = CAST(floor(x_m / 200 / 10) AS INT)"
+R.add("pt_sample_join", lambda s, d, c, px: point_samples(c, px).select("cell_id", "base_proxy"), f"SELECT cell_id, base_proxy FROM cells {UNDER}", ("cells", "grid_px"), "base_proxy")
+R.add("coverage_sites", lambda s, d, c, px: point_samples(c.select("cell_id", "x_m", "y_m"), px).select("cell_id", "radiance", "base_proxy", "occ"), f"SELECT cell_id, g.radiance, base_proxy, occ FROM cells {UNDER}", ("cells", "grid_px"), "radiance base_proxy occ")
 BOXES = "SELECT cell_id AS cell, x_m / 40.0 AS x0, y_m / 40.0 AS y0, x_m / 40.0 + 7.5 AS x1, y_m / 40.0 + 12.25 AS y1 FROM cells"
 
 
@@ -179,7 +180,8 @@ def footprints(c):
 
 
 R.add("overlap_pairs", lambda s, d, c: relational.overlap_pairs(boxes(c), 5.0), f"WITH bx AS ({BOXES}), p AS (SELECT *, unnest(range(CAST(floor(y0 / 5) AS BIGINT), CAST(ceil(y1 / 5) AS BIGINT))) AS r FROM bx), q AS (SELECT *, unnest(range(CAST(floor(x0 / 5) AS BIGINT), CAST(ceil(x1 / 5) AS BIGINT))) AS c FROM p), a AS (SELECT cell, CAST(r AS INT) AS r, CAST(c AS INT) AS c, greatest(0.0, least(x1, (c + 1) * 5.0) - greatest(x0, c * 5.0)) * greatest(0.0, least(y1, (r + 1) * 5.0) - greatest(y0, r * 5.0)) AS area FROM q) SELECT * FROM a WHERE area > 1e-8", ("cells",), "area")
-R.add("spatial_overlap_join", lambda s, d, c: relational.box_overlaps(boxes(c).withColumnRenamed("cell", "id"), footprints(c), 25.0), f"WITH bx AS ({BOXES}), j AS (SELECT a.cell AS a_id, b.cell AS b_id, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h FROM bx a JOIN bx b ON a.cell % 2 = 0 AND b.cell % 2 = 1) SELECT a_id, b_id, w * h AS area FROM j WHERE w > 0 AND h > 0", ("cells",), "area")
+FEET = "SELECT cell_id AS cell, x_m / 40.0 AS x0, y_m / 40.0 AS y0, (x_m + 750) / 40.0 AS x1, (y_m + 750) / 40.0 AS y1 FROM cells"
+R.add("spatial_overlap_join", lambda s, d, c: relational.box_overlaps(boxes(c).withColumnRenamed("cell", "id"), footprints(c), 25.0), f"WITH bx AS ({BOXES}), ft AS ({FEET}) SELECT a.cell AS a_id, b.cell AS b_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area FROM bx a JOIN ft b ON least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)", ("cells",), "area")
 
 # --- features
 
@@ -196,7 +198,7 @@ R.add("geom_measure", lambda s, d, f: relational.weighted_measure(f, class_weigh
 R.add("road_class_anti", lambda s, d, f: relational.unlisted(f, class_weights(s, d).where("class not like 'P%'")), f"WITH {WEIGHTS} SELECT DISTINCT class FROM features WHERE class NOT IN (SELECT class FROM cw WHERE class NOT LIKE 'P%')", ("features",))
 R.add("osm_consolidate", lambda s, d, f: f.dropDuplicates(["feature_id", "class"]).groupBy("class").agg(F.count(F.lit(1)).alias("n")), "SELECT class, count(DISTINCT feature_id) AS n FROM features GROUP BY class", ("features",))
 R.add("water_class_filter", lambda s, d: s.createDataFrame([("river", "Polygon"), ("pool", "Polygon"), ("river", "LineString"), ("lake", "MultiPolygon")], "class string, kind string").where(F.col("class").isin(*relational.AREAL_WATER) & F.col("kind").isin("Polygon", "MultiPolygon")), "SELECT * FROM (VALUES ('river', 'Polygon'), ('lake', 'MultiPolygon')) AS t(class, kind)")
-R.add("building_fraction", lambda s, d, c: relational.overlap_pairs(boxes(c), 2.0).select("r", "c").distinct().groupBy(F.floor(F.col("r") / 5).cast("int").alias("r"), F.floor(F.col("c") / 5).cast("int").alias("c")).agg((F.count(F.lit(1)) / 25).alias("fraction")), f"WITH bx AS (SELECT * FROM ({BOXES}) WHERE cell <= 200), p AS (SELECT *, unnest(range(CAST(floor(y0 / 2) AS BIGINT), CAST(ceil(y1 / 2) AS BIGINT))) AS r FROM bx), q AS (SELECT DISTINCT r, unnest(range(CAST(floor(x0 / 2) AS BIGINT), CAST(ceil(x1 / 2) AS BIGINT))) AS c FROM p) SELECT CAST(floor(r / 5.0) AS INT) AS r, CAST(floor(c / 5.0) AS INT) AS c, count(*) / 25.0 AS fraction FROM q GROUP BY 1, 2", ("cells",), "fraction")
+R.add("building_fraction", lambda s, d, c: relational.overlap_pairs(boxes(c), 2.0).select("r", "c").distinct().groupBy(F.floor(F.col("r") / 5).cast("int").alias("r"), F.floor(F.col("c") / 5).cast("int").alias("c")).agg((F.count(F.lit(1)) / 25).alias("fraction")), f"WITH bx AS ({BOXES}), p AS (SELECT *, unnest(range(CAST(floor(y0 / 2) AS BIGINT), CAST(ceil(y1 / 2) AS BIGINT))) AS r FROM bx), q AS (SELECT DISTINCT r, unnest(range(CAST(floor(x0 / 2) AS BIGINT), CAST(ceil(x1 / 2) AS BIGINT))) AS c FROM p) SELECT CAST(floor(r / 5.0) AS INT) AS r, CAST(floor(c / 5.0) AS INT) AS c, count(*) / 25.0 AS fraction FROM q GROUP BY 1, 2", ("cells",), "fraction")
 
 
 def segments(s, d, c):
@@ -209,7 +211,7 @@ def segments(s, d, c):
     return at.groupBy("r", "c").agg(F.sum("length").alias("length"))
 
 
-R.add("road_segmentize", segments, "WITH l AS (SELECT x_m AS x, y_m AS y, sqrt(137.0 * 137.0 + 91.0 * 91.0) AS len, CAST(ceil(sqrt(137.0 * 137.0 + 91.0 * 91.0) / 10) AS INT) AS n FROM cells WHERE cell_id <= 300), e AS (SELECT *, unnest(range(n)) AS i FROM l) SELECT CAST(floor((y + 91.0 * ((i + 0.5) / n)) / 50) AS INT) AS r, CAST(floor((x + 137.0 * ((i + 0.5) / n)) / 50) AS INT) AS c, sum(len / n) AS length FROM e GROUP BY 1, 2", ("cells",), "length")
+R.add("road_segmentize", segments, "WITH l AS (SELECT x_m AS x, y_m AS y, sqrt(137.0 * 137.0 + 91.0 * 91.0) AS len, CAST(ceil(sqrt(137.0 * 137.0 + 91.0 * 91.0)) AS INT) AS n FROM cells), e AS (SELECT *, unnest(range(n)) AS i FROM l) SELECT CAST(floor((y + 91.0 * ((i + 0.5) / n)) / 50) AS INT) AS r, CAST(floor((x + 137.0 * ((i + 0.5) / n)) / 50) AS INT) AS c, sum(len / n) AS length FROM e GROUP BY 1, 2", ("cells",), "length")
 
 # --- coordinates and names
 LL = "ll AS (SELECT cell_id, -70.0 + x_m / 200.0 AS lat, -179.0 + y_m / 65.0 AS lon FROM cells)"

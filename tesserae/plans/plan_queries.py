@@ -33,7 +33,7 @@ SLUG = "trim(regexp_replace(lower(trim({})), '[^a-z0-9]+', '_', 'g'), '_')"
 R.add("src_city_registry", lambda s, d: artifacts.registry(cities(s, d), text.slug, text.lat_lon), f"SELECT {SLUG.format('country')} || '_' || {SLUG.format('city')} AS city_id, city, country, CAST(split_part(center, ',', 1) AS DOUBLE) AS lat, CAST(trim(split_part(center, ',', 2)) AS DOUBLE) AS lon, osm_coverage FROM ({CITIES})", (), "lat lon")
 R.add("src_projected_scan", lambda s, d: t(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "SELECT c_custkey, c_nationkey, c_acctbal FROM customer", (), "c_acctbal")
 R.add("src_native_cells", lambda s, d, c: c.select("cell_id", (F.col("x_m") - 231.5).alias("west"), (F.col("y_m") - 231.5).alias("south"), (F.col("x_m") + 231.5).alias("east"), (F.col("y_m") + 231.5).alias("north"), "radiance").withColumn("area", (F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))), "SELECT cell_id, x_m - 231.5 AS west, y_m - 231.5 AS south, x_m + 231.5 AS east, y_m + 231.5 AS north, radiance, 463.0 * 463.0 AS area FROM cells", ("cells",), "west south east north radiance area")
-R.add("city_select", lambda s, d: s.createDataFrame([(0, "JAPAN"), (1, "INDIA"), (2, "BRAZIL")], "ordinal int, city string").transform(lambda o: cities(s, d).join(F.broadcast(o), "city").select("ordinal", "city", "country").orderBy("ordinal")), f"SELECT ordinal, city, country FROM ({CITIES}) JOIN (VALUES (0, 'JAPAN'), (1, 'INDIA'), (2, 'BRAZIL')) AS o(ordinal, city) USING (city)")
+R.add("city_select", lambda s, d: s.createDataFrame([(0, "NATION_17"), (1, "NATION_3"), (2, "NATION_8")], "ordinal int, city string").transform(lambda o: cities(s, d).join(F.broadcast(o), "city").select("ordinal", "city", "country").orderBy("ordinal")), f"SELECT ordinal, city, country FROM ({CITIES}) JOIN (VALUES (0, 'NATION_17'), (1, 'NATION_3'), (2, 'NATION_8')) AS o(ordinal, city) USING (city)")
 NOTE = "coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END), ''), nullif(trim(CASE WHEN o_orderkey % 2 = 0 THEN '  ' END), ''), o_orderstatus) AS note"
 R.add("city_notes", lambda s, d: t(s, d, "orders").selectExpr("o_orderkey", NOTE), f"SELECT o_orderkey, {NOTE} FROM orders")
 R.add("city_holdout", lambda s, d: t(s, d, "nation").select("n_nationkey", F.xxhash64("n_nationkey", F.lit(20260728)).alias("draw")).orderBy("draw").limit(5))
@@ -153,7 +153,8 @@ def geometry(s, d, c):
     return corners.select("cell_id", (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"), F.abs(F.aggregate(pair, F.lit(0.0), lambda a, v: a + v) / 2).alias("area"))
 
 
-R.add("osm_geometry", geometry, "SELECT cell_id, true AS closed, 600.0 AS area FROM cells WHERE cell_id <= 100", ("cells",), "area")
+RING = "[(x_m, y_m), (x_m + 30, y_m), (x_m + 30, y_m + 20), (x_m, y_m + 20), (x_m, y_m)]"
+R.add("osm_geometry", geometry, f"WITH g AS (SELECT cell_id, {RING} AS ring FROM cells), p AS (SELECT cell_id, ring[1] = ring[5] AS closed, unnest(range(1, 5)) AS i, ring FROM g) SELECT cell_id, bool_and(closed) AS closed, abs(sum(ring[i][1] * ring[i + 1][2] - ring[i + 1][1] * ring[i][2])) / 2 AS area FROM p GROUP BY cell_id", ("cells",), "area", digits=3)
 
 # --- streams
 R.add("events_daily_window", lambda s, d: streaming.daily_window(t(s, d, "events")), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total, max(value) AS most FROM events GROUP BY 1, 2", (), "total most")

@@ -213,7 +213,7 @@ def band_images(s, d, o):
     return o.select("datatake", "source_index").join(F.broadcast(summary), "datatake").select("datatake", "least", "most", "mean", "n", "days", "source_index")
 
 
-R.add("band_summary", band_images, "SELECT datatake, min(radiance) AS least, max(radiance) AS most, avg(radiance) AS mean, count(radiance) AS n, count(DISTINCT d) AS days, list_sort(list(source_index))[1:3] AS first_images FROM daily_obs GROUP BY datatake", ("daily_obs",), "least most mean")
+R.add("band_summary", band_images, "SELECT o.datatake, least, most, mean, n, days, source_index FROM daily_obs o JOIN (SELECT datatake, min(radiance) AS least, max(radiance) AS most, avg(radiance) AS mean, count(radiance) AS n, count(DISTINCT d) AS days FROM daily_obs GROUP BY datatake) s ON s.datatake = o.datatake", ("daily_obs",), "least most mean")
 
 # --- blocks, bands, comparisons
 R.add("block_mean", lambda s, d, px: stencil.block_mean(px, "radiance", 2, True), "SELECT CAST(floor(r / 2.0) AS INT) AS br, CAST(floor(c / 2.0) AS INT) AS bc, CASE WHEN count(radiance) = 4 THEN avg(radiance) END AS mean, count(radiance) AS n FROM grid_px GROUP BY 1, 2", ("grid_px",), "mean")
@@ -225,7 +225,8 @@ def distances(px):
     return stencil.nearest_distance(px, F.col("occ") >= 90, 12, 10.0)
 
 
-R.add("edt_distance", lambda s, d, px: stencil.exact_distance(px, F.col("occ") >= 90, 10.0), f"WITH {DIST_SQL} SELECT g.r, g.c, distance FROM grid_px g LEFT JOIN dist USING (r, c)", ("grid_px",), "distance")
+EXACT_SQL = "SELECT a.r, a.c, sqrt(min((a.r - b.r) ** 2 + (a.c - b.c) ** 2)) * 10 AS distance FROM grid_px a LEFT JOIN (SELECT r, c FROM grid_px WHERE occ >= 90) b ON true GROUP BY a.r, a.c"
+R.add("edt_distance", lambda s, d, px: stencil.exact_distance(px, F.col("occ") >= 90, 10.0), EXACT_SQL, ("grid_px",), "distance")
 
 
 def with_bands(px):
@@ -296,7 +297,16 @@ def nearest(s, d, px):
     return held.withColumn("i", targets("r", 4.1, 0.0, 20.0)).withColumn("j", targets("c", 3.7, 0.0, 10.0)).select("i", "j", "radiance")
 
 
-R.add("resample_nearest", nearest, "SELECT i, radiance FROM (SELECT unnest(range(50)) AS i) p JOIN grid_px g ON g.r = CAST(floor(i * 4.1 / 20) AS INT) AND g.c = CAST(floor(i * 3.7 / 10) AS INT)", ("grid_px",), "radiance")
+#: Target numbers along an axis, with the source place that holds each; sides as in targets(), in doubles as there.
+AXIS = "SELECT k AS {k}, CAST(floor((k * {step}e0 + {start}e0) / {size}e0) AS INT) AS {at} FROM (SELECT unnest(range(-8, (SELECT CAST(ceil((max({at}) + 1) * {size}e0 / {step}e0) AS BIGINT) + 2 FROM grid_px))) AS k)"
+EXTENT = "ex AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM grid_px)"
+R.add(
+    "resample_nearest",
+    nearest,
+    f"WITH {EXTENT}, ti AS ({AXIS.format(k='i', at='r', step=4.1, start=0.0, size=20.0)}), tj AS ({AXIS.format(k='j', at='c', step=3.7, start=0.0, size=10.0)}) SELECT i, j, radiance FROM ti JOIN ex ON ti.r BETWEEN r0 AND r1 JOIN tj ON tj.c BETWEEN c0 AND c1 LEFT JOIN grid_px g ON g.r = ti.r AND g.c = tj.c",
+    ("grid_px",),
+    "radiance",
+)
 
 
 def bilinear(s, d, px):
@@ -313,7 +323,16 @@ def bilinear(s, d, px):
     return held.select("i", "j", (parts[0] + parts[1] + parts[2] + parts[3]).alias("value"))
 
 
-R.add("resample_bilinear", bilinear, "WITH p AS (SELECT i, i * 0.13 + 0.25 AS y, i * 0.29 + 0.25 AS x FROM (SELECT unnest(range(60)) AS i)), t AS (SELECT i, a, b, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w, CAST(floor(y) AS INT) + a AS r, CAST(floor(x) AS INT) + b AS c FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS v(a, b)) SELECT i, CASE WHEN count(base_proxy) = 4 THEN sum(w * base_proxy) END AS value FROM t JOIN grid_px USING (r, c) GROUP BY i", ("grid_px",), "value")
+PART = {(a, b): f"({'fy' if a else '(1 - fy)'}) * ({'fx' if b else '(1 - fx)'}) * g{a}{b}.base_proxy" for a in (0, 1) for b in (0, 1)}
+R.add(
+    "resample_bilinear",
+    bilinear,
+    f"WITH {EXTENT}, ti AS ({AXIS.format(k='i', at='r', step=0.13, start=0.25, size=1.0)}), tj AS ({AXIS.format(k='j', at='c', step=0.29, start=0.25, size=1.0)}), "
+    "tg AS (SELECT i, j, ti.r, tj.c, i * 0.13e0 + 0.25e0 - ti.r AS fy, j * 0.29e0 + 0.25e0 - tj.c AS fx FROM ti JOIN ex ON ti.r BETWEEN r0 AND r1 JOIN tj ON tj.c BETWEEN c0 AND c1) "
+    f"SELECT i, j, {' + '.join(PART.values())} AS value FROM tg " + " ".join(f"LEFT JOIN grid_px g{a}{b} ON g{a}{b}.r = tg.r + {a} AND g{a}{b}.c = tg.c + {b}" for a, b in PART),
+    ("grid_px",),
+    "value",
+)
 R.add("tile_halo", lambda s, d, px: stencil.tile_halo(px.select(*KEYS), 8, 2).groupBy("tile_r", "tile_c").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("n_core")), "WITH t AS (SELECT DISTINCT CAST(floor(r / 8.0) AS INT) AS tr, CAST(floor(c / 8.0) AS INT) AS tc FROM grid_px), u AS (SELECT DISTINCT a.tr + i AS tile_r, a.tc + j AS tile_c FROM t a, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j)) SELECT tile_r, tile_c, count(*) AS n, count(*) FILTER (floor(r / 8.0) = tile_r AND floor(c / 8.0) = tile_c) AS n_core FROM u JOIN grid_px g ON g.r BETWEEN tile_r * 8 - 2 AND tile_r * 8 + 9 AND g.c BETWEEN tile_c * 8 - 2 AND tile_c * 8 + 9 WHERE tile_r >= 0 AND tile_c >= 0 GROUP BY 1, 2", ("grid_px",))
 R.add("tile_cores", lambda s, d, px: px.groupBy(F.floor(F.col("r") / 8).cast("int").alias("tile_r"), F.floor(F.col("c") / 8).cast("int").alias("tile_c")).agg(F.min("r").alias("top"), F.min("c").alias("left"), F.max("r").alias("bottom"), F.max("c").alias("right")), "SELECT CAST(floor(r / 8.0) AS INT) AS tile_r, CAST(floor(c / 8.0) AS INT) AS tile_c, min(r) AS top, min(c) AS \"left\", max(r) AS bottom, max(c) AS \"right\" FROM grid_px GROUP BY 1, 2", ("grid_px",))
 R.add("tile_id", lambda s, d, px: px.selectExpr("r * 512 AS r", "c * 512 AS c").select(F.format_string("r%05d_c%05d_h%04d_w%04d", "r", "c", F.lit(512), F.lit(512)).alias("tile_id")).distinct(), "SELECT DISTINCT 'r' || lpad(CAST(r * 512 AS VARCHAR), 5, '0') || '_c' || lpad(CAST(c * 512 AS VARCHAR), 5, '0') || '_h0512_w0512' AS tile_id FROM grid_px", ("grid_px",))
