@@ -5,9 +5,10 @@ memtable, spilling when full) and flushes files of at most `memtable_rows` rows,
 sorted run of level 0 with Parquet Bloom filters and min/max statistics on the digest.
 Compaction merges runs into one level sorted by digest; each digest keeps its smallest
 and largest identifier and its count, combined within runs before the shuffle.
-Hits (digests seen more than once) are verified byte by byte: a bit filter of fixed size
-picks possible hits from the documents, so that only their texts are shuffled, and these
-are grouped on (digest, whole text), again combined before the shuffle.
+Hits (digests seen more than once) are verified byte by byte: a bit filter sized by their
+number picks possible hits from the documents, so that only their texts are shuffled, and
+these are grouped on (digest, whole text), again combined before the shuffle.  Point lookups
+(find) push the digests down to the runs, whose Bloom filters and statistics skip the rest.
 
 Null text counts as empty, and empty texts are equal to each other.  Rows repeated with
 one doc_id share one decision.  A null doc_id never wins over another; a group with no
@@ -20,10 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Workspace, build_filter, lookup, probe_filter, require
+from tesserae.llm.common import Workspace, lookup, possible, require
 
 MEMTABLE_ROWS = 4_000_000
-FILTER_BITS = 1 << 27  # 16 MiB when all blocks are set
 
 
 def sha256_digest(text: Column) -> Column:
@@ -33,9 +33,9 @@ def sha256_digest(text: Column) -> Column:
 class LsmIndex:
     """Levels of sorted runs of (digest, doc_id) below one folder."""
 
-    def __init__(self, spark: SparkSession, digest=sha256_digest, memtable_rows: int = MEMTABLE_ROWS, filter_bits: int = FILTER_BITS):
+    def __init__(self, spark: SparkSession, digest=sha256_digest, memtable_rows: int = MEMTABLE_ROWS):
         self.ws = Workspace(spark, "lsm")
-        self.digest, self.memtable_rows, self.filter_bits = digest, memtable_rows, filter_bits
+        self.digest, self.memtable_rows = digest, memtable_rows
         self.runs: list[str] = []
 
     def _filters(self) -> dict:
@@ -59,6 +59,10 @@ class LsmIndex:
             out = run if out is None else out.unionByName(run)
         return out
 
+    def find(self, digests: list[str]) -> DataFrame:
+        """Members of a few digests: pushed down as values, so runs' Bloom filters and statistics are probed."""
+        return self.members().where(F.col("digest").isin(digests))
+
     def compact(self) -> DataFrame:
         """Merge all runs into level 1: one row per digest, sorted, with filters."""
         merged = self.members().groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"))
@@ -67,18 +71,17 @@ class LsmIndex:
     def verify(self, docs: DataFrame, level1: DataFrame) -> DataFrame:
         """Hits whose bytes are equal: (digest, text, min_id, max_id, n), texts compared whole."""
         hits = level1.where("n > 1")
-        built = build_filter(hits, "digest", self.filter_bits)
-        possible = probe_filter(self._keyed(docs), "digest", built, self.filter_bits)
-        return possible.groupBy("digest", "text").agg(F.min("doc_id").alias("min_id"), F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"))
+        texts = possible(self._keyed(docs), "digest", hits, "digest")
+        return texts.groupBy("digest", "text").agg(F.min("doc_id").alias("min_id"), F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"))
 
 
-def exact_dedup(docs: DataFrame, keep: str = "max", digest=sha256_digest, memtable_rows: int = MEMTABLE_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "max", digest=sha256_digest, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, digest, keep_id, group_size, kept.
 
     keep: "min" or "max", the identifier that stays of equal texts.
     """
     spark = docs.sparkSession
-    index = LsmIndex(spark, digest, memtable_rows, filter_bits)
+    index = LsmIndex(spark, digest, memtable_rows)
     index.ingest(docs)
     level1 = index.compact()
     groups = index.verify(docs, level1)
