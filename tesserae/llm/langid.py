@@ -6,11 +6,12 @@ closely related languages by votes, ties going to the larger sum of margins and
 the smaller name.  Features are relative frequencies of hashed character n-grams of the
 whole lower-cased text.
 
-The learning sample is bounded: `sample_rows` rows of each language, those with the least
-hash of doc_id, among texts of `sample_chars` characters at most that have a letter.  Rows
-with a null lang, doc_id or text aren't learnt from.  A text that is null or has no letter
-is `und` with score 0; so is every text if no language could be learnt.  A lang value
-outside FAMILIES is a family of its own.  Repeated rows give repeated results.
+The learning sample is bounded in rows alone: `sample_rows` rows of each language, those with
+the least hash of doc_id (equal hashes by doc_id) among texts that have a letter; the texts
+are learnt from whole, of any length.  Rows with a null lang, doc_id or text aren't learnt
+from.  A text that is null or has no letter is `und` with score 0; so is every text if no
+language could be learnt.  A lang value outside FAMILIES is a family of its own.  Repeated
+rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.char_ngrams import TextBatch, portions
-from tesserae.llm.common import release, require, slices, tidy
+from tesserae.llm.common import release, require, slices, small_batches, tidy
 
 ORDERS = (2, 3, 4)
 BITS = 17
 SAMPLE_ROWS = 800
-SAMPLE_CHARS = 8_000
+#: A language with more than 1/HEAVY of all rows is thinned out by hash before its rows meet.
+HEAVY = 1024
 UNKNOWN = "und"
 
 #: ISO 639-1 codes of closely related languages.
@@ -169,13 +171,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Hierarchy:
+def sample_ids(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """(doc_id, lang): the `sample_rows` rows of least hash of each language.
+
+    Of a heavy language, only rows whose hash is below a bound that all but surely leaves
+    `sample_rows` of them meet in its task; there are fewer than HEAVY such languages.
+    """
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    counts = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    # eight standard deviations above what is wanted, as a share of the hashes' 2**64 values
+    wanted = sample_rows + 8 * sample_rows**0.5 + 64
+    heavy = counts.join(F.broadcast(total)).where((F.col("n") * HEAVY > F.col("total")) & (F.col("n") > 2 * wanted))
+    bound = heavy.select("lang", ((wanted / F.col("n") - 0.5) * float(1 << 64)).cast("long").alias("bound"))
+    few = hashed.join(F.broadcast(bound), "lang", "left").where(F.col("bound").isNull() | (F.col("h") < F.col("bound")))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    return few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_rows).select("doc_id", "lang").distinct()
+
+
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Hierarchy:
     """Fit to the texts and non-null lang of `docs`; the sample, of bounded size, is fitted in one task."""
-    rows = require(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids first, so that texts of no more than the sample meet in the window's tasks
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_rows).select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"])
+    rows = require(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # ids first, so that texts of no more than the sample are shuffled
+    sample = rows.join(F.broadcast(sample_ids(rows, sample_rows)), ["doc_id", "lang"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lang", "doc_id", "text"], kind="stable")
@@ -206,4 +224,5 @@ def language_id(docs: DataFrame, **sample) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -5,12 +5,13 @@ labelled sample come each feature's log-count ratio r = log(p/|p|) - log(q/|q|),
 the smoothed numbers of toxic and clean texts that have it, and its significance; logistic
 regression is fitted to the presence of the most significant features times r.
 
-The sample is bounded: `sample_rows` labelled rows of each class at most, those with the
-least hash of doc_id, and among them texts of `sample_chars` characters at most.  The class
-prior comes from all labelled rows.  Null and empty texts have no features; their score is
-that of the bias.  Rows with a null label or doc_id aren't learnt from.  A doc_id labelled
-twice is learnt from twice.  Without labels of both classes every score is the share of
-toxic labels (0 without labels).  All documents are scored, whole.
+The sample is bounded in rows alone: `sample_rows` labelled rows of each class at most, those
+with the least hash of doc_id (equal hashes by doc_id); their texts are learnt from whole, of
+any length.  The class prior comes from all labelled rows.  Null and empty texts have no
+features; their score is that of the bias.  Rows with a null label or doc_id aren't learnt
+from.  A doc_id labelled twice, or with two texts, is learnt from twice.  Without labels of
+both classes every score is the share of toxic labels (0 without labels).  All documents are
+scored, whole; repeated documents have equal scores, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.char_ngrams import TextBatch, portions
-from tesserae.llm.common import release, require, slices, tidy
+from tesserae.llm.common import release, require, slices, small_batches, tidy
 
 ORDERS = (4, 5, 6)
 BITS = 20
 KEPT = 1 << 12
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 10_000
 
 
 def pairs(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,7 +106,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> NbLinear:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> NbLinear:
     """Fit to the labelled rows of (doc_id, toxic) and the texts of (doc_id, text).
 
     The sample, of bounded size, is fitted in one task.
@@ -119,8 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     for toxic in (0, 1):
         part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = require(docs, "doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    sample = require(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "toxic", "text"], kind="stable", na_position="first")
@@ -167,6 +166,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sam
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity(docs, labels)

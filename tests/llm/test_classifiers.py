@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tesserae.llm import langid, toxicity
-from tesserae.llm.char_ngrams import TextBatch
+from tesserae.llm.char_ngrams import MIX, PLACES, TextBatch
 
 from .conftest import edge_rows
 
@@ -73,6 +73,63 @@ def test_language_at_the_edges(docs, no_docs):
     assert {r.lang_pred for r in untaught} == {"und"}
 
 
+def bucket(gram, bits):
+    """Bucket of an n-gram, a character at a time."""
+    word = 0xFFFFFFFF
+    h = 0
+    for place, c in zip(PLACES.tolist(), gram, strict=False):
+        h = h + ord(c) * place & word
+    h ^= len(gram)
+    h ^= h >> 15
+    h = h * int(MIX) & word
+    h ^= h >> 13
+    h = h * int(PLACES[1]) & word
+    return h >> 32 - bits
+
+
+def test_toxicity_scores_by_hand(speech):
+    """Every score again from the model's weights, gram by gram; long texts are learnt from and scored whole."""
+    docs, labels, truth, _ = speech
+    long = docs.sparkSession.createDataFrame([(5000, "the house " * 20_000 + "vermin")], "doc_id long, text string")
+    model = toxicity.train(docs.select("doc_id", "text").union(long), labels)
+    for r in toxicity.score(docs.select("doc_id", "text").limit(40).union(long), model).collect():
+        text = "the house " * 20_000 + "vermin" if r.doc_id == 5000 else next(x.text for x in docs.where(f"doc_id = {r.doc_id}").collect())
+        if len(text) < 2000:
+            # grams at a text's end reach into its padding, which is a character of its own
+            found = {int(model.place[bucket((text.lower() + "\0" * 6)[i : i + n], toxicity.BITS)]) for n in toxicity.ORDERS for i in range(len(text))}
+            margin = model.bias + sum(model.weights[f] for f in found if f >= 0)
+            assert r.score == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-9)
+        else:
+            assert r.score > 0.5
+
+
+def test_language_margins_by_hand(speech):
+    """Every prediction again from the machines' weights, gram by gram."""
+    docs, _, _, _ = speech
+    model = langid.train(docs)
+    rows = docs.limit(25).collect()
+    got = {r.doc_id: r for r in langid.predict(docs.where(docs.doc_id.isin([r.doc_id for r in rows])), model).collect()}
+    for r in rows:
+        text = r.text.lower()
+        table = model.table.astype(np.float64)
+        margins = model.biases + 100 / len(text) * sum(table[bucket((text + "\0" * 6)[i : i + n], langid.BITS)] for n in langid.ORDERS for i in range(len(text)))
+        top = model.families[int(np.argmax(margins[: len(model.families)]))]
+        votes = dict.fromkeys(model.members[top], 0)
+        for k, (family, a, b) in enumerate(model.pairs):
+            if family == top:
+                votes[a if margins[len(model.families) + k] > 0 else b] += 1
+        assert got[r.doc_id].lang_pred == max(votes, key=votes.get)
+
+
+def test_sample_of_a_heavy_language(spark):
+    """The rows of least hash, whether a language is thinned out beforehand or not."""
+    df = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 0 THEN 'fr' ELSE 'en' END AS lang")
+    hashed = df.selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").collect()
+    got = {(r.doc_id, r.lang) for r in langid.sample_ids(df, 300).collect()}
+    want = {(r.doc_id, r.lang) for lang in ("en", "fr") for r in sorted((x for x in hashed if x.lang == lang), key=lambda x: (x.h, x.doc_id))[:300]}
+    assert got == want
+
+
 def test_families():
     assert langid.family_of("en") == langid.family_of("de") != langid.family_of("fr") == langid.family_of("es")
     assert langid.family_of("xx") == "xx"
