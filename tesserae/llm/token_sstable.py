@@ -20,6 +20,7 @@ shards.  Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from bisect import bisect_left
@@ -34,12 +35,14 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import files
 from tesserae.llm.cache import Generations
-from tesserae.llm.common import Workspace, require, tidy
+from tesserae.llm.common import Workspace, plan_bytes, require, small_batches, spread, tidy
 
 MAGIC = b"TSSTAB01"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
+#: Bytes of the table's files in a range, which a task encodes.
+RANGE_BYTES = 64 << 20
 HASHES, BITS_PER_KEY = 7, 10
 #: Marks that are tokens of their own after a letter or digit.
 MARKS = ".,;:!?"
@@ -209,14 +212,40 @@ class TableReader:
         return found
 
 
-class WordEncoder:
-    """A tokenizer of the tokenizers library whose tokens never span white space.
+#: Normaliser and splitter under which no token spans white space.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cuts_at_space(tokenizer) -> bool:
+    """Whether the tokenizer's own description is the one that WordEncoder's chunks rest on."""
+    held = json.loads(tokenizer.to_str())
+    split = {"type": "Split", "pattern": {"Regex": SPLITTER}, "behavior": "Removed", "invert": True}
+    pieces = (held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    model = held["model"]
+    return (
+        (held.get("normalizer") or {}).get("normalizers") == NORMALISER
+        and len(pieces) == 2
+        and pieces[0] == split
+        and pieces[1].get("type") == "ByteLevel"
+        and not pieces[1].get("add_prefix_space")
+        and not pieces[1].get("use_regex")
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and not held.get("truncation")
+        and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in held["added_tokens"])
+    )
+
 
-    Texts are cut at spaces, tabs and line ends; each different chunk is encoded by the
-    library once and kept, and texts are put together from the chunks' ids.  A mark of
-    punctuation after a letter or digit is a token of its own.  Chunks of small Latin letters
-    in normal form are left alone by normaliser and splitter, so these go to the same model
-    without them.
+class WordEncoder:
+    """A tokenizer of the tokenizers library, by chunks where its file says that this is the same.
+
+    If its tokens never span white space, texts are cut at spaces, tabs and line ends; each
+    different chunk is encoded by the library once and kept, and texts are put together from
+    the chunks' ids.  A mark of punctuation after a letter or digit is a token of its own, and
+    chunks of small Latin letters in normal form are left alone by normaliser and splitter, so
+    these go to the same model without them.  All this is read off the file's normaliser,
+    splitter and model (cuts_at_space); a file that says anything else is given whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -227,6 +256,7 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = cuts_at_space(self.tokenizer)
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -242,6 +272,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text with the end id; a null text has the end id alone."""
         texts = pc.fill_null(texts, "")
+        if not self.chunked:
+            coded = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return [np.asarray(e.ids, self.kind).tobytes() + self.end for e in coded]
         for mark in "\n\t\r":
             texts = pc.replace_substring(texts, mark, " ")
         cut = pc.split_pattern(texts, " ")
@@ -334,11 +367,18 @@ def portions(batch: pa.RecordBatch, most: int = 8 << 20):
 MANIFEST = "shard_range int, shard_seq int, uri string, n_docs long, n_tokens long"
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, n_ranges: int, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def ranges_of(docs: DataFrame) -> int:
+    """Ranges to cut a table into: RANGE_BYTES of its files each, and no fewer than the session's shuffle partitions."""
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(docs) // RANGE_BYTES))
+
+
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, n_ranges: int | None = None, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write `docs` as shards below `folder`; returns the manifest, one row per file.
 
     The frame writes the files when it runs: save it once, and read the saved manifest.
+    n_ranges: how many ranges the table is cut into, by its size if not given.
     """
+    n_ranges = n_ranges or ranges_of(docs)
     ordered = require(docs, "doc_id", "text").repartitionByRange(n_ranges, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
     @tidy
@@ -373,13 +413,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, n_ranges:
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every entry, from the files.
+    """doc_id, start, n_tokens, ids_crc32 of every entry of a saved manifest, from the files, a shard a task.
 
     The window is over one row per shard file, not per document.
     """
     before = Window.orderBy("shard_range", "shard_seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("shard_range", "shard_seq", "uri", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
-    spread = starts.select("uri", "start").repartition(F.col("uri"))
+    each = spread(starts.select("uri", "start"), manifest.count())
 
     @tidy
     def run(batches):
@@ -395,14 +435,14 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         start += len(tokens)
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (ids, starts, counts, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return each.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    small_batches(spark)
     ws = Workspace(spark, "sstable")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    manifest = write_shards(docs, ws.table("shards"), public_tokenizers.path("word_bpe_49k.json"), 1, ranges)
+    manifest = write_shards(docs, ws.table("shards"), public_tokenizers.path("word_bpe_49k.json"), 1)
     return read_shards(ws.save(manifest, "manifest"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import files
-from tesserae.llm.common import Workspace, lookup, require, tidy
+from tesserae.llm.common import Workspace, lookup, require, small_batches, spread, tidy
 
 SKIPPABLE, ZSTD = 0x184D2A5D, 0xFD2FB528
 DICTIONARY_BYTES = 16 << 10
@@ -180,7 +180,10 @@ def read_frames(source, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample: the beginnings of SAMPLE_PAGES pages of least hash."""
+    """A dictionary from a bounded sample: the first SAMPLE_BYTES characters of SAMPLE_PAGES pages of least hash.
+
+    It only makes frames smaller: records, and what is read back, are the same with any other.
+    """
     import zstandard
 
     ids = require(pages, "page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
@@ -229,7 +232,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for."""
+    """One row per record of a saved manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for."""
     columns = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long"} | ({"payload": "binary"} if payloads else {})
     kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in columns.items()])
 
@@ -250,11 +253,13 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     raise ValueError(f"{uri} has {seen} records of {count}")
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    spread = manifest.select("uri", "n_records").repartition(F.col("uri"))
-    return spread.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in columns.items()))
+    # an archive a task
+    each = spread(manifest.select("uri", "n_records"), manifest.count())
+    return each.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     ws = Workspace(spark, "warc")
     manifest = ws.save(write_archives(pages, ws.table("archives"), min_bytes=0), "manifest")
