@@ -1,15 +1,19 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Components become integers floor(scale * x).  The index cuts the candidates into blocks; a
-block's postings (component number, row, value) lie in segments of equal quantised impact,
-the bit length of |value|, from the largest down.  A search adds one segment after another to
-the scores of all rows of a block.  By Cauchy and Schwarz a row's missing part is at most
-|query| * |row's components not yet added|.  A query stops once that bound proves that all
-but a few rows are below its k-th best lower bound; those that may be members are rescored
-exactly, and the best k of every block are merged.  Nothing is approximate.
-
-Queries are cut into blocks of bounded size too, and every block of queries meets every
-block of the index: a stated query set against all rows.
+Components become integers floor(scale * x).  The index, a written table, cuts the candidates
+into blocks; a block's postings (component number, row, value) lie in segments of equal
+quantised impact, the bit length of |value|, from the largest down.  A search adds segments to
+the scores of a block's rows in that order.  By Cauchy and Schwarz a row's missing part is at
+most |query| * |row's components not yet added|; each time that the missing parts have halved,
+rows that this bound rules out for all open queries are left out of what follows, and a query
+stops once it proves that all but a few rows are below its k-th best lower bound.  Those that
+may be members are rescored exactly, and the best k of every block are merged.  Nothing is
+approximate.
+
+Queries are cut into blocks of bounded size too, and every block of queries meets every block
+of the index: a stated query set against all rows.  Queries of up to BROADCAST_BYTES are
+broadcast to the tasks that hold index blocks; more are copied to a shuffle key of each index
+block, so that the index is shuffled once and no key has more than a block or two of it.
 
 A vector that is null, empty, or holds a null or non-finite component takes no part, nor
 does a row with a null identifier.  Shorter vectors count as padded with zeros.  Rows with
@@ -25,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import require, tidy
+from tesserae.llm.common import Workspace, require, small_batches, tidy
 
 BLOCK_ROWS = 8192
+#: Blocks in a file of the index.
+FILE_BLOCKS = 4
+BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 1024
 SCALE = 1024
 
@@ -51,6 +58,17 @@ def matrix(lists, dims: int | None = None) -> np.ndarray:
 INDEX = "n_rows int, n_dims int, ids binary, segments binary, seg_dim binary, seg_row binary, seg_value binary"
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """A byte that says the width, then the integers in it."""
+    most = int(np.abs(values).max(initial=0))
+    width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return bytes([width]) + values.astype(f"<i{width}").tobytes()
+
+
+def widen(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1)
+
+
 def build_block(ids: np.ndarray, values: np.ndarray) -> dict:
     """Postings in segments by descending impact; `segments` has (impact, end) pairs."""
     row, dim = np.nonzero(values)
@@ -60,7 +78,7 @@ def build_block(ids: np.ndarray, values: np.ndarray) -> dict:
     impact = impact[order]
     ends = np.append(np.flatnonzero(impact[1:] != impact[:-1]) + 1, len(impact)) if len(impact) else np.zeros(0, np.int64)
     segments = np.stack([impact[ends - 1], ends], axis=1) if len(impact) else np.zeros((0, 2), np.int64)
-    return {"n_rows": len(ids), "n_dims": values.shape[1], "ids": ids.astype("<i8").tobytes(), "segments": segments.astype("<i8").tobytes(), "seg_dim": dim[order].astype("<i4").tobytes(), "seg_row": row[order].astype("<i4").tobytes(), "seg_value": value[order].astype("<i8").tobytes()}
+    return {"n_rows": len(ids), "n_dims": values.shape[1], "ids": ids.astype("<i8").tobytes(), "segments": segments.astype("<i8").tobytes(), "seg_dim": narrow(dim[order]), "seg_row": narrow(row[order]), "seg_value": narrow(value[order])}
 
 
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -88,49 +106,61 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return rows.mapInArrow(run, INDEX)
 
 
+def halvings(segments: np.ndarray, value: np.ndarray) -> list[int]:
+    """Ends of segments after which the squares not yet added are at most half of those at the end before."""
+    done = np.concatenate([[0.0], np.cumsum(value.astype(np.float64) ** 2)])
+    ends, last = [], done[-1]
+    for end in segments[:, 1].tolist():
+        left = done[-1] - done[end]
+        if left <= last / 2 or end == len(value):
+            ends.append(end)
+            last = left
+    return ends
+
+
 def search_block(block: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the block's best k for each query."""
     n, dims = block["n_rows"], max(block["n_dims"], queries.shape[1])
     ids = np.frombuffer(block["ids"], "<i8")
     segments = np.frombuffer(block["segments"], "<i8").reshape(-1, 2)
-    dim, row, value = (np.frombuffer(block[x], t) for x, t in (("seg_dim", "<i4"), ("seg_row", "<i4"), ("seg_value", "<i8")))
+    dim, row, value = (widen(block[x]) for x in ("seg_dim", "seg_row", "seg_value"))
     queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
     exact = np.zeros((n, dims), np.int64)
     exact[row, dim] = value
-    most = float(np.abs(queries).sum(axis=1, dtype=np.float64).max(initial=0)) * float(np.abs(value).max(initial=0))
+    most = float(np.abs(queries).sum(axis=1, dtype=np.float64).max(initial=0)) * float(np.abs(value.astype(np.int64)).max(initial=0))
     kind = np.float32 if most < 1 << 23 else np.float64  # sums are exact integers in it
     if most >= 1 << 52:
         raise OverflowError("components are too large for exact scores")
     wide = queries.astype(kind)
     norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    left = np.zeros(n)  # squared norm of what isn't added yet
-    np.add.at(left, row, value.astype(np.float64) ** 2)
-    scores = np.zeros((len(queries), n), kind)
-    own = query_ids[:, None] == ids[None, :]
-    active = np.arange(len(queries))
+    squares = value.astype(np.float64) ** 2
+    left = np.bincount(row, squares, n)  # squared norm of what isn't added yet
+    active, alive = np.arange(len(queries)), np.arange(n)  # queries without proof, rows that may be members of one
+    scores = np.zeros((len(active), n), kind)  # of active queries and rows alive
     few = max(4 * k, n // 32)
     found: list[tuple[int, np.ndarray]] = []
     start = 0
-    for impact, end in segments:
+    for end in halvings(segments, value):
+        if len(alive) <= few or not len(active):
+            break
         part = np.zeros((n, dims), kind)
         part[row[start:end], dim[start:end]] = value[start:end]
-        np.subtract.at(left, row[start:end], value[start:end].astype(np.float64) ** 2)
+        left -= np.bincount(row[start:end], squares[start:end], n)
         start = end
-        if not len(active):
-            break
-        scores[active] += wide[active] @ part.T
-        if n <= few:
-            continue
+        scores += wide[active] @ part[alive].T
+        own = query_ids[active, None] == ids[None, alive]
         # a little over, for rounding of the square roots
-        slack = norm[active, None] * np.sqrt(np.maximum(left, 0))[None, :] * (1 + 1e-6) + 1e-3 * (end < len(value))
-        low = np.where(own[active], -np.inf, scores[active] - slack)
-        kth = np.partition(low, n - k, axis=1)[:, n - k]
-        may = (scores[active] + slack >= kth[:, None]) & ~own[active]
+        slack = norm[active, None] * np.sqrt(np.maximum(left[alive], 0))[None, :] * (1 + 1e-6) + 1e-3 * (end < len(value))
+        low = np.where(own, -np.inf, scores - slack)
+        kth = np.partition(low, len(alive) - k, axis=1)[:, len(alive) - k]
+        may = (scores + slack >= kth[:, None]) & ~own
         proven = may.sum(axis=1) <= few
         for q, members in zip(active[proven], may[proven], strict=True):
-            found.append((q, np.flatnonzero(members)))
-        active = active[~proven]
-    found += [(q, np.flatnonzero(~own[q])) for q in active]
+            found.append((q, alive[members]))
+        open_rows = may[~proven].any(axis=0)
+        scores = scores[~proven][:, open_rows]
+        active, alive = active[~proven], alive[open_rows]
+    found += [(q, alive[ids[alive] != query_ids[q]]) for q in active]
     out_q, out_v, out_s = [], [], []
     for q, members in found:
         score = exact[members] @ queries[q]
@@ -142,14 +172,19 @@ def search_block(block: dict, query_ids: np.ndarray, queries: np.ndarray, k: int
     return join(out_q), join(out_v), join(out_s)
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best of the index."""
+def top_k(index: DataFrame, queries: DataFrame, k: int, query_rows: int = QUERY_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of a saved index."""
     once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-once.count() // query_rows))
+    n, dims = once.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // query_rows))
     held = once.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     held = held.groupBy("query_block").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    spread = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = spread.join(held, "query_block")
+    if n * dims * 8 <= broadcast_bytes:
+        met = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(held), "query_block")
+    else:
+        salts = max(1, index.count())
+        copies = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = index.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).join(copies, "salt")
 
     @tidy
     def run(batches):
@@ -161,17 +196,20 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, query_rows: int = QUERY_
                 yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    columns = [x.split()[0] for x in INDEX.split(", ")]
+    found = met.select(*columns, "queries").mapInArrow(run, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k best rows for each row of `vectors` (vec_id, embedding) that is a query."""
     rows = integers(vectors, scale)
-    return top_k(build_index(rows, block_rows), rows.where(is_query), k, query_rows)
+    index = Workspace(vectors.sparkSession, "topk").save(build_index(rows, block_rows), "index", maxRecordsPerFile=FILE_BLOCKS)
+    return top_k(index, rows.where(is_query), k, query_rows, broadcast_bytes)
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
