@@ -2,19 +2,25 @@
 
 A text's set is its distinct shingles of `width` words.  Texts of equal sets are one class,
 of which the least doc_id stands for all.  The signature of a class is cut into `TREES`
-orders of `DEPTH` values.  Each order is sorted; classes whose signatures agree in the first
-`LEAST` values are a region, and candidates are a region's neighbours by longest common
-prefix: all pairs in a region of at most `FULL` classes; in a larger one the pairs with its
-first class, and, where the estimate leaves that open, with the neighbours in the order,
+orders of `DEPTH` values.  Each order is sorted, as a trie of prefixes, and a region is a
+trie's node of adaptive depth: from `SHALLOW` values on, a prefix that more than `FULL`
+classes share is gone into a value deeper, as far as `LEAST`; sparse places of an order keep
+short prefixes and dense ones get long.  Candidates are a region's neighbours by longest
+common prefix: all pairs in a region of at most `FULL` classes; in a larger one the pairs with
+its first class, and, where the estimate leaves that open, with the neighbours in the order,
 going a value deeper into each part of the region.  Candidates whose signatures' estimate
 is clearly too low are left out; the rest are confirmed on full sets.
 
 Confirmed links give components.  In a large region the pairs left out may link different
 components, so these, and only these, are then compared, block by block, on full sets: no
-partner is capped, and what comes out is only the links that join components.
-
-Empty sets (null or empty text, or no words) are linked with nothing.  Rows repeated with one
-doc_id are alike.  Rows with a null doc_id count in no set and are their own component, null.
+partner is capped, and what comes out is only the links that join components.  Classes of a
+region's largest component meet only the others, so sets travel once for each block of those.
+
+Empty sets (null or empty text, or no words) are linked with nothing.  Texts of any length are
+used whole.  Rows repeated with one doc_id must have one text; they are alike (of several texts
+the least is the one compared).  Rows with a null doc_id count in no set and are their own
+component, null.  An empty table gives an empty result; columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Workspace, build_filter, lookup, probe_filter, require, tidy
+from tesserae.llm.common import Workspace, lookup, possible, require, small_batches, tidy
 from tesserae.llm.components import components
 from tesserae.llm.shingles import meets, permutations, set_digest, shingle_sets, signatures
 
-TREES, DEPTH, LEAST = 16, 6, 4
+TREES, DEPTH = 16, 6
+#: Values of a region's prefix: the fewest, and where regions of any size are left as they are.
+SHALLOW, LEAST = 2, 4
 FULL = 8
 #: Below this share of agreeing values a pair isn't confirmed: four standard errors under 0.8.
 OPEN = 0.64
@@ -37,7 +45,6 @@ SURE = 0.9
 #: Classes of a region that a task holds; of a larger region, block meets block.
 BLOCK = 20_000
 PORTION = 1 << 20
-FILTER_BITS = 1 << 27
 
 
 def _portions(ids, texts):
@@ -74,8 +81,9 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), TREES * DEPTH)
 
 
-def region_keys(classes: DataFrame) -> DataFrame:
-    """(key, node): the region of each class in each order."""
+def prefix_keys(classes: DataFrame) -> DataFrame:
+    """(key<SHALLOW> .. key<LEAST>, node): hashes of each class's prefixes in each order; the low bits name the order."""
+    depths = range(SHALLOW, LEAST + 1)
 
     @tidy
     def run(batches):
@@ -85,14 +93,37 @@ def region_keys(classes: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for t in range(TREES):
                 h = np.full(len(ids), salt[t, LEAST], np.uint64)
+                keys = []
                 for j in range(LEAST):
                     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + signs[:, t * DEPTH + j] * salt[t, j]
-                h ^= h >> np.uint64(32)
-                # the low bits name the order
-                h = (h & ~np.uint64(TREES - 1)) | np.uint64(t)
-                yield pa.record_batch([pa.array(h.astype(np.int64)), pa.array(ids)], names=["key", "node"])
+                    if j + 1 >= SHALLOW:
+                        k = ((h ^ (h >> np.uint64(32))) & ~np.uint64(TREES - 1)) | np.uint64(t)
+                        keys.append(pa.array(k.astype(np.int64)))
+                yield pa.record_batch([*keys, pa.array(ids)], names=[*[f"key{d}" for d in depths], "node"])
+
+    return classes.select("node", "signature").mapInArrow(run, ", ".join(f"key{d} long" for d in depths) + ", node long")
+
+
+def regions(ws: Workspace, classes: DataFrame) -> DataFrame:
+    """(key, n, node): every region of two classes or more, with its number of classes.
 
-    return classes.select("node", "signature").mapInArrow(run, "key long, node long")
+    A prefix's classes are counted by combined sums, and rows learn the count by lookup: those
+    of a common prefix never meet in a task.
+    """
+    rows, out = prefix_keys(classes), None
+    for depth in range(SHALLOW, LEAST + 1):
+        rows = ws.save(rows, f"keys{depth}")
+        key = f"key{depth}"
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = lookup(rows, counts, key, "n", rows.count()).where("n > 1")
+        done = met if depth == LEAST else met.where(F.col("n") <= FULL)
+        done = done.select(F.col(key).alias("key"), "n", "node")
+        out = done if out is None else out.unionByName(done)
+        rows = met.where(F.col("n") > FULL).drop(key, "n")
+    found = ws.save(out, "regions")
+    for depth in range(SHALLOW, LEAST + 1):
+        ws.drop(f"keys{depth}")
+    return found
 
 
 def _runs(batches):
@@ -113,21 +144,6 @@ def _runs(batches):
         yield held.combine_chunks()
 
 
-def shared_regions(keys: DataFrame) -> DataFrame:
-    """(key, node) of regions of more than one class."""
-
-    @tidy
-    def run(batches):
-        for table in _runs(batches):
-            key = table.column(0).to_numpy()
-            same = np.concatenate([[False], key[1:] == key[:-1]])
-            ok = same | np.concatenate([same[1:], [False]])
-            if ok.any():
-                yield pa.record_batch([pa.array(key[ok]), pa.array(table.column(1).to_numpy()[ok])], names=["key", "node"])
-
-    return keys.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "key long, node long")
-
-
 def _small(signs: np.ndarray) -> np.ndarray:
     """A byte of each value, enough to compare."""
     return ((signs * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
@@ -184,18 +200,30 @@ def cross_links(ids: np.ndarray, parts: np.ndarray, signs: np.ndarray, sets: lis
     return out
 
 
-def _blocks(rows: DataFrame, pairs: bool) -> DataFrame:
-    """`rows` (key, node) with `at`: large regions are cut into blocks of about BLOCK classes.
+def _blocks(rows: DataFrame) -> DataFrame:
+    """`rows` (key, n, node) with `at`: large regions are cut into blocks of about BLOCK classes."""
+    count = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("node"), count).cast("int")
+    return rows.select("key", "node", F.xxhash64("key", own).alias("at"))
+
 
-    pairs: every two blocks of a region meet once, so a class is in as many as there are blocks.
+def _block_pairs(rows: DataFrame, total: int) -> DataFrame:
+    """(at, key, node) of mixed regions' `rows` (key, n, node, part): the pairs of blocks to compare.
+
+    Of a region, classes outside its largest component are cut into blocks, and so are those
+    inside; every two blocks meet in one `at` but for two of the inside.
     """
-    count = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").withColumn("count", count)
-    own = F.pmod(F.xxhash64("node"), F.col("count")).cast("int")
-    if not pairs:
-        return sized.select("key", "node", F.xxhash64("key", own).alias("at"))
-    other = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-    return other.where(F.col("n") > FULL).select("key", "node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("at"))
+    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n_part"))
+    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("most"), F.max("n_part").alias("inside"), F.sum("n_part").alias("n_all"))
+    met = lookup(rows.drop("n"), mixed.where(F.col("inside") < F.col("n_all")), "key", "n_all", total).where("n_all is not null")
+    minor = F.col("part") != F.col("most")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    n_in, n_out = blocks(F.col("inside")), blocks(F.col("n_all") - F.col("inside"))
+    # blocks are numbered 0 .. n_out - 1 outside the largest component, then n_out .. inside
+    own = F.when(minor, F.pmod(F.xxhash64("node"), n_out)).otherwise(n_out + F.pmod(F.xxhash64("node"), n_in)).cast("int")
+    last = F.when(minor, n_out + n_in).otherwise(n_out).cast("int") - 1
+    spread = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return spread.select("key", "node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("at"))
 
 
 def _region_rows(rows: DataFrame) -> DataFrame:
@@ -231,7 +259,7 @@ def candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
             if pairs:
                 yield _as_batch(pairs)
 
-    met = _blocks(rows, pairs=False).join(classes.select("node", "signature"), "node")
+    met = _blocks(rows).join(classes.select("node", "signature"), "node")
     return _region_rows(met).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -250,18 +278,15 @@ def links_across(rows: DataFrame, parts: DataFrame, sets: DataFrame, percent: in
             if links:
                 yield _as_batch(links)
 
-    known = rows.join(parts.select("node", "part"), "node")
-    mixed = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > FULL)).select("key")
-    met = _blocks(rows.join(mixed, "key", "left_semi"), pairs=True).join(parts.select("node", "signature", "part"), "node").join(sets, "node")
+    known = rows.where(F.col("n") > FULL).join(parts.select("node", "part"), "node")
+    met = _block_pairs(known, rows.count()).join(parts.select("node", "signature", "part"), "node").join(sets, "node")
     return _region_rows(met).mapInArrow(run, "a long, b long").distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, members): the full sets of the named documents, from their whole texts."""
-    built = build_filter(nodes, "node", FILTER_BITS)
-    rows = probe_filter(require(docs, "doc_id", "text"), "doc_id", built, FILTER_BITS)
-    rows = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = possible(require(docs, "doc_id", "text"), "doc_id", nodes, "node")
+    rows = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     @tidy
     def run(batches):
@@ -298,9 +323,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = ws.save(features(docs, width), "features")
     full = known.where("n_shingles > 0 and doc_id is not null")
     classes = ws.save(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "classes")
-    rows = ws.save(shared_regions(region_keys(classes)), "regions")
+    rows = regions(ws, classes)
     pairs = ws.save(candidates(rows, classes), "pairs")
-    nodes = rows.select("node").distinct()
+    nodes = ws.save(rows.select("node").distinct(), "nodes")
     sets = ws.save(sets_of(docs, nodes, width), "sets")
     links = ws.save(confirm(pairs, sets, percent), "links")
     labels = components(ws, links)
@@ -318,4 +343,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)
