@@ -7,26 +7,44 @@ suffixes lie in external files that each round reads and writes from start to en
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
 import numpy as np
 
+from tesserae.llm.common import task_folder
+
 
 class _Files:
-    """Transform and prefix lengths, a byte a suffix each; a round reads one pair of files and writes the other."""
+    """Transform and prefix lengths, a byte a suffix each; a round reads one pair of files and writes the other.
+
+    Files stay open and are written over from the start: each is longer than what it held
+    before, so nothing is cut off, which would make the file system write it out at once.
+    """
 
     def __init__(self, folder: str):
-        self.pairs = [[os.path.join(folder, f"{n}{i}") for n in ("bwt", "lcp")] for i in (0, 1)]
+        self.pairs = [[open(os.path.join(folder, f"{n}{i}"), "w+b", buffering=0) for n in ("bwt", "lcp")] for i in (0, 1)]
+        self.rows = 0
 
     def write(self, *columns: np.ndarray) -> None:
         self.pairs.reverse()
-        for path, column in zip(self.pairs[0], columns, strict=True):
-            with open(path, "wb") as out:
-                column.tofile(out)
+        self.rows = len(columns[0])
+        for out, column in zip(self.pairs[0], columns, strict=True):
+            out.seek(0)
+            out.write(column.data)
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(p, np.uint8) for p in self.pairs[0]]
+        columns = [np.empty(self.rows, np.uint8) for _ in self.pairs[0]]
+        for source, column in zip(self.pairs[0], columns, strict=True):
+            source.seek(0)
+            if source.readinto(column.data) != self.rows:
+                raise OSError("a file of the transform is short")
+        return columns
+
+    def close(self) -> None:
+        for f in (*self.pairs[0], *self.pairs[1]):
+            f.close()
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -55,8 +73,7 @@ def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int)
     """
     m = len(sizes)
     ends = starts + sizes
-    with tempfile.TemporaryDirectory() as folder:
-        held = _Files(folder)
+    with tempfile.TemporaryDirectory(dir=task_folder()) as folder, contextlib.closing(_Files(folder)) as held:
         first = np.where(sizes > 0, data[np.maximum(ends - 1, 0)].astype(np.int64) + 1, 0).astype(np.uint8)
         held.write(first, np.zeros(m, np.uint8))
         docs, rows = np.arange(m), np.arange(m)  # documents that go on, and where their last suffix is

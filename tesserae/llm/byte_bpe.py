@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.cache import Generations
-from tesserae.llm.common import require, tidy
+from tesserae.llm.common import require, small_batches, tidy
 
 #: White space of Unicode's White_Space property, spelt out as the libraries' \s differ.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -212,5 +212,6 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

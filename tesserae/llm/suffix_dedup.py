@@ -1,23 +1,30 @@
 """Removal of byte strings that also start in an earlier document, by suffix order.
 
 A byte goes if a string of `length` bytes that covers it also starts in a document with a
-smaller doc_id.  Documents equal to an earlier one go as a whole and take no further part.
-For the others:
+smaller doc_id.  Equal documents are put together first: the one of least doc_id stands for
+all of them, and of the others every string starts in it, so they go as a whole.  Then:
 
 1. Winnowing: of every window of `length` bytes the least-hashed `ANCHOR`-byte string is its
    anchor, so equal windows have equal anchors, and the windows of one anchor are a piece of
    the text.  Every window is in exactly one piece.
 2. Anchors meet by hash, packed in arrays; those of one document only are done with.
-3. The pieces of shared anchors meet by anchor.  The different pieces of a task are collections
-   whose Burrows-Wheeler transform and common prefixes are built column by column (bwt.py):
-   neighbours in suffix order that share `length` symbols are one string, whose earliest
-   document is the least of its pieces'.
+3. The pieces of shared anchors meet by anchor, in order, and a task takes as many whole
+   anchors at a time as make a collection.  The different pieces of a collection are its
+   documents, whose Burrows-Wheeler transform and common prefixes are built column by column
+   (bwt.py): neighbours in suffix order that share `length` symbols are one string, whose
+   earliest document is the least of its pieces'.
 4. Spans whose string has an earlier document are gathered by document and cut out.
 
+An anchor with over 1/HEAVY of all pieces is hot; there are fewer than HEAVY.  Equal pieces of
+hot anchors are combined before the shuffle, so only different ones reach the transform, and
+what it finds is looked up from where the pieces are.
+
 Strings are judged on the input, matches never cross documents, and overlaps count.  Null text
-counts as empty; texts under `length` bytes stay whole.  A row with a null doc_id is neither
-earlier nor later than any other: it stays whole.  Rows repeated with one doc_id must have one
-text; they are alike.  An empty table gives an empty result.
+counts as empty; texts under `length` bytes stay whole, and texts of any length are used
+whole.  A row with a null doc_id is neither earlier nor later than any other: it stays whole.
+Rows repeated with one doc_id must have one text; they are alike (of several texts the least
+is the one cut).  An empty table gives an empty result.  Columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bwt
-from tesserae.llm.common import Workspace, build_filter, lookup, probe_filter, require, tidy, without
+from tesserae.llm.common import HEAVY, Workspace, lookup, possible, require, small_batches, task_folder, tidy, without
 from tesserae.llm.shingles import BASE, BYTE, mix, powers
 
 LENGTH, ANCHOR = 50, 16
 PORTION = 4 << 20  # bytes of text at once; below 1 << 22 and a text more
 #: Pieces of a collection: its arrays then stay in a core's cache.
 COLLECTION = 12_000
-FILTER_BITS = 1 << 27
+#: Bytes of text whose anchors a task of step 2 gathers, and pieces that a task of step 3 gets.
+BUCKET_BYTES, TASK_PIECES = 32 << 20, 400_000
+#: Pieces from which an anchor may be hot.
+HOT_LEAST = 64
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +146,7 @@ def shared_anchors(packed: DataFrame) -> DataFrame:
     @tidy
     def run(batches):
         parts, rows, sizes = [], 0, []
-        with tempfile.TemporaryFile() as spill:
+        with tempfile.TemporaryFile(dir=task_folder()) as spill:
             for batch in batches:
                 for keys, docs, locs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                     spill.write(keys)
@@ -177,8 +187,7 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     A piece that a document repeats is one row; `more` has its further starts.
     """
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("loc", "key")).alias("found"))
-    built = build_filter(wanted.select("doc_id"), "doc_id", FILTER_BITS)
-    texts = probe_filter(docs, "doc_id", built, FILTER_BITS).join(wanted, "doc_id")
+    texts = possible(docs, "doc_id", shared, "doc_id").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("found").alias("found"))
 
     @tidy
     def run(batches):
@@ -245,71 +254,129 @@ def may_repeat(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length:
     return out
 
 
-def repeated_spans(found: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, end) of bytes that a string with an earlier document covers."""
-
-    def spans(table: pa.Table):
-        piece = table.column("piece").combine_chunks()
-        coded = piece.dictionary_encode()
-        which, unique = coded.indices.to_numpy(), coded.dictionary
-        docs = table.column("doc_id").to_numpy()
-        more = table.column("more").combine_chunks()
-        n_starts = 1 + pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at_start = np.cumsum(n_starts) - n_starts
-        starts_of = np.empty(int(n_starts.sum()), np.int64)
-        further = np.ones(len(starts_of), bool)
-        further[at_start] = False
-        starts_of[at_start], starts_of[further] = table.column("start").to_numpy(), more.flatten().to_numpy()
-        offsets = np.frombuffer(unique.buffers()[1], np.int32)[unique.offset : unique.offset + len(unique) + 1].astype(np.int64)
-        data = np.frombuffer(unique.buffers()[2], np.uint8)
-        sizes = np.diff(offsets)
-        least = np.full(len(unique), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, docs)
-        # pieces of one document that share no window with another have nothing to lose or to give
-        latest = np.full(len(unique), np.iinfo(np.int64).min)
-        np.maximum.at(latest, which, docs)
-        part = (least < latest) | may_repeat(data, offsets[:-1], sizes, length)
-        place = np.cumsum(part) - 1
-        rows = np.flatnonzero(part[which])
-        which, docs = place[which[rows]], docs[rows]
-        starts, sizes, least = offsets[:-1][part], sizes[part], least[part]
-        early, begins = earliest(data, starts, sizes, least, length)
-        windows = (sizes - length + 1)[which]
-        held, own = gathered(early, begins[which], windows)
-        member = np.repeat(np.arange(len(which)), windows)
-        gone = held < docs[member]
-        offset = np.arange(len(held)) - own[member]
-        same = np.concatenate([[False], (member[1:] == member[:-1]) & gone[:-1]])
-        first = np.flatnonzero(gone & ~same)
-        last = np.flatnonzero(gone & ~np.concatenate([(member[1:] == member[:-1]) & gone[1:], [False]]))
-        who = member[first]
-        each = n_starts[rows[who]]
-        begin, _ = gathered(starts_of, at_start[rows[who]], each)
-        return pa.record_batch([pa.array(np.repeat(docs[who], each)), pa.array(begin + np.repeat(offset[first], each)), pa.array(begin + np.repeat(offset[last], each) + length)], names=["doc_id", "start", "end"])
+def judged(piece: pa.Array, docs: np.ndarray, latest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (piece, least and latest doc_id that has it): rows that share a window with another document, the windows of
+    their piece, the earliest document of each window of the different pieces, and where each row's begin in that."""
+    coded = piece.dictionary_encode()
+    which, unique = coded.indices.to_numpy(), coded.dictionary
+    offsets = np.frombuffer(unique.buffers()[1], np.int32)[unique.offset : unique.offset + len(unique) + 1].astype(np.int64)
+    data = np.frombuffer(unique.buffers()[2], np.uint8)
+    sizes = np.diff(offsets)
+    least, most = np.full(len(unique), np.iinfo(np.int64).max), np.full(len(unique), np.iinfo(np.int64).min)
+    np.minimum.at(least, which, docs)
+    np.maximum.at(most, which, latest)
+    # pieces of one document that share no window with another have nothing to lose or to give
+    part = (least < most) | may_repeat(data, offsets[:-1], sizes, length)
+    place = np.cumsum(part) - 1
+    rows = np.flatnonzero(part[which])
+    which = place[which[rows]]
+    early, begins = earliest(data, offsets[:-1][part], sizes[part], least[part], length)
+    return rows, (sizes[part] - length + 1)[which], early, begins[which]
+
+
+def spans_of(docs: np.ndarray, windows: np.ndarray, early: np.ndarray, begins: np.ndarray, start: pa.Array, more: pa.Array, length: int) -> pa.RecordBatch:
+    """(doc_id, start, end) of what rows lose: `early[begins]` has the earliest document of a row's windows."""
+    n_starts = 1 + pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at_start = np.cumsum(n_starts) - n_starts
+    starts = np.empty(int(n_starts.sum()), np.int64)
+    further = np.ones(len(starts), bool)
+    further[at_start] = False
+    starts[at_start], starts[further] = start.to_numpy(), more.flatten().to_numpy()
+    held, own = gathered(early, begins, windows)
+    member = np.repeat(np.arange(len(docs)), windows)
+    gone = held < docs[member]
+    offset = np.arange(len(held)) - own[member]
+    alike = member[1:] == member[:-1]
+    first = np.flatnonzero(gone & ~np.concatenate([[False], alike & gone[:-1]]))
+    last = np.flatnonzero(gone & ~np.concatenate([alike & gone[1:], [False]]))
+    who = member[first]
+    each = n_starts[who]
+    begin, _ = gathered(starts, at_start[who], each)
+    return pa.record_batch([pa.array(np.repeat(docs[who], each)), pa.array(begin + np.repeat(offset[first], each)), pa.array(begin + np.repeat(offset[last], each) + length)], names=["doc_id", "start", "end"])
+
+
+def collections(batches):
+    """Tables of whole anchors, of about COLLECTION rows, from batches sorted by anchor."""
+    held, rows = [], 0
+
+    def cut(last: bool):
+        nonlocal held, rows
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column("key").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        lo, end = 0, len(edges) - 1 if last else len(edges) - 2  # the last anchor may go on
+        while lo < end:
+            hi = max(lo + 1, int(np.searchsorted(edges[: end + 1], edges[lo] + COLLECTION, "right")) - 1)
+            if not last and edges[end] - edges[lo] < COLLECTION:
+                break
+            yield table.slice(edges[lo], edges[hi] - edges[lo])
+            lo = hi
+        rest = table.slice(edges[lo])
+        held, rows = (rest.to_batches(), rest.num_rows) if rest.num_rows else ([], 0)
+
+    least = COLLECTION
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= least:
+            yield from cut(False)
+            least = max(COLLECTION, 2 * rows)  # an anchor that fills what is held isn't looked through again and again
+    if rows:
+        yield from cut(True)
+
+
+def by_anchor(found: DataFrame, n_pieces: int) -> DataFrame:
+    """Pieces met and sorted by anchor, in partitions whose number follows the pieces'."""
+    n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_pieces // TASK_PIECES))
+    return found.repartition(n, F.col("key")).sortWithinPartitions("key")
+
+
+def repeated_spans(found: DataFrame, n_pieces: int, length: int) -> DataFrame:
+    """(doc_id, start, end) of bytes that a string with an earlier document covers, from pieces that aren't hot."""
 
     @tidy
     def run(batches):
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        key = table.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
-        lo = 0
-        while lo < len(edges) - 1:  # whole anchors up to a collection's size
-            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + COLLECTION, "right")) - 1)
-            yield spans(table.take(pa.array(order[edges[lo] : edges[hi]])))
-            lo = hi
+        for table in collections(batches):
+            docs = table.column("doc_id").to_numpy()
+            rows, windows, early, begins = judged(table.column("piece").combine_chunks(), docs, docs, length)
+            at = pa.array(rows)
+            yield spans_of(docs[rows], windows, early, begins, table.column("start").combine_chunks().take(at), table.column("more").combine_chunks().take(at), length)
+
+    return by_anchor(found, n_pieces).mapInArrow(run, "doc_id long, start long, end long")
+
+
+def hot_spans(ws: Workspace, found: DataFrame, n_pieces: int, length: int) -> DataFrame:
+    """The same of pieces of hot anchors, of which equal ones are combined before they are shuffled."""
+    held = ws.save(found, "hot")
+    alike = held.groupBy("key", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("n"))
+
+    @tidy
+    def judge(batches):
+        for table in collections(batches):
+            piece = table.column("piece").combine_chunks()
+            rows, windows, early, begins = judged(piece, table.column("least").to_numpy(), table.column("latest").to_numpy(), length)
+            values, own = gathered(early, begins, windows)
+            at = pa.array(rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(own, len(values)).astype(np.int32)), pa.array(values))
+            yield pa.record_batch([piece.take(at), lists, table.column("n").combine_chunks().take(at)], names=["piece", "early", "n"])
+
+    @tidy
+    def spans(batches):
+        for batch in batches:
+            early = batch.column("early")
+            windows = pc.list_value_length(early).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield spans_of(batch.column("doc_id").to_numpy(), windows, early.flatten().to_numpy(), np.cumsum(windows) - windows, batch.column("start"), batch.column("more"), length)
 
-    return found.repartition(F.col("key")).mapInArrow(run, "doc_id long, start long, end long")
+    known = ws.save(by_anchor(alike, n_pieces).mapInArrow(judge, "piece binary, early array<long>, n long"), "hot_judged")
+    met = lookup(held.select("piece", "doc_id", "start", "more"), known, "piece", "n", n_pieces).where("early is not null")
+    return met.select("doc_id", "start", "more", "early").mapInArrow(spans, "doc_id long, start long, end long")
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_removed, n_spans, kept) of the documents that lose bytes; `kept` is the bytes that stay."""
     lost = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    built = build_filter(lost.select("doc_id"), "doc_id", FILTER_BITS)
-    texts = probe_filter(docs, "doc_id", built, FILTER_BITS).join(lost, "doc_id")
+    texts = possible(docs, "doc_id", spans, "doc_id").join(lost, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("spans").alias("spans"))
 
     @tidy
     def run(batches):
@@ -344,16 +411,24 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     groups = known.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = lookup(known, groups, "digest", "n", known.count())
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)) & (F.col("n_bytes") >= length)
-    judged = ws.save(met.select("doc_id", "n_bytes", "digest", copy.alias("copy")), "judged")
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = without(rows.where("doc_id is not null"), judged.where("copy").select("doc_id"), "doc_id")
+    whole = ws.save(met.select("doc_id", "n_bytes", "digest", copy.alias("copy")), "whole")
+    n_bytes = whole.where("not copy").agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    texts = without(rows.where("doc_id is not null"), whole.where("copy").select("doc_id"), "doc_id")
     packed = packed_anchors(texts.where(F.octet_length("text") >= length), buckets, length, anchor)
     shared = ws.save(shared_anchors(packed), "shared")
-    spans = ws.save(repeated_spans(pieces(rows, shared, length), length), "spans")
+    n_pieces = shared.count()
+    # fewer than HEAVY keys: a proven bound
+    hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(HOT_LEAST, -(-n_pieces // HEAVY))).select("key")
+    hot = ws.save(hot, "hot_keys")
+    spans = repeated_spans(pieces(rows, shared.join(F.broadcast(hot), "key", "left_anti"), length), n_pieces, length)
+    if not hot.isEmpty():
+        spans = spans.unionByName(hot_spans(ws, pieces(rows, shared.join(F.broadcast(hot), "key", "left_semi"), length), n_pieces, length))
+    spans = ws.save(spans, "spans")
     ws.drop("shared")
-    left = cut(rows, spans).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("left_sha256")).dropDuplicates(["doc_id"])
+    left = cut(rows, spans).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("left_sha256"))
     empty = hashlib.sha256(b"").hexdigest()
-    out = judged.join(left, "doc_id", "left")
+    out = whole.join(left, "doc_id", "left")
     return out.select(
         "doc_id",
         "n_bytes",
@@ -364,4 +439,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
