@@ -8,29 +8,41 @@ hypergeometric draw, down to one shard, so every shard's quota is exact and the
 up.  Each shard then draws that many of a source's permuted blocks, disjoint from other
 shards', and shuffles its documents locally by a seeded hash.
 
+The tree is cut by task: one splits the root down to `SUBTREES` nodes, and a task for each of
+these goes on from there, so that neither the driver nor a task holds sources times shards.
+The numbers of blocks and shards grow with the size of the whole.
+
 A document's size is the number of its words `[^\\x20\\x09-\\x0D]+`, 0 for a null text.  Targets
 share `share` times all sizes by weight; none exceeds `passes` times its source's size, and
 the excess is shared again by weight.  Sources are ordered by code point, null last; a null
 source is a source.  Documents of size 0 are never taken.  Rows repeated with one doc_id
-are drawn alike, and a null doc_id is drawn like any other.  Draws depend on the seed and
-the documents only, not on partitioning.  An empty table gives an empty result.
+and source must have one text; they are drawn alike, and a null doc_id is drawn like any
+other.  Draws depend on the seed and the documents only, not on partitioning.  An empty table
+gives an empty result.  Columns other than doc_id, source and text are ignored or, by
+mix_rows(), carried along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Workspace, require
+from tesserae.llm.common import Workspace, numbered, require
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, PASSES = 1.5, 2
-#: Blocks of a source; a block's documents are ordered in one task.
+#: Blocks of a source at least; a block's documents are ordered in one task.
 BLOCKS = 1024
-SHARDS = 64
+#: Shards at least, and words of a shard from which there are more.
+SHARDS, SHARD_WORDS = 64, 20_000_000
+#: Blocks of a source for each shard beyond BLOCKS.
+SHARD_BLOCKS = 4
+#: Nodes of the splitting tree that one task deals out.
+SUBTREES = 1024
 SEED = 20_240_229
 
 
@@ -38,120 +50,150 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def share_out(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, passes: int = PASSES) -> list[float]:
-    """Targets by source: `share` of the total by weight, capped at `passes` times the source."""
-    total, targets, free = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
-    while free:
-        weight = sum(weights[i] for i in free)
-        over = [i for i in free if total * weights[i] / weight > passes * sizes[i]]
-        if not over:
-            for i in free:
-                targets[i] = total * weights[i] / weight
+def split(quotas: np.ndarray, lo: int, hi: int, span: int, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(lo, hi, quotas) of the tree's nodes of at most `span` shards below the node lo:hi, from left to right.
+
+    At each node a multivariate hypergeometric draw of its own seed splits the quotas in
+    two, the sums of the halves in proportion to their shards.
+    """
+    if hi - lo <= span:
+        yield lo, hi, quotas
+        return
+    mid = (lo + hi) // 2
+    n = int(quotas.sum()) * (mid - lo) // (hi - lo)
+    there = np.flatnonzero(quotas)
+    left = np.zeros_like(quotas)
+    if len(there):
+        left[there] = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(quotas[there], n, method="marginals")
+    yield from split(left, lo, mid, span, seed)
+    yield from split(quotas - left, mid, hi, span, seed)
+
+
+def split_tree(quotas: DataFrame, shards: int, seed: int = SEED, subtrees: int = SUBTREES) -> DataFrame:
+    """(number, shard, quota) of the shards that get any: how many of a source's draws each takes.
+
+    quotas: (number, quota), a row a source, numbered from 1.
+    """
+    span = -(-shards // subtrees)
+    kinds = "lo int, hi int, number long, quota long"
+
+    def below(pdf: pd.DataFrame, lo: int, hi: int, least: int) -> pd.DataFrame:
+        pdf = pdf.sort_values("number")
+        number = pdf["number"].to_numpy()
+        out = [(a, b, number[at], q[at]) for a, b, q in split(pdf["quota"].to_numpy(), lo, hi, least, seed) for at in [np.flatnonzero(q)]]
+        columns = [np.concatenate([np.full(len(n), x, np.int32) for x, _, n, _ in out]), np.concatenate([np.full(len(n), x, np.int32) for _, x, n, _ in out]), np.concatenate([n for _, _, n, _ in out]), np.concatenate([q for _, _, _, q in out])]
+        return pd.DataFrame(dict(zip(("lo", "hi", "number", "quota"), columns, strict=True)))
+
+    nodes = quotas.groupBy().applyInPandas(lambda pdf: below(pdf, 0, shards, span), kinds)
+    if span > 1:
+        nodes = nodes.groupBy("lo", "hi").applyInPandas(lambda key, pdf: below(pdf, int(key[0]), int(key[1]), 1), kinds)
+    return nodes.select("number", F.col("lo").alias("shard"), "quota")
+
+
+def targets_of(ws: Workspace, rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
+    """source, number, source_size, target: one row per source, written once.
+
+    Every source that stays under its bound gets its weight times one level, the others
+    their bound; the level rises until no source is above, an aggregate a time.
+    """
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    placed = numbered(ws, ws.save(sizes, "sources"), [F.asc_nulls_last("source")])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("number") - 1) % len(weights) + 1).cast("int"))
+    held = ws.save(placed.withColumn("weight", weight).withColumn("most", (F.col("source_size") * passes).cast("double")), "weights")
+    total = share * (held.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        over = F.col("weight") * level > F.col("most")
+        bound, free = held.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        risen = (total - bound) / free if free else level
+        if risen <= level * (1 + 1e-12):  # sums differ in their last bits
             break
-        for i in over:
-            targets[i] = float(passes * sizes[i])
-        total -= sum(targets[i] for i in over)
-        free = [i for i in free if i not in over]
-    return targets
-
-
-def split_tree(quotas: Sequence[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Block quotas [shard, source]: halves of exact size drawn without replacement, recursively."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-
-    def deal(held: np.ndarray, lo: int, hi: int) -> None:
-        if hi - lo == 1:
-            out[lo] = held
-            return
-        mid = (lo + hi) // 2
-        draws = np.random.default_rng([seed, lo, hi])
-        n = int(held.sum()) * (mid - lo) // (hi - lo)
-        left = draws.multivariate_hypergeometric(held, n, method="marginals") if len(held) else held
-        deal(left, lo, mid)
-        deal(held - left, mid, hi)
-
-    deal(np.asarray(quotas, np.int64), 0, shards)
-    return out
-
-
-def sized(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, source, size, block, draw: the place of a document in the seeded order."""
+        level = risen
+    return held.select("source", "number", "source_size", F.least(F.col("weight") * level, "most").alias("target"))
+
+
+def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, draw: the place of a document in the seeded order."""
     rows = require(docs, "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("size"))
-    at = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-(2**62))))
-    return rows.withColumn("draw", at).withColumn("block", F.pmod(F.shiftrightunsigned(at, 20), F.lit(blocks)).cast("int"))
+    return rows.withColumn("draw", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-(2**62)))))
 
 
-def targets_of(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """source, source_size, target: one row per source; the sources' totals are settled in the driver."""
-    spark = rows.sparkSession
-    totals = [(r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    totals.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
-    wanted = share_out([n for _, n in totals], [weights[i % len(weights)] for i in range(len(totals))], share, passes)
-    return spark.createDataFrame([(s, n, t) for (s, n), t in zip(totals, wanted, strict=True)], "source string, source_size long, target double")
+def shards_for(n_words: int, share: float = SHARE) -> int:
+    return max(SHARDS, -(-int(share * n_words) // SHARD_WORDS))
 
 
-def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, source, size, block, draw, source_size, target, copies of every row.
+def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED, shards: int | None = None, blocks: int | None = None) -> tuple[DataFrame, int]:
+    """doc_id, source, number, size, block, draw, source_size, target, copies of every row; and the number of shards.
 
-    Blocks are at most `blocks` rows a source, however many documents it has; documents are
-    put in order only in the one block of a source that its target cuts.
+    Documents are put in order only in the one block of a source that its target cuts.
     """
     # texts are read once; what is kept of each is a few numbers
-    rows = Workspace(docs.sparkSession, "mixing").save(sized(docs, seed, blocks), "sized")
-    targets = targets_of(rows, weights, share, passes)
+    ws = Workspace(docs.sparkSession, "mixing")
+    rows = ws.save(sized(docs, seed), "sized")
+    shards = shards or shards_for(rows.agg(F.sum("size")).first()[0] or 0, share)
+    blocks = blocks or max(BLOCKS, SHARD_BLOCKS * shards)
+    rows = rows.withColumn("block", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(blocks)).cast("int"))
+    targets = targets_of(ws, rows, weights, share, passes).withColumnRenamed("source", "_s")
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
-    sums = sums.join(F.broadcast(targets.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    sums = sums.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = sums.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("before", F.coalesce(F.sum("block_size").over(order), F.lit(0)))
     inside = F.col("before") + F.col("block_size") <= F.col("rest")
     cut = ~inside & (F.col("before") < F.col("rest"))
     # `blocks` rows of a few numbers for each source
-    plan = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "source_size", "target", "whole", inside.alias("inside"), cut.alias("cut"), (F.col("rest") - F.col("before")).alias("room"))
+    plan = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "number", "source_size", "target", "whole", inside.alias("inside"), cut.alias("cut"), (F.col("rest") - F.col("before")).alias("room"))
     met = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    kept = [*rows.columns, "source_size", "target"]
+    kept = ["number", *rows.columns, "source_size", "target"]
     plain = met.where(~F.col("cut")).select(*kept, (F.col("whole") + F.col("inside").cast("long")).alias("copies"))
     # taken while the middle of the document lies before the target
-    closer = F.sum("size").over(Window.partitionBy("source", "block").orderBy("draw", "doc_id")) - F.col("size") / 2 <= F.col("room")
+    closer = F.sum("size").over(Window.partitionBy("number", "block").orderBy("draw", "doc_id")) - F.col("size") / 2 <= F.col("room")
     edge = met.where("cut").withColumn("extra", closer.cast("long")).select(*kept, (F.col("whole") + F.col("extra")).alias("copies"))
-    return plain.unionByName(edge)
+    return plain.unionByName(edge), shards
 
 
-def deal(taken: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """shard, place, doc_id, copy of every document drawn; `place` is the order in the shard.
+def deal(taken: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """shard, place, doc_id, source, copy of every document drawn; `place` is the order in the shard.
 
     taken: rows of draw().  Quotas are in block draws: a block and a pass over it.  A shard's
     draws of a source are the next of the source's permuted draws.
     """
-    spark = taken.sparkSession
     taken = taken.where("copies > 0 and size > 0")
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    draws = copies.groupBy("source", "block", "copy").agg(F.sum("size").alias("words"))
-    turn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "block", "copy"), "block", "copy")
-    turns = draws.withColumn("turn", F.row_number().over(turn))  # `blocks` * `passes` rows a source at most
-    quotas = [(r.source, r.n) for r in turns.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
-    quotas.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
-    split = split_tree([n for _, n in quotas], shards, seed)
-    ends = split.cumsum(axis=0)
-    spans = [(s, shard, int(ends[shard, i] - split[shard, i]), int(ends[shard, i])) for i, (s, _) in enumerate(quotas) for shard in range(shards) if split[shard, i]]
-    held = spark.createDataFrame(spans, "_s string, shard int, lo long, hi long")
-    dealt = turns.join(F.broadcast(held), F.col("source").eqNullSafe(F.col("_s")) & (F.col("turn") > F.col("lo")) & (F.col("turn") <= F.col("hi"))).select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("copy").alias("_c"), "shard")
-    met = copies.join(dealt, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("copy") == F.col("_c")))
-    return met.select("shard", F.xxhash64(F.lit(seed + 3), "doc_id", "copy").alias("place"), "doc_id", "copy")
-
-
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
-    """The mix itself: shard, place, doc_id, copy, each shard in its shuffled order."""
-    dealt = deal(draw(docs, seed=seed, **how), seed, shards)
-    return dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "place", "doc_id", "copy")
-
-
-def taken_words(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
+    draws = copies.select("number", "block", "copy").distinct()
+    # blocks times passes rows a source, a few numbers each
+    turn = Window.partitionBy("number").orderBy(F.xxhash64(F.lit(seed + 2), "block", "copy"), "block", "copy")
+    turns = draws.withColumn("turn", F.row_number().over(turn).cast("long"))
+    quotas = split_tree(turns.groupBy("number").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
+    last = F.sum("quota").over(Window.partitionBy("number").orderBy("shard"))
+    spans = quotas.withColumn("last", last).select("number", "shard", F.explode(F.sequence(F.col("last") - F.col("quota") + 1, F.col("last"))).alias("turn"))
+    dealt = turns.join(spans, ["number", "turn"]).select("number", "block", "copy", "shard")
+    return copies.join(dealt, ["number", "block", "copy"]).select("shard", F.xxhash64(F.lit(seed + 3), "doc_id", "copy").alias("place"), "doc_id", "source", "copy")
+
+
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED, **how) -> DataFrame:
+    """The mix itself: shard, place, doc_id, source, copy, each shard in its shuffled order."""
+    drawn, shards = draw(docs, seed=seed, shards=shards, **how)
+    return deal(drawn, shards, seed).repartition(F.col("shard")).sortWithinPartitions("shard", "place", "doc_id", "copy")
+
+
+def mix_rows(docs: DataFrame, shards: int | None = None, seed: int = SEED, **how) -> DataFrame:
+    """The rows of `docs`, with all their columns, once for each copy drawn, shard by shard in the shards' shuffled order."""
+    drawn, shards = draw(docs, seed=seed, shards=shards, **how)
+    # rows with one doc_id and source are drawn alike and mustn't multiply each other
+    dealt = deal(drawn, shards, seed).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(F.collect_set(F.struct("shard", "place", "copy")).alias("dealt"))
+    held = docs.select(F.col("doc_id"), F.col("source"), F.struct("*").alias("row"))  # no column of the row can clash
+    met = held.join(dealt, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    each = met.select("row", F.explode("dealt").alias("at"))
+    return each.repartition(F.col("at.shard")).sortWithinPartitions("at.shard", "at.place").select("row.*")
+
+
+def taken_words(docs: DataFrame, shards: int | None = None, seed: int = SEED, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row: the words that the shards hold of it."""
-    drawn = draw(docs, seed=seed, **how)
-    held = deal(drawn, seed, shards).groupBy(F.col("doc_id").alias("_d")).agg(F.count_distinct("copy").alias("times"))
-    met = drawn.join(held, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    drawn, shards = draw(docs, seed=seed, shards=shards, **how)
+    held = deal(drawn, shards, seed).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(F.count_distinct("copy").alias("times"))
+    met = drawn.join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     return met.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken"))
 
 

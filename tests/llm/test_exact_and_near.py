@@ -1,11 +1,16 @@
 import hashlib
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
-from tesserae.llm.common import Workspace, without
+from tesserae.llm import bwt, minhash_forest
+from tesserae.llm import suffix_dedup as suffix
+from tesserae.llm.common import Workspace, filter_bits, numbered, possible, scratch, without
 from tesserae.llm.exact_dedup import LsmIndex, exact_dedup
 from tesserae.llm.minhash_forest import near_duplicates
 from tesserae.llm.suffix_dedup import suffix_dedup
@@ -45,12 +50,39 @@ def test_runs_and_levels(spark, copies_df):
     assert index.members().count() == copies_df.count()
     assert level.agg(F.sum("n")).first()[0] == copies_df.count()
     assert level.count() == copies_df.select("text").distinct().count()
+    text = copies_df.first().text
+    found = index.find([hashlib.sha256(text.encode()).hexdigest()])
+    assert {r.doc_id for r in found.collect()} == {r.doc_id for r in copies_df.where(F.col("text") == text).collect()}
+    assert any("Bloom" in str(v) or "bloom" in str(k) for k, v in index._filters().items())
 
 
 def test_without(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("_bits")).union(spark.sql("select cast(null as long), 'y'"))
-    left = without(df, spark.range(0, 1000, 3).select(F.col("id").alias("k")), "k", bits=1 << 16)
-    assert left.count() == 1001 - 334
+    dropped = spark.range(0, 1000, 3).select(F.col("id").alias("k"))
+    for most in (1 << 30, 0):  # 0: no filter may be broadcast
+        left = without(df, dropped, "k", most)
+        assert left.columns == df.columns and left.count() == 1001 - 334
+        assert {r.k for r in possible(df.select("k"), "k", dropped, "k", most).collect()} >= set(range(0, 1000, 3))
+    assert filter_bits(dropped, "k") == 1 << 20 and filter_bits(spark.range(100_000), "id") > 1 << 20
+
+
+@pytest.mark.parametrize("one_task", [10**6, 5])
+def test_numbered(spark, one_task):
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(["b", "a", None, "é", "Z", "c"] * 3)], "w string, i int").repartition(3)
+    got = numbered(Workspace(spark, "test"), df, [F.asc_nulls_last("w"), F.col("i")], one_task=one_task).collect()
+    want = sorted(df.collect(), key=lambda r: (r.w is None, (r.w or "").encode(), r.i))
+    assert sorted((r.number, r.w, r.i) for r in got) == [(k + 1, r.w, r.i) for k, r in enumerate(want)]
+
+
+def test_scratch_goes(spark):
+    outer = Workspace(spark, "test")
+    with scratch():
+        inner = Workspace(spark, "test")
+        inner.save(spark.range(3), "t")
+    path, fs = inner._fs(inner.path)
+    assert not fs.exists(path) and outer in Workspace.opened
+    outer.drop()
+    assert outer not in Workspace.opened
 
 
 def shingles(text, width):
@@ -86,6 +118,51 @@ def test_near_duplicates(copies_df, copies, width):
     assert got == {d: (len(s), part[d], part[d] == d) for d, s in sets.items()}
 
 
+def test_near_duplicates_by_small_blocks(copies_df, copies, monkeypatch):
+    """Large regions cut into blocks, whose pairs are compared on full sets."""
+    monkeypatch.setattr(minhash_forest, "BLOCK", 5)
+    part = brute_components({d: shingles(t, 4) for d, t in copies.items()})
+    assert {r.doc_id: r.component_id for r in near_duplicates(copies_df, 4).collect()} == part
+
+
+def test_block_pairs(spark):
+    """Classes outside the largest component meet all others of their region, in some block."""
+    rows = [(1, 30, i, 0 if i < 20 else i % 3 + 1) for i in range(30)] + [(2, 10, i, 7) for i in range(10)]
+    df = spark.createDataFrame(rows, "key long, n long, node long, part long")
+    held = {}
+    old, minhash_forest.BLOCK = minhash_forest.BLOCK, 4
+    try:
+        for r in minhash_forest._block_pairs(df, 40).collect():
+            assert r.key == 1
+            held.setdefault(r.at, set()).add(r.node)
+    finally:
+        minhash_forest.BLOCK = old
+    met = {(a, b) for nodes in held.values() for a in nodes for b in nodes}
+    parts = {i: p for k, _, i, p in rows if k == 1}
+    assert all((a, b) in met for a in parts for b in parts if parts[a] != parts[b])
+    assert sum(len(x) for x in held.values()) < 30 * 8  # fewer copies than if every block met every other
+
+
+def test_recall_of_links(spark):
+    """Links of pairs of 0.80 to 0.90, each pair by itself: the forest finds at least 0.99 of what all pairs give."""
+    rng = random.Random(23)
+    texts, linked = {}, []
+    for i in range(400):
+        a = [f"w{i}x{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        b = list(a)
+        for _ in range(max(1, len(a) // rng.randint(40, 60))):
+            b[rng.randrange(len(b))] = f"e{rng.randrange(10**9)}"
+        texts[2 * i], texts[2 * i + 1] = " ".join(a), " ".join(b)
+        x, y = shingles(texts[2 * i], 4), shingles(texts[2 * i + 1], 4)
+        both = len(x & y)
+        if 100 * both >= 80 * (len(x) + len(y) - both):
+            linked.append(2 * i)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4).collect()}
+    assert len(linked) > 150
+    assert sum(got[i + 1] == i for i in linked) >= 0.99 * len(linked)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) <= len(linked)
+
+
 def test_near_duplicates_at_the_edges(docs):
     named = {i: t for i, t, *_ in edge_rows() if i is not None}
     part = brute_components({d: shingles(t, 5) for d, t in named.items()})
@@ -106,6 +183,13 @@ def test_components(spark):
     assert got == {i: 1 for i in [*range(1, 41), 200]} | {i: 100 for i in range(100, 150)}
 
 
+def test_components_of_hubs(spark):
+    """A node with a third of all links, and a label that most nodes have, are looked up by broadcast."""
+    links = [(0, i) for i in range(1, 3000)] + [(i, i + 3000) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(60)]
+    got = dict(rows(components(Workspace(spark, "test"), spark.createDataFrame(links, "a long, b long"))))
+    assert got == {i: 0 for i in range(6000) if i != 3000} | {10_000 + i: 10_000 for i in range(61)}
+
+
 def brute_spans(texts, length):
     first = {}
     for d in sorted(texts):
@@ -129,6 +213,42 @@ def test_suffix_dedup(copies_df, copies):
     assert rows(suffix_dedup(copies_df)) == brute_spans(copies, 50)
 
 
+def test_suffix_dedup_of_hot_anchors(copies_df, copies, monkeypatch):
+    """Every anchor hot: equal pieces combined before the shuffle, results looked up."""
+    monkeypatch.setattr(suffix, "HOT_LEAST", 2)
+    monkeypatch.setattr(suffix, "HEAVY", 10**9)
+    assert rows(suffix_dedup(copies_df)) == brute_spans(copies, 50)
+
+
+@pytest.mark.parametrize("size", [1, 4, 7, 1000])
+def test_collections_are_whole_anchors(monkeypatch, size):
+    monkeypatch.setattr(suffix, "COLLECTION", size)
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 40, 300))
+    key[100:160] = key[100]  # an anchor larger than a collection
+    batches = [pa.record_batch([pa.array(key[a : a + 11]), pa.array(np.arange(a, min(a + 11, 300)))], names=["key", "row"]) for a in range(0, 300, 11)]
+    tables = list(suffix.collections(iter(batches)))
+    assert [x for t in tables for x in t.column("row").to_pylist()] == list(range(300))
+    whole = [set(t.column("key").to_pylist()) for t in tables]
+    assert all(not a & b for i, a in enumerate(whole) for b in whole[:i])
+    assert all(t.num_rows <= size or len(k) == 1 for t, k in zip(tables, whole, strict=True))
+
+
+def test_transform_like_sorted_suffixes():
+    """The column-wise transform against suffixes that are sorted outright."""
+    rng = np.random.default_rng(9)
+    docs = [bytes(rng.integers(97, 100, rng.integers(0, 40)).astype(np.uint8)) for _ in range(50)]
+    data, sizes = np.frombuffer(b"".join(docs), np.uint8), np.array([len(d) for d in docs])
+    symbols, prefix = bwt.transform(data, np.cumsum(sizes) - sizes, sizes, 20)
+    owner, length = bwt.places(symbols, sizes)
+    # a suffix ends with its document's own mark, and marks are in the documents' order
+    order = sorted(((d[len(d) - n :] , i) for i, d in enumerate(docs) for n in range(len(d) + 1)), key=lambda x: ([c + 1 for c in x[0]] + [0], x[1]))
+    assert [(docs[i][len(docs[i]) - n :], i) for i, n in zip(owner.tolist(), length.tolist(), strict=True)] == order
+    for a, b, shared in zip(order, order[1:], prefix[1:].tolist(), strict=False):
+        same = next((k for k, (x, y) in enumerate(zip(a[0], b[0], strict=False)) if x != y), min(len(a[0]), len(b[0])))
+        assert shared == min(same, 20)
+
+
 def test_suffix_dedup_at_the_edges(docs, no_docs):
     named = {i: t for i, t, *_ in edge_rows() if i is not None}
     got = rows(suffix_dedup(docs))

@@ -3,6 +3,7 @@ import hashlib
 import io
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -84,18 +85,47 @@ def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
 
-def test_targets():
-    assert mixing.share_out([100, 100, 100], [5, 2, 1]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert mixing.share_out([0, 0], [5, 2]) == [0.0, 0.0] and mixing.share_out([], []) == []
+def levelled(sizes, weights, share=Fraction(3, 2), passes=2):
+    """Targets by bisection for the level at which min(weight * level, passes * size) adds up: another way than the operator's."""
+    total = share * sum(sizes)
+    low, high = Fraction(0), Fraction(passes * sum(sizes) + 1)
+    for _ in range(200):
+        middle = (low + high) / 2
+        if sum(min(w * middle, passes * n) for w, n in zip(weights, sizes, strict=True)) < total:
+            low = middle
+        else:
+            high = middle
+    return [float(min(w * low, passes * n)) for w, n in zip(weights, sizes, strict=True)]
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [5, 1000, 3, 70, 0, 12, 999], [1], [0, 0]])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, size long")
+    got = [r.target for r in mixing.targets_of(Workspace(spark, "test"), rows).orderBy("number").collect()]
+    assert got == pytest.approx(levelled(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]), rel=1e-9, abs=1e-9)
+    if sizes == [100, 100, 100]:
+        assert got == pytest.approx([200, 500 / 3, 250 / 3])
+
+
+@pytest.mark.parametrize("subtrees", [1024, 3])
+def test_splitting_tree(spark, subtrees):
+    quotas = {1: 1000, 2: 3, 3: 41}
+    df = spark.createDataFrame(list(quotas.items()), "number long, quota long")
+    got = mixing.split_tree(df, 7, subtrees=subtrees).collect()
+    by_source, by_shard = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r.quota > 0
+        by_source[r.number] += r.quota
+        by_shard[r.shard] += r.quota
+    assert by_source == quotas and set(by_shard) == set(range(7)) and max(by_shard.values()) - min(by_shard.values()) <= 3
+    # the tree is the same however it is cut into tasks
+    assert sorted(got) == sorted(mixing.split_tree(df.repartition(3), 7).collect())
+    assert mixing.split_tree(df.limit(0), 3).collect() == []
 
 
-def test_splitting_tree():
-    quotas = [1000, 3, 0, 41]
-    split = mixing.split_tree(quotas, 7)
-    assert split.sum(axis=0).tolist() == quotas and (split >= 0).all()
-    assert split.sum(axis=1).max() - split.sum(axis=1).min() <= 3
-    assert (split == mixing.split_tree(quotas, 7)).all()
-    assert mixing.split_tree([], 3).shape == (3, 0)
+def test_shards_follow_the_size():
+    assert mixing.shards_for(0) == mixing.SHARDS
+    assert mixing.shards_for(10**13) == 15 * 10**12 // mixing.SHARD_WORDS
 
 
 def test_mixing(spark):
@@ -113,7 +143,7 @@ def test_mixing(spark):
         target[s] = r.target
         assert r.source_size == sizes[s] and r.taken in (0, r.size, 2 * r.size)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    assert [target[s] for s in order] == pytest.approx(mixing.share_out([sizes[s] for s in order], [5, 2, 1, 5][: len(order)]))
+    assert [target[s] for s in order] == pytest.approx(levelled([sizes[s] for s in order], [5, 2, 1, 5][: len(order)]))
     assert all(abs(taken[s] - target[s]) <= 41 for s in order)
     mixed = mixing.mix(df, shards=8).collect()
     counts = defaultdict(int)
@@ -121,6 +151,31 @@ def test_mixing(spark):
         counts[r.doc_id] += 1
     assert all(counts[r.doc_id] * r.size == r.taken for r in got)
     assert {r.shard for r in mixed} == set(range(8))
+    for shard in range(8):
+        places = [r.place for r in mixed if r.shard == shard]
+        assert places == sorted(places)
+    # whole blocks of a source: what a shard holds of a block and pass is all of it
+    drawn, _ = mixing.draw(df, shards=8)
+    block = {(r.source, r.doc_id): r.block for r in drawn.collect()}
+    shard_of = defaultdict(set)
+    for r in mixed:
+        shard_of[r.source, block[r.source, r.doc_id], r.copy].add(r.shard)
+    assert all(len(x) == 1 for x in shard_of.values())
+
+
+def test_mixed_rows(spark, docs):
+    """Whole rows, with repeated identifiers, null identifiers and clashing names, as often as they are taken."""
+    rows = mixing.mix_rows(docs)
+    assert rows.columns == docs.columns
+    got, taken = defaultdict(int), defaultdict(int)
+    for r in rows.collect():
+        got[r.doc_id, r.source] += 1
+    for r, d in zip(sorted(mixing.taken_words(docs).collect(), key=repr), sorted(docs.collect(), key=repr), strict=True):
+        taken[r.doc_id] += r.taken // r.size if r.size else 0
+    by_id = defaultdict(int)
+    for (i, _), n in got.items():
+        by_id[i] += n
+    assert by_id == {i: n for i, n in taken.items() if n}
 
 
 def test_mixing_at_the_edges(docs, no_docs):
@@ -150,8 +205,21 @@ def test_exact_top_k(spark, shape):
     rows = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(v)]
     rows += [(400, None), (410, [None] * 16), (420, [float("nan")] * 16), (430, [float("inf")] * 16), (440, []), (None, rows[0][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, rank string").repartition(3)
-    got = exact_topk.exact_top_k(df, F.col("vec_id") % 10 == 0, 7, block_rows=64, query_rows=16).collect()
-    assert {tuple(r) for r in got} == brute(rows, 7) and len(got) == 7 * 40
+    for broadcast_bytes in (1 << 20, 0):
+        got = exact_topk.exact_top_k(df, F.col("vec_id") % 10 == 0, 7, block_rows=64, query_rows=16, broadcast_bytes=broadcast_bytes).collect()
+        assert {tuple(r) for r in got} == brute(rows, 7) and len(got) == 7 * 40
+
+
+def test_block_sheds_rows():
+    """A block whose rows are far apart: most are ruled out before the last segments, and what is left is exact."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(-3, 4, (500, 8)) * rng.choice([1, 1000], (500, 1), p=[0.9, 0.1])
+    block = exact_topk.build_block(np.arange(500), v)
+    assert len(exact_topk.halvings(np.frombuffer(block["segments"], "<i8").reshape(-1, 2), exact_topk.widen(block["seg_value"]))) > 1
+    q, ids, score = exact_topk.search_block(block, np.arange(5), v[:5], 3)
+    for i in range(5):
+        want = sorted((-int(v[i] @ w), j) for j, w in enumerate(v) if j != i)[:3]
+        assert [(-s, j) for s, j in zip(score[q == i].tolist(), ids[q == i].tolist(), strict=True)] == want
 
 
 def test_few_vectors(spark):
