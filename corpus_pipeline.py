@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import byte_bpe, exact_dedup, minhash_forest, mixing, toxicity
-from tesserae.llm.common import Workspace, give_back, without
+from tesserae.llm.common import Workspace, scratch, small_batches, without
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,24 +28,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return without(docs, minhash_forest.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id"), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn, once for each copy, shard by shard in the shards' shuffled order."""
-    dealt = mixing.deal(mixing.draw(docs)).select(F.col("doc_id").alias("_d"), "shard", "place")
-    held = docs.select("doc_id", F.struct("*").alias("row"))  # no column of the row can clash
-    drawn = held.join(dealt, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return drawn.repartition(F.col("shard")).sortWithinPartitions("shard", "place").select("row.*")
+    return mixing.mix_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    give_back(spark)
-    # a smaller cache than where this is all that runs: earlier stages' memory is still there
-    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cache=60_000)
+    small_batches(spark)
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -60,12 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each is written to the shared folder and read by the next."""
+    """All stages over `documents`; each is written to the shared folder and read by the next, and its scratch tables go."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        docs = ws.save(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = ws.save(stage(spark, docs, sf_dir), name)
         if before:
             ws.drop(before)
         before = name
