@@ -143,6 +143,8 @@ def spread(files: DataFrame, n: int) -> DataFrame:
 BITS_PER_BLOCK = 32768
 #: Bits of a filter for each key, and the most that a filter may have to be broadcast (128 MiB).
 BITS_PER_KEY, MOST_BITS = 16, 1 << 30
+#: Identifiers that are broadcast as they are.
+FEW_KEYS = 1 << 19
 
 
 def filter_bits(keys: DataFrame, key: str, most: int = MOST_BITS) -> int | None:
@@ -209,17 +211,20 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
 
 
 
-def without(rows: DataFrame, dropped: DataFrame, key: str, most: int = MOST_BITS) -> DataFrame:
+def without(rows: DataFrame, dropped: DataFrame, key: str, most: int = MOST_BITS, few: int = FEW_KEYS) -> DataFrame:
     """`rows` whose key isn't among `dropped` (one column, `key`); rows with a null key stay.
 
-    The keys are written once.  A broadcast bit filter, sized by their number, tells most rows
-    apart where they are read; only rows that it may hold are shuffled to meet the keys
-    themselves.  Where it would be too large to broadcast, all rows are.
+    The keys are written once.  Up to `few` of them are broadcast themselves.  Of more, a
+    broadcast bit filter, sized by their number, tells most rows apart where they are read;
+    only rows that it may hold are shuffled to meet the keys.  Where the filter would be too
+    large to broadcast, all rows are.
     """
     ws = Workspace(rows.sparkSession, "dropped")
     keys = ws.save(dropped.select(F.col(key).alias("key")).where("key is not null").distinct(), "keys")
     # the row goes along as one value, so that no column of it can clash
     held = rows.select(F.col(f"`{key}`").alias("key"), F.struct("*").alias("row"))
+    if keys.count() <= few:
+        return held.join(F.broadcast(keys), "key", "left_anti").select("row.*")
     bits = filter_bits(keys, "key", most)
     if bits is None:
         return held.join(keys, "key", "left_anti").select("row.*")

@@ -8,23 +8,22 @@ all of them, and of the others every string starts in it, so they go as a whole.
    anchor, so equal windows have equal anchors, and the windows of one anchor are a piece of
    the text.  Every window is in exactly one piece.
 2. Anchors meet by hash, packed in arrays; those of one document only are done with.
-3. The pieces of shared anchors meet by anchor, in order, and a task takes as many whole
-   anchors at a time as make a collection.  The different pieces of a collection are its
-   documents, whose Burrows-Wheeler transform and common prefixes are built column by column
-   (bwt.py): neighbours in suffix order that share `length` symbols are one string, whose
-   earliest document is the least of its pieces'.
+3. The pieces of shared anchors meet by anchor, in as many tasks as their number asks for.
+   Whole anchors make a collection: its different pieces are the documents whose
+   Burrows-Wheeler transform and common prefixes are built column by column (bwt.py);
+   neighbours in suffix order that share `length` symbols are one string, whose earliest
+   document is the least of its pieces'.
 4. Spans whose string has an earlier document are gathered by document and cut out.
 
-An anchor with over 1/HEAVY of all pieces is hot; there are fewer than HEAVY.  Equal pieces of
-hot anchors are combined before the shuffle, so only different ones reach the transform, and
-what it finds is looked up from where the pieces are.
+An anchor of over 1/HEAVY of all pieces, or of over HOT_MOST, is hot, so none fills a task.
+Equal pieces of hot anchors are combined where they are read, with the list of their places.
+Only the different ones meet by anchor, and what the transform finds is looked up for each list.
 
 Strings are judged on the input, matches never cross documents, and overlaps count.  Null text
 counts as empty; texts under `length` bytes stay whole, and texts of any length are used
 whole.  A row with a null doc_id is neither earlier nor later than any other: it stays whole.
-Rows repeated with one doc_id must have one text; they are alike (of several texts the least
-is the one cut).  An empty table gives an empty result.  Columns other than doc_id and text are
-ignored, whatever their names.
+Rows repeated with one doc_id must have one text; they are alike.  An empty table gives an
+empty result.  Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,9 +46,11 @@ PORTION = 4 << 20  # bytes of text at once; below 1 << 22 and a text more
 #: Pieces of a collection: its arrays then stay in a core's cache.
 COLLECTION = 12_000
 #: Bytes of text whose anchors a task of step 2 gathers, and pieces that a task of step 3 gets.
-BUCKET_BYTES, TASK_PIECES = 32 << 20, 400_000
-#: Pieces from which an anchor may be hot.
-HOT_LEAST = 64
+BUCKET_BYTES, TASK_PIECES = 32 << 20, 250_000
+#: Pieces from which an anchor may be hot, and from which it is.
+HOT_LEAST, HOT_MOST = 64, 100_000
+#: Hot anchors that are broadcast; more are met in a shuffle.
+HOT_KEYS = 1 << 20
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,41 +182,78 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return data[np.repeat(starts - begins, sizes) + np.arange(int(sizes.sum()))], begins
 
 
+PIECES = "key long, slot long, doc_id long, start long, more array<long>, piece binary, docs array<long>, starts array<long>"
+_LISTS = pa.list_(pa.int64())
+_PIECES = pa.schema([("key", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("more", _LISTS), ("piece", pa.binary()), ("docs", _LISTS), ("starts", _LISTS)])
+
+
+def binary(data: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The strings data[begins[i] : begins[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def places_of(piece: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Different pieces, an order of the rows that puts equal ones together, and where each begins in it, with its count."""
+    coded = piece.dictionary_encode()
+    which = coded.indices.to_numpy()
+    order = np.argsort(which, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(which[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+    return coded.dictionary, order, first, np.diff(np.append(first, len(order)))
+
+
 def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, start, more, piece): the bytes of the shared anchors' windows.
+    """The bytes of the shared anchors' windows (`shared`: key, doc_id, loc, hot), by PIECES.
 
-    A piece that a document repeats is one row; `more` has its further starts.
+    A piece that a document repeats is one row; `more` has its further starts.  A hot piece
+    is one row for all documents of a batch, whose places are `docs` and `starts`.
     """
-    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("loc", "key")).alias("found"))
-    texts = possible(docs, "doc_id", shared, "doc_id").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("found").alias("found"))
+    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("loc", "key", "hot")).alias("found"))
+    texts = possible(docs, "doc_id", shared, "doc_id").join(wanted, "doc_id")
+
+    def cold(doc_id: int, key: np.ndarray, start: np.ndarray, piece: pa.Array) -> pa.RecordBatch:
+        unique, order, first, counts = places_of(piece)
+        more = pa.nulls(len(piece), _LISTS)
+        if len(unique) < len(piece):
+            rest = np.delete(order, first)
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts - 1)).astype(np.int32)), pa.array(start[rest]), mask=pa.array(counts == 1))
+            piece, key, start = unique, key[order[first]], start[order[first]]
+        none = pa.nulls(len(piece), _LISTS)
+        return pa.record_batch([pa.array(key), pa.array(key), pa.array(np.full(len(piece), doc_id, np.int64)), pa.array(start), more, piece, none, none], schema=_PIECES)
+
+    def hot(held: list[tuple]) -> pa.RecordBatch:
+        docs, key, start, piece = (np.concatenate([h[i] for h in held]) if i < 3 else pa.concat_arrays([h[i] for h in held]) for i in range(4))
+        unique, order, first, _ = places_of(piece)
+        edges = pa.array(np.append(first, len(order)).astype(np.int32))
+        none, key = pa.nulls(len(unique), pa.int64()), key[order[first]]
+        # they are looked up later and may go anywhere now
+        slot = key ^ (docs[order[first]] * 0x2545F4914F6CDD1D)
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (docs, start)]
+        return pa.record_batch([pa.array(key), pa.array(slot), none, none, pa.nulls(len(unique), _LISTS), unique, *lists], schema=_PIECES)
 
     @tidy
     def run(batches):
         for batch in batches:
+            held = []
             for i in range(batch.num_rows):
+                doc_id = batch.column(0)[i].as_py()
                 data = np.frombuffer((batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 found = batch.column(2)[i].values
                 loc, key = found.field("loc").to_numpy(), found.field("key").to_numpy()
-                sizes = (loc & 255) + length - 1
-                held, begins = gathered(data, loc >> 8, sizes)
-                offsets = np.append(begins, len(held)).astype(np.int32)
-                piece = pa.Array.from_buffers(pa.binary(), len(loc), [None, pa.py_buffer(offsets), pa.py_buffer(held.tobytes())])
-                start, more = loc >> 8, None
-                coded = piece.dictionary_encode()
-                if len(coded.dictionary) < len(piece):
-                    which = coded.indices.to_numpy()
-                    order = np.argsort(which, kind="stable")
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(which[order]) != 0]))
-                    rest = np.delete(order, first)
-                    counts = np.diff(np.append(first, len(order))) - 1
-                    edges = np.append(0, np.cumsum(counts)).astype(np.int32)
-                    more = pa.ListArray.from_arrays(pa.array(edges), pa.array(start[rest]), mask=pa.array(counts == 0))
-                    piece, key, start = coded.dictionary, key[order[first]], start[order[first]]
-                if more is None:
-                    more = pa.nulls(len(piece), pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(key), pa.array(np.full(len(piece), batch.column(0)[i].as_py(), np.int64)), pa.array(start), more, piece], names=["key", "doc_id", "start", "more", "piece"])
-
-    return texts.select("doc_id", "text", "found").mapInArrow(run, "key long, doc_id long, start long, more array<long>, piece binary")
+                apart = found.field("hot").to_numpy(zero_copy_only=False)
+                for at in (~apart, apart):
+                    if not at.any():
+                        continue
+                    start, sizes = loc[at] >> 8, (loc[at] & 255) + length - 1
+                    bytes_, begins = gathered(data, start, sizes)
+                    piece = binary(bytes_, np.append(begins, len(bytes_)))
+                    if at is apart:
+                        held.append((np.full(len(start), doc_id, np.int64), key[at], start, piece))
+                    else:
+                        yield cold(doc_id, key[at], start, piece)
+            if held:
+                yield hot(held)
+
+    return texts.select("doc_id", "text", "found").mapInArrow(run, PIECES)
 
 
 def earliest(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,60 +334,57 @@ def spans_of(docs: np.ndarray, windows: np.ndarray, early: np.ndarray, begins: n
 
 
 def collections(batches):
-    """Tables of whole anchors, of about COLLECTION rows, from batches sorted by anchor."""
-    held, rows = [], 0
-
-    def cut(last: bool):
-        nonlocal held, rows
-        table = pa.Table.from_batches(held).combine_chunks()
-        key = table.column("key").to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        lo, end = 0, len(edges) - 1 if last else len(edges) - 2  # the last anchor may go on
-        while lo < end:
-            hi = max(lo + 1, int(np.searchsorted(edges[: end + 1], edges[lo] + COLLECTION, "right")) - 1)
-            if not last and edges[end] - edges[lo] < COLLECTION:
-                break
-            yield table.slice(edges[lo], edges[hi] - edges[lo])
-            lo = hi
-        rest = table.slice(edges[lo])
-        held, rows = (rest.to_batches(), rest.num_rows) if rest.num_rows else ([], 0)
-
-    least = COLLECTION
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= least:
-            yield from cut(False)
-            least = max(COLLECTION, 2 * rows)  # an anchor that fills what is held isn't looked through again and again
-    if rows:
-        yield from cut(True)
+    """Tables of whole anchors, of about COLLECTION rows, from a task's batches."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    key = table.column("key").to_numpy()
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + COLLECTION, "right")) - 1)
+        yield table.take(pa.array(order[edges[lo] : edges[hi]]))
+        lo = hi
+
+
+def dealt(found: DataFrame, by: str, n_pieces: int) -> DataFrame:
+    """Pieces met by anchor, in partitions whose number follows the pieces'; no anchor has more than HOT_MOST."""
+    n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_pieces // TASK_PIECES))
+    return found.repartition(n, F.col(by))
 
 
-def by_anchor(found: DataFrame, n_pieces: int) -> DataFrame:
-    """Pieces met and sorted by anchor, in partitions whose number follows the pieces'."""
-    n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_pieces // TASK_PIECES))
-    return found.repartition(n, F.col("key")).sortWithinPartitions("key")
+SPANS = "doc_id long, start long, end long, piece binary, key long, docs array<long>, starts array<long>"
 
 
 def repeated_spans(found: DataFrame, n_pieces: int, length: int) -> DataFrame:
-    """(doc_id, start, end) of bytes that a string with an earlier document covers, from pieces that aren't hot."""
+    """Spans (doc_id, start, end) of bytes that a string with an earlier document covers; rows of hot pieces pass as they are."""
 
     @tidy
     def run(batches):
-        for table in collections(batches):
+        held = []
+        for batch in batches:
+            hot = batch.column("doc_id").is_null()
+            if pc.any(hot).as_py():
+                rows = batch.filter(hot)
+                yield pa.record_batch([rows.column(n) if n in _PIECES.names and n != "end" else pa.nulls(rows.num_rows, pa.int64()) for n in ("doc_id", "start", "end", "piece", "key", "docs", "starts")], names=["doc_id", "start", "end", "piece", "key", "docs", "starts"])
+                batch = batch.filter(pc.invert(hot))
+            held.append(batch)
+        for table in collections(held):
             docs = table.column("doc_id").to_numpy()
             rows, windows, early, begins = judged(table.column("piece").combine_chunks(), docs, docs, length)
             at = pa.array(rows)
-            yield spans_of(docs[rows], windows, early, begins, table.column("start").combine_chunks().take(at), table.column("more").combine_chunks().take(at), length)
+            out = spans_of(docs[rows], windows, early, begins, table.column("start").combine_chunks().take(at), table.column("more").combine_chunks().take(at), length)
+            none = [pa.nulls(out.num_rows, t) for t in (pa.binary(), pa.int64(), _LISTS, _LISTS)]
+            yield pa.record_batch([*out.columns, *none], names=["doc_id", "start", "end", "piece", "key", "docs", "starts"])
 
-    return by_anchor(found, n_pieces).mapInArrow(run, "doc_id long, start long, end long")
+    return dealt(found, "slot", n_pieces).mapInArrow(run, SPANS)
 
 
-def hot_spans(ws: Workspace, found: DataFrame, n_pieces: int, length: int) -> DataFrame:
-    """The same of pieces of hot anchors, of which equal ones are combined before they are shuffled."""
-    held = ws.save(found, "hot")
-    alike = held.groupBy("key", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("n"))
+def hot_spans(ws: Workspace, held: DataFrame, length: int) -> DataFrame:
+    """Spans of the hot pieces' rows (key, piece, docs, starts)."""
+    alike = held.groupBy("key", "piece").agg(F.min(F.array_min("docs")).alias("least"), F.max(F.array_max("docs")).alias("latest"), F.count(F.lit(1)).alias("n"))
 
     @tidy
     def judge(batches):
@@ -364,19 +399,24 @@ def hot_spans(ws: Workspace, found: DataFrame, n_pieces: int, length: int) -> Da
     @tidy
     def spans(batches):
         for batch in batches:
-            early = batch.column("early")
-            windows = pc.list_value_length(early).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield spans_of(batch.column("doc_id").to_numpy(), windows, early.flatten().to_numpy(), np.cumsum(windows) - windows, batch.column("start"), batch.column("more"), length)
+            for lo in range(0, batch.num_rows, 256):
+                rows = batch.slice(lo, 256)
+                early, counts = rows.column("early"), pc.list_value_length(rows.column("docs")).to_numpy(zero_copy_only=False)
+                windows = pc.list_value_length(early).to_numpy(zero_copy_only=False).astype(np.int64)
+                docs, start = rows.column("docs").flatten(), rows.column("starts").flatten()
+                own = np.repeat(np.arange(rows.num_rows), counts)
+                yield spans_of(docs.to_numpy(), windows[own], early.flatten().to_numpy(), (np.cumsum(windows) - windows)[own], start, pa.nulls(len(docs), _LISTS), length)
 
-    known = ws.save(by_anchor(alike, n_pieces).mapInArrow(judge, "piece binary, early array<long>, n long"), "hot_judged")
-    met = lookup(held.select("piece", "doc_id", "start", "more"), known, "piece", "n", n_pieces).where("early is not null")
-    return met.select("doc_id", "start", "more", "early").mapInArrow(spans, "doc_id long, start long, end long")
+    n_rows = held.count()
+    known = ws.save(dealt(alike, "key", n_rows).mapInArrow(judge, "piece binary, early array<long>, n long"), "hot_judged")
+    met = lookup(held.select("piece", "docs", "starts"), known, "piece", "n", n_rows).where("early is not null")
+    return met.select("docs", "starts", "early").mapInArrow(spans, "doc_id long, start long, end long")
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_removed, n_spans, kept) of the documents that lose bytes; `kept` is the bytes that stay."""
     lost = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = possible(docs, "doc_id", spans, "doc_id").join(lost, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("spans").alias("spans"))
+    texts = possible(docs, "doc_id", spans, "doc_id").join(lost, "doc_id")
 
     @tidy
     def run(batches):
@@ -418,15 +458,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     packed = packed_anchors(texts.where(F.octet_length("text") >= length), buckets, length, anchor)
     shared = ws.save(shared_anchors(packed), "shared")
     n_pieces = shared.count()
-    # fewer than HEAVY keys: a proven bound
-    hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(HOT_LEAST, -(-n_pieces // HEAVY))).select("key")
-    hot = ws.save(hot, "hot_keys")
-    spans = repeated_spans(pieces(rows, shared.join(F.broadcast(hot), "key", "left_anti"), length), n_pieces, length)
-    if not hot.isEmpty():
-        spans = spans.unionByName(hot_spans(ws, pieces(rows, shared.join(F.broadcast(hot), "key", "left_semi"), length), n_pieces, length))
-    spans = ws.save(spans, "spans")
+    least = min(max(HOT_LEAST, -(-n_pieces // HEAVY)), HOT_MOST)
+    hot = ws.save(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key", F.lit(True).alias("is_hot")), "hot_keys")
+    n_hot = hot.count()
+    flagged = shared.join(F.broadcast(hot) if n_hot <= HOT_KEYS else hot, "key", "left").select("key", "doc_id", "loc", F.col("is_hot").isNotNull().alias("hot"))
+    found = ws.save(repeated_spans(pieces(rows, flagged, length), n_pieces, length), "found")
+    spans = found.where("doc_id is not null").select("doc_id", "start", "end")
+    if n_hot:
+        spans = ws.save(spans.unionByName(hot_spans(ws, found.where("doc_id is null").select("key", "piece", "docs", "starts"), length)), "spans")
     ws.drop("shared")
-    left = cut(rows, spans).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("left_sha256"))
+    left = cut(rows, spans).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("left_sha256")).dropDuplicates(["doc_id"])
     empty = hashlib.sha256(b"").hexdigest()
     out = whole.join(left, "doc_id", "left")
     return out.select(

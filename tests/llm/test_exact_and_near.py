@@ -59,8 +59,8 @@ def test_runs_and_levels(spark, copies_df):
 def test_without(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("_bits")).union(spark.sql("select cast(null as long), 'y'"))
     dropped = spark.range(0, 1000, 3).select(F.col("id").alias("k"))
-    for most in (1 << 30, 0):  # 0: no filter may be broadcast
-        left = without(df, dropped, "k", most)
+    for most, few in ((1 << 30, 1000), (1 << 30, 0), (0, 0)):  # keys broadcast, a filter broadcast, neither
+        left = without(df, dropped, "k", most, few)
         assert left.columns == df.columns and left.count() == 1001 - 334
         assert {r.k for r in possible(df.select("k"), "k", dropped, "k", most).collect()} >= set(range(0, 1000, 3))
     assert filter_bits(dropped, "k") == 1 << 20 and filter_bits(spark.range(100_000), "id") > 1 << 20
@@ -224,14 +224,16 @@ def test_suffix_dedup_of_hot_anchors(copies_df, copies, monkeypatch):
 def test_collections_are_whole_anchors(monkeypatch, size):
     monkeypatch.setattr(suffix, "COLLECTION", size)
     rng = np.random.default_rng(2)
-    key = np.sort(rng.integers(0, 40, 300))
-    key[100:160] = key[100]  # an anchor larger than a collection
+    key = rng.integers(0, 40, 300)
+    key[100:160] = 7  # an anchor larger than a collection
     batches = [pa.record_batch([pa.array(key[a : a + 11]), pa.array(np.arange(a, min(a + 11, 300)))], names=["key", "row"]) for a in range(0, 300, 11)]
     tables = list(suffix.collections(iter(batches)))
-    assert [x for t in tables for x in t.column("row").to_pylist()] == list(range(300))
+    assert sorted(x for t in tables for x in t.column("row").to_pylist()) == list(range(300))
+    assert all(key[r] == k for t in tables for k, r in zip(t.column("key").to_pylist(), t.column("row").to_pylist(), strict=True))
     whole = [set(t.column("key").to_pylist()) for t in tables]
     assert all(not a & b for i, a in enumerate(whole) for b in whole[:i])
     assert all(t.num_rows <= size or len(k) == 1 for t, k in zip(tables, whole, strict=True))
+    assert list(suffix.collections(iter(b.slice(0, 0) for b in batches))) == []
 
 
 def test_transform_like_sorted_suffixes():
