@@ -182,9 +182,9 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return data[np.repeat(starts - begins, sizes) + np.arange(int(sizes.sum()))], begins
 
 
-PIECES = "key long, slot long, doc_id long, start long, more array<long>, piece binary, docs array<long>, starts array<long>"
+PIECES = "key long, slot long, doc_id long, start long, more array<long>, piece binary, docs array<long>"
 _LISTS = pa.list_(pa.int64())
-_PIECES = pa.schema([("key", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("more", _LISTS), ("piece", pa.binary()), ("docs", _LISTS), ("starts", _LISTS)])
+_PIECES = pa.schema([("key", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("more", _LISTS), ("piece", pa.binary()), ("docs", _LISTS)])
 
 
 def binary(data: np.ndarray, begins: np.ndarray) -> pa.Array:
@@ -205,7 +205,7 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """The bytes of the shared anchors' windows (`shared`: key, doc_id, loc, hot), by PIECES.
 
     A piece that a document repeats is one row; `more` has its further starts.  A hot piece
-    is one row for all documents of a batch, whose places are `docs` and `starts`.
+    is one row for all documents of a batch, without doc_id: `docs`, with their starts in `more`.
     """
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("loc", "key", "hot")).alias("found"))
     texts = possible(docs, "doc_id", shared, "doc_id").join(wanted, "doc_id")
@@ -217,8 +217,7 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
             rest = np.delete(order, first)
             more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts - 1)).astype(np.int32)), pa.array(start[rest]), mask=pa.array(counts == 1))
             piece, key, start = unique, key[order[first]], start[order[first]]
-        none = pa.nulls(len(piece), _LISTS)
-        return pa.record_batch([pa.array(key), pa.array(key), pa.array(np.full(len(piece), doc_id, np.int64)), pa.array(start), more, piece, none, none], schema=_PIECES)
+        return pa.record_batch([pa.array(key), pa.array(key), pa.array(np.full(len(piece), doc_id, np.int64)), pa.array(start), more, piece, pa.nulls(len(piece), _LISTS)], schema=_PIECES)
 
     def hot(held: list[tuple]) -> pa.RecordBatch:
         docs, key, start, piece = (np.concatenate([h[i] for h in held]) if i < 3 else pa.concat_arrays([h[i] for h in held]) for i in range(4))
@@ -227,8 +226,8 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
         none, key = pa.nulls(len(unique), pa.int64()), key[order[first]]
         # they are looked up later and may go anywhere now
         slot = key ^ (docs[order[first]] * 0x2545F4914F6CDD1D)
-        lists = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (docs, start)]
-        return pa.record_batch([pa.array(key), pa.array(slot), none, none, pa.nulls(len(unique), _LISTS), unique, *lists], schema=_PIECES)
+        docs, starts = (pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (docs, start))
+        return pa.record_batch([pa.array(key), pa.array(slot), none, none, starts, unique, docs], schema=_PIECES)
 
     @tidy
     def run(batches):
@@ -368,7 +367,8 @@ def repeated_spans(found: DataFrame, n_pieces: int, length: int) -> DataFrame:
             hot = batch.column("doc_id").is_null()
             if pc.any(hot).as_py():
                 rows = batch.filter(hot)
-                yield pa.record_batch([rows.column(n) if n in _PIECES.names and n != "end" else pa.nulls(rows.num_rows, pa.int64()) for n in ("doc_id", "start", "end", "piece", "key", "docs", "starts")], names=["doc_id", "start", "end", "piece", "key", "docs", "starts"])
+                none = pa.nulls(rows.num_rows, pa.int64())
+                yield pa.record_batch([none, none, none, *(rows.column(n) for n in ("piece", "key", "docs", "more"))], names=["doc_id", "start", "end", "piece", "key", "docs", "starts"])
                 batch = batch.filter(pc.invert(hot))
             held.append(batch)
         for table in collections(held):
@@ -379,7 +379,7 @@ def repeated_spans(found: DataFrame, n_pieces: int, length: int) -> DataFrame:
             none = [pa.nulls(out.num_rows, t) for t in (pa.binary(), pa.int64(), _LISTS, _LISTS)]
             yield pa.record_batch([*out.columns, *none], names=["doc_id", "start", "end", "piece", "key", "docs", "starts"])
 
-    return dealt(found, "slot", n_pieces).mapInArrow(run, SPANS)
+    return dealt(found, "slot", n_pieces).drop("slot").mapInArrow(run, SPANS)
 
 
 def hot_spans(ws: Workspace, held: DataFrame, length: int) -> DataFrame:
