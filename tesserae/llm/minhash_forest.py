@@ -215,7 +215,8 @@ def _block_pairs(rows: DataFrame, total: int) -> DataFrame:
     """
     sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n_part"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("most"), F.max("n_part").alias("inside"), F.sum("n_part").alias("n_all"))
-    met = lookup(rows.drop("n"), mixed.where(F.col("inside") < F.col("n_all")), "key", "n_all", total).where("n_all is not null")
+    # regions of one component are looked up too, as the largest of them would otherwise be shuffled
+    met = lookup(rows.drop("n"), mixed, "key", "n_all", total).where("inside < n_all")
     minor = F.col("part") != F.col("most")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     n_in, n_out = blocks(F.col("inside")), blocks(F.col("n_all") - F.col("inside"))
