@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Workspace, lookup, possible, require, small_batches, tidy
+from tesserae.llm.common import FEW_KEYS, Workspace, lookup, possible, require, small_batches, tidy
 from tesserae.llm.components import components
 from tesserae.llm.shingles import meets, permutations, set_digest, shingle_sets, signatures
 
@@ -207,7 +207,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("key", "node", F.xxhash64("key", own).alias("at"))
 
 
-def _block_pairs(rows: DataFrame, total: int) -> DataFrame:
+def _block_pairs(ws: Workspace, rows: DataFrame, total: int) -> DataFrame:
     """(at, key, node) of mixed regions' `rows` (key, n, node, part): the pairs of blocks to compare.
 
     Of a region, classes outside its largest component are cut into blocks, and so are those
@@ -215,8 +215,11 @@ def _block_pairs(rows: DataFrame, total: int) -> DataFrame:
     """
     sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n_part"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("most"), F.max("n_part").alias("inside"), F.sum("n_part").alias("n_all"))
-    # regions of one component are looked up too, as the largest of them would otherwise be shuffled
-    met = lookup(rows.drop("n"), mixed, "key", "n_all", total).where("inside < n_all")
+    mixed = ws.save(mixed.where(F.col("inside") < F.col("n_all")), "mixed")
+    if mixed.count() <= FEW_KEYS:
+        met = rows.drop("n").join(F.broadcast(mixed), "key")
+    else:
+        met = lookup(rows.drop("n"), mixed, "key", "n_all", total).where("n_all is not null")
     minor = F.col("part") != F.col("most")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     n_in, n_out = blocks(F.col("inside")), blocks(F.col("n_all") - F.col("inside"))
@@ -264,7 +267,7 @@ def candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return _region_rows(met).mapInArrow(run, "a long, b long").distinct()
 
 
-def links_across(rows: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_across(ws: Workspace, rows: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components (`parts`: node, signature, part) that meet in a large region."""
 
     @tidy
@@ -280,7 +283,7 @@ def links_across(rows: DataFrame, parts: DataFrame, sets: DataFrame, percent: in
                 yield _as_batch(links)
 
     known = rows.where(F.col("n") > FULL).join(parts.select("node", "part"), "node")
-    met = _block_pairs(known, rows.count()).join(parts.select("node", "signature", "part"), "node").join(sets, "node")
+    met = _block_pairs(ws, known, rows.count()).join(parts.select("node", "signature", "part"), "node").join(sets, "node")
     return _region_rows(met).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -332,7 +335,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(ws, links)
     # the rest: pairs left out between components that meet in a large region
     parts = classes.join(labels, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("part"))
-    more = ws.save(links_across(rows, parts, sets, percent), "rest")
+    more = ws.save(links_across(ws, rows, parts, sets, percent), "rest")
     if not more.isEmpty():
         labels = components(ws, links.union(more), "joined")
     ws.drop("sets")

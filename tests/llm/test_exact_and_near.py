@@ -132,7 +132,7 @@ def test_block_pairs(spark):
     held = {}
     old, minhash_forest.BLOCK = minhash_forest.BLOCK, 4
     try:
-        for r in minhash_forest._block_pairs(df, 40).collect():
+        for r in minhash_forest._block_pairs(Workspace(spark, "test"), df, 40).collect():
             assert r.key == 1
             held.setdefault(r.at, set()).add(r.node)
     finally:
