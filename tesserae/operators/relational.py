@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators import order
+
 #: Fixed class weights of roads.
 ROAD_WEIGHTS = {
     "motorway": 1.00,
@@ -30,6 +32,11 @@ ROAD_WEIGHTS = {
 AREAL_WATER = ("bay", "canal", "fishpond", "lake", "pond", "reservoir", "river", "strait", "tidal_channel", "water")
 
 
+def reference_water(features: DataFrame) -> DataFrame:
+    """Areal water (class, kind, is_empty): of a listed class, a polygon or several, and not empty."""
+    return features.where(F.col("class").isin(*AREAL_WATER) & F.col("kind").isin("Polygon", "MultiPolygon") & ~F.col("is_empty"))
+
+
 def aligned(a: DataFrame, b: DataFrame, keys=("r", "c")) -> DataFrame:
     """Pixels of both rasters."""
     return a.join(b, list(keys))
@@ -42,14 +49,14 @@ def scatter_add(rows: DataFrame, domain: DataFrame, key: str, weight: str) -> Da
 
 
 def weighted_measure(features: DataFrame, weights: DataFrame, key: str = "cell") -> DataFrame:
-    """Sum by cell of measure times class weight; the weights are a small fixed table."""
-    held = features.join(F.broadcast(weights), "class", "left")
+    """Sum by cell of measure times class weight."""
+    held = features.join(order.small(weights), "class", "left")
     return held.groupBy(key).agg(F.sum(F.col("measure") * F.col("weight")).alias("weighted"), F.sum("measure").alias("measure"))
 
 
 def unlisted(features: DataFrame, weights: DataFrame) -> DataFrame:
     """Classes that have no weight: must be empty before weighting."""
-    return features.select("class").distinct().join(F.broadcast(weights), "class", "left_anti")
+    return features.select("class").distinct().join(order.small(weights), "class", "left_anti")
 
 
 def sample_points(points: DataFrame, px: DataFrame, west: float, north: float | Column, res: float) -> DataFrame:
@@ -119,18 +126,39 @@ def native_allocation(overlap: DataFrame, proxy: DataFrame, divisor: float | Non
     return {"cells": cells.drop("area_h", "ah"), "pixels": px}
 
 
+def _within(targets: DataFrame, training: DataFrame, k: int, buffer_m: float, radius: float) -> DataFrame:
+    """(cell_id, near_id, distance, rank) of the k nearest training cells between buffer and radius, met in buckets of side `radius`."""
+    bucket = lambda c: F.floor(F.col(c) / radius).cast("int")
+    near = training.withColumn("bx", bucket("nx")).withColumn("by", bucket("ny"))
+    own = targets.withColumn("bx", bucket("x_m")).withColumn("by", bucket("y_m"))
+    for b in ("bx", "by"):  # the targets are spread: there are fewer of them from radius to radius
+        own = own.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
+    distance = F.sqrt((F.col("x_m") - F.col("nx")) ** 2 + (F.col("y_m") - F.col("ny")) ** 2)
+    met = own.join(near, ["bx", "by"]).where(F.col("fold") != F.col("near_fold")).withColumn("distance", distance)
+    met = met.where((F.col("distance") > buffer_m) & (F.col("distance") <= radius))
+    first = Window.partitionBy("cell_id").orderBy("distance", "near_id")
+    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("cell_id", "near_id", "distance", "rank")
+
+
 def nearest_training(cells: DataFrame, k: int, buffer_m: float, reach_m: float) -> DataFrame:
     """(cell_id, near_id, distance, rank) of the k nearest cells of other folds beyond the buffer.
 
-    Cells need cell_id, x_m, y_m, fold.  Training cells are copied to the nine buckets of side
-    `reach_m` around theirs, and targets meet them by equi-join; ties go to the smaller id.
+    Cells need cell_id, x_m, y_m, fold, radiance and proxy_mean; training cells have a radiance
+    and a proxy of 0 or more.  Ties go to the smaller id.  The search starts with a radius a
+    little beyond the buffer and doubles it, up to the reach, only for cells that are still
+    short of k: cells meet those of nearby buckets, not all within reach.
     """
-    bucket = lambda c: F.floor(F.col(c) / reach_m).cast("int")
-    near = cells.where("radiance is not null and proxy_mean is not null").select(F.col("cell_id").alias("near_id"), F.col("x_m").alias("nx"), F.col("y_m").alias("ny"), F.col("fold").alias("near_fold"), bucket("x_m").alias("bx"), bucket("y_m").alias("by"))
-    for b in ("bx", "by"):
-        near = near.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
-    own = cells.select("cell_id", "x_m", "y_m", "fold", bucket("x_m").alias("bx"), bucket("y_m").alias("by"))
-    distance = F.sqrt((F.col("x_m") - F.col("nx")) ** 2 + (F.col("y_m") - F.col("ny")) ** 2)
-    met = own.join(near, ["bx", "by"]).where(F.col("fold") != F.col("near_fold")).withColumn("distance", distance).where((F.col("distance") > buffer_m) & (F.col("distance") <= reach_m))
-    first = Window.partitionBy("cell_id").orderBy("distance", "near_id")
-    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("cell_id", "near_id", "distance", "rank")
+    training = cells.where("radiance is not null and proxy_mean >= 0").select(F.col("cell_id").alias("near_id"), F.col("x_m").alias("nx"), F.col("y_m").alias("ny"), F.col("fold").alias("near_fold"))
+    short, out = cells.select("cell_id", "x_m", "y_m", "fold"), None
+    radius = min(1.5 * max(buffer_m, reach_m / 64), reach_m)
+    while True:
+        found = _within(short, training, k, buffer_m, radius)
+        if radius >= reach_m:
+            return found if out is None else out.unionByName(found)
+        found = order.settled(found)
+        full = found.where(F.col("rank") == k).select("cell_id")
+        out = (lambda x: x if out is None else out.unionByName(x))(found.join(full, "cell_id", "left_semi"))
+        short = order.settled(short.join(full, "cell_id", "left_anti"))
+        if short.isEmpty():
+            return out
+        radius = min(2 * radius, reach_m)

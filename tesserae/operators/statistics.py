@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators import order
+
 
 def error_metrics(error: Column) -> list[Column]:
     """n, bias, mae, rmse of an error column: mergeable sums, null without rows."""
@@ -26,8 +28,12 @@ def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = Non
     """
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn(out, F.sum("_n").over(upto) - (F.col("_n") - 1) / 2.0).select(*by, value, out)
+    if by:
+        upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("_upto", F.sum("_n").over(upto))
+    else:
+        counts = order.running(counts, [F.col(value)], F.col("_n"), "_upto")
+    ranks = counts.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
     return df.join(ranks, [*by, value])
 
 
@@ -68,16 +74,16 @@ def dominant_class(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def decile(df: DataFrame, value: str, out: str, bins: int = 10) -> DataFrame:
     """Quantile bin: linear quantile edges, right-closed, duplicate edges dropped, from 0."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("_edges"))
-    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return df.join(F.broadcast(edges)).withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(F.lit(0), below - 1))).drop("_edges")
+    edges = sorted({e for e in order.quantiles(df, value, [i / bins for i in range(bins + 1)]) if e is not None})
+    below = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < F.col(value)))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(F.lit(0), below - 1)))
 
 
 def folds(cells: DataFrame, n: int = 5) -> DataFrame:
     """Fold of each block: its place among the blocks sorted as text, modulo n."""
     blocks = cells.select("block_id").distinct()
-    placed = blocks.withColumn("fold", ((F.row_number().over(Window.orderBy("block_id")) - 1) % n).cast("int"))
-    return cells.join(F.broadcast(placed), "block_id")  # blocks cover square kilometres: few
+    placed = order.numbered(blocks, [F.col("block_id")], "_place").select("block_id", ((F.col("_place") - 1) % n).cast("int").alias("fold"))
+    return cells.join(order.small(placed), "block_id")
 
 
 def quadratic_residual(df: DataFrame, value: str, radius: str, out: str) -> DataFrame:
@@ -124,12 +130,19 @@ def distance_bands(df: DataFrame, distance: str, direct: str, allocated: str, ed
     return F.broadcast(bands).join(found, "band", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def lowest_control(df: DataFrame, value: str, eligible: Column, n: int, order: list[str]) -> DataFrame:
-    """Control of n pixels: those up to the n-th smallest value, cut to n in row-major order."""
-    ok = df.where(eligible & F.col(value).isNotNull())
-    least = ok.orderBy(value).limit(n).agg(F.max(value).alias("_cut"))  # n smallest by partial top-n
-    kept = ok.join(F.broadcast(least)).where(F.col(value) <= F.col("_cut")).drop("_cut")
-    return kept.orderBy(*order).limit(n)
+def lowest_control(df: DataFrame, value: str, eligible: Column, water: Column, keys: list[str]) -> DataFrame:
+    """Control pixels: those up to the n-th smallest value, cut to n in row-major order.
+
+    n is the number of water pixels, but no more than a tenth of the eligible ones (one at least).
+    """
+    ok = eligible & F.col(value).isNotNull()
+    n_water, n_ok = df.agg(F.count_if(water), F.count_if(ok)).first()
+    n = min(n_water, max(1, n_ok // 10))
+    held = df.where(ok)
+    counts = held.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    cut = order.running(counts, [F.col(value)], F.col("_n"), "_upto").where(F.col("_upto") >= n).agg(F.min(value).alias("_cut"))
+    kept = held.join(F.broadcast(cut)).where(F.col(value) <= F.col("_cut")).drop("_cut")  # one row
+    return order.numbered(kept, [F.col(k) for k in keys], "_place").where(F.col("_place") <= n).drop("_place")
 
 
 def comparison(df: DataFrame, a: str, b: str, changed: float = 1e-6, by: list[str] | None = None) -> DataFrame:

@@ -54,6 +54,63 @@ def taps(kernel: Kernel) -> Column:
     return F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(float(w)).alias("w")) for dr, dc, w in kernel])
 
 
+#: Taps from which tiles and transforms are cheaper than a row a tap, and the least side of a tile.
+MANY_TAPS, TILE = 64, 128
+
+
+def sums(px: DataFrame, kernel: Kernel, values: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Sums over the pixels that each sees: scatter() for few taps, tiled() for many."""
+    return (scatter if len(kernel) <= MANY_TAPS else tiled)(px, kernel, values, keys)
+
+
+def tiled(px: DataFrame, kernel: Kernel, values: list[str], keys: list[str] | None = None, tile: int | None = None) -> DataFrame:
+    """The same as scatter() for kernels of any number of taps: tiles with a halo, correlated by Fourier transforms.
+
+    A tile and its halo are one group of bounded size, so the work is that of the tile's side
+    times its logarithm and doesn't grow with the taps.  Pixels travel once for each tile
+    whose halo holds them, with only their values outside their own.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys = keys or []
+    reach = max(max(abs(dr), abs(dc)) for dr, dc, _ in kernel)
+    tile = tile or max(TILE, 2 * reach)
+    side = tile + 2 * reach
+    place = [*keys, "r", "c"]
+    kept = [c for c in px.columns if c not in place]
+    weights = np.zeros((side, side))
+    for dr, dc, w in kernel:
+        weights[dr % side, dc % side] += w
+    seen = np.conj(np.fft.rfft2(weights))
+
+    def run(key, table):
+        top, left = key[-2].as_py() * tile - reach, key[-1].as_py() * tile - reach
+        r, c = table.column("r").to_numpy() - top, table.column("c").to_numpy() - left
+        core = table.filter(table.column("core"))
+        i, j = core.column("r").to_numpy() - top, core.column("c").to_numpy() - left
+
+        def total(at, of) -> pa.Array:
+            held = np.zeros((side, side))
+            held[r[at], c[at]] = of
+            return pa.array(np.fft.irfft2(np.fft.rfft2(held) * seen, s=(side, side))[i, j])
+
+        out = core.select([*place, *kept])
+        every = np.arange(len(r))
+        out = out.append_column("g", total(every, 1.0))
+        for v in values:
+            column = table.column(v).cast(pa.float64())
+            there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            out = out.append_column(f"n_{v}", total(there, column.to_numpy(zero_copy_only=False)[there]))
+            out = out.append_column(f"s_{v}", total(there, 1.0))
+        return out
+
+    held = tile_halo(px, tile, reach, everywhere=True)
+    held = held.withColumns({c: F.when(F.col("core"), F.col(c)) for c in kept if c not in values})
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*place, *kept).schema], "g double", *[f"`{k}_{v}` double" for v in values for k in ("n", "s")]])
+    return held.groupBy(*keys, "tile_r", "tile_c").applyInArrow(run, fields)
+
+
 def scatter(px: DataFrame, kernel: Kernel, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """`px` with sums over the pixels it sees: `n_<v>` = sum(w * v), `s_<v>` = sum(w where v is there), `g` = sum(w).
 
@@ -78,7 +135,7 @@ def scatter(px: DataFrame, kernel: Kernel, values: list[str], keys: list[str] |
 
 def kernel_mean(px: DataFrame, kernel: Kernel, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """`px` with `k_<v>` (mean over valid weight), `s_<v>` (valid support) and `g` (geometric support)."""
-    out = scatter(px, kernel, values, keys)
+    out = sums(px, kernel, values, keys)
     one = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0))))
     for v in values:
         out = out.withColumn(f"k_{v}", F.when(F.coalesce(F.col(f"s_{v}"), F.lit(0.0)) > EPS32, F.col(f"n_{v}") / F.col(f"s_{v}")))
@@ -122,7 +179,7 @@ def daily_stencil(daily: DataFrame, proxy: DataFrame, kernel: Kernel, least: flo
     structural = h * mean(v) / mean(h) with h at least `least`, where mean(h) > 1e-6.
     """
     held = daily.join(proxy.select("r", "c", F.greatest(F.col("h"), F.lit(least)).alias("h")), ["r", "c"], "left")
-    out = scatter(held, kernel, ["v", "h"], ["d"])
+    out = sums(held, kernel, ["v", "h"], ["d"])
     n = len(kernel)
     full = lambda s: F.coalesce(F.col(s), F.lit(0.0)) > 1 - 0.5 / n
     uniform_value = F.when(full("s_v"), F.col("n_v"))
@@ -202,45 +259,22 @@ def lattice(px: DataFrame) -> DataFrame:
     return rows.select("r", F.explode(F.sequence("c0", "c1")).alias("c"))
 
 
-def tile_halo(px: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Pixels copied to every tile whose window, widened by the halo, holds them; `core`: in the tile itself."""
+def tile_halo(px: DataFrame, tile: int, halo: int, everywhere: bool = False) -> DataFrame:
+    """Pixels copied to every tile whose window, widened by the halo, holds them; `core`: in the tile itself.
+
+    Tiles start at 0 unless `everywhere`.
+    """
     lo = lambda x: F.floor((F.col(x) - halo) / tile).cast("int")
     hi = lambda x: F.floor((F.col(x) + halo) / tile).cast("int")
     own = lambda x: F.floor(F.col(x) / tile).cast("int")
     out = px.withColumn("tile_r", F.explode(F.sequence(lo("r"), hi("r")))).withColumn("tile_c", F.explode(F.sequence(lo("c"), hi("c"))))
-    return out.where((F.col("tile_r") >= 0) & (F.col("tile_c") >= 0)).withColumn("core", (F.col("tile_r") == own("r")) & (F.col("tile_c") == own("c")))
+    if not everywhere:
+        out = out.where((F.col("tile_r") >= 0) & (F.col("tile_c") >= 0))
+    return out.withColumn("core", (F.col("tile_r") == own("r")) & (F.col("tile_c") == own("c")))
 
 
 def kernel_mean_tiled(px: DataFrame, kernel: Kernel, value: str, tile: int) -> DataFrame:
-    """r, c, k_<value>, s_<value>: the same means for kernels of many taps, by tile with a halo.
-
-    Scattering costs a row per tap; here a tile and its halo are one group, of bounded size,
-    and the correlation runs on arrays.
-    """
-    import numpy as np
-    import pandas as pd
-
-    reach = max(max(abs(dr), abs(dc)) for dr, dc, _ in kernel)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = key[0] * tile - reach, key[1] * tile - reach
-        side = tile + 2 * reach
-        values, there = np.zeros((side, side)), np.zeros((side, side))
-        ok = pdf[value].notna().to_numpy()
-        r, c = pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0
-        values[r[ok], c[ok]] = pdf[value].to_numpy()[ok]
-        there[r[ok], c[ok]] = 1
-        num, den = np.zeros((tile, tile)), np.zeros((tile, tile))
-        for dr, dc, w in kernel:
-            at = np.s_[reach + dr : reach + dr + tile, reach + dc : reach + dc + tile]
-            num += w * values[at]
-            den += w * there[at]
-        core = pdf[pdf["core"]]
-        i, j = core["r"].to_numpy() - key[0] * tile, core["c"].to_numpy() - key[1] * tile
-        s = den[i, j]
-        mean = [float(a / b) if b > EPS32 else None for a, b in zip(num[i, j], s, strict=True)]
-        return pd.DataFrame({"r": core["r"], "c": core["c"], "k": pd.array(mean, "Float64"), "s": np.clip(s, 0, 1)})
-
-    held = tile_halo(px.select("r", "c", value), tile, reach)
-    out = held.groupBy("tile_r", "tile_c").applyInPandas(run, "r int, c int, k double, s double")
-    return out.withColumnsRenamed({"k": f"k_{value}", "s": f"s_{value}"})
+    """r, c, k_<value>, s_<value>: the same means by tile with a halo, whatever the number of taps."""
+    out = tiled(px.select("r", "c", value), kernel, [value], tile=tile)
+    mean = F.when(F.col(f"s_{value}") > EPS32, F.col(f"n_{value}") / F.col(f"s_{value}"))
+    return out.select("r", "c", mean.alias(f"k_{value}"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f"s_{value}"))).alias(f"s_{value}"))

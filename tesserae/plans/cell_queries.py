@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import geo, text
-from tesserae.operators import relational, statistics
+from tesserae.operators import order, relational, statistics
 from tesserae.plans.registry import Registry
 
 R = Registry()
@@ -71,7 +71,7 @@ R.add(
 # --- held-out prediction
 FOLDS = "bk AS (SELECT block_id, CAST((row_number() OVER (ORDER BY block_id) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT block_id FROM cells)), fo AS (SELECT cells.*, fold FROM cells JOIN bk USING (block_id))"
 R.add("heldout_folds", lambda s, d, c: statistics.folds(c).select("cell_id", "block_id", "fold"), f"WITH {FOLDS} SELECT cell_id, block_id, fold FROM fo", ("cells",))
-KNN = f"""{FOLDS}, nn AS (SELECT a.cell_id, b.cell_id AS near_id, sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) AS distance FROM fo a JOIN fo b ON a.fold <> b.fold WHERE b.radiance IS NOT NULL AND b.proxy_mean IS NOT NULL),
+KNN = f"""{FOLDS}, nn AS (SELECT a.cell_id, b.cell_id AS near_id, sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) AS distance FROM fo a JOIN fo b ON a.fold <> b.fold WHERE b.radiance IS NOT NULL AND b.proxy_mean >= 0),
     kn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY distance, near_id) AS rank FROM nn WHERE distance > {BUFFER} AND distance <= {REACH} QUALIFY rank <= {NEAR})"""
 
 
@@ -193,11 +193,22 @@ def class_weights(s, d):
 
 WEIGHTS = "cw AS (SELECT DISTINCT p_type AS class, length(p_type) * 0.05 AS weight FROM part)"
 R.add("src_roads_scan", lambda s, d, f: f.where("subtype = 'road'").select("feature_id", "part_no", "class", "measure"), "SELECT feature_id, part_no, class, measure FROM features WHERE subtype = 'road'", ("features",))
-R.add("road_weight_join", lambda s, d, f: f.where("subtype = 'road'").join(F.broadcast(class_weights(s, d)), "class").select("feature_id", "part_no", (F.col("measure") * F.col("weight")).alias("weighted")), f"WITH {WEIGHTS} SELECT feature_id, part_no, measure * weight AS weighted FROM features JOIN cw USING (class) WHERE subtype = 'road'", ("features",), "weighted")
+R.add("road_weight_join", lambda s, d, f: f.where("subtype = 'road'").join(order.small(class_weights(s, d)), "class").select("feature_id", "part_no", (F.col("measure") * F.col("weight")).alias("weighted")), f"WITH {WEIGHTS} SELECT feature_id, part_no, measure * weight AS weighted FROM features JOIN cw USING (class) WHERE subtype = 'road'", ("features",), "weighted")
 R.add("geom_measure", lambda s, d, f: relational.weighted_measure(f, class_weights(s, d)), f"WITH {WEIGHTS} SELECT cell, sum(measure * weight) AS weighted, sum(measure) AS measure FROM features LEFT JOIN cw USING (class) GROUP BY cell", ("features",), "weighted measure")
 R.add("road_class_anti", lambda s, d, f: relational.unlisted(f, class_weights(s, d).where("class not like 'P%'")), f"WITH {WEIGHTS} SELECT DISTINCT class FROM features WHERE class NOT IN (SELECT class FROM cw WHERE class NOT LIKE 'P%')", ("features",))
-R.add("osm_consolidate", lambda s, d, f: f.dropDuplicates(["feature_id", "class"]).groupBy("class").agg(F.count(F.lit(1)).alias("n")), "SELECT class, count(DISTINCT feature_id) AS n FROM features GROUP BY class", ("features",))
-R.add("water_class_filter", lambda s, d: s.createDataFrame([("river", "Polygon"), ("pool", "Polygon"), ("river", "LineString"), ("lake", "MultiPolygon")], "class string, kind string").where(F.col("class").isin(*relational.AREAL_WATER) & F.col("kind").isin("Polygon", "MultiPolygon")), "SELECT * FROM (VALUES ('river', 'Polygon'), ('lake', 'MultiPolygon')) AS t(class, kind)")
+R.add("osm_consolidate", lambda s, d, f: f.select("feature_id", "class").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n")), "SELECT class, count(DISTINCT feature_id) AS n FROM features GROUP BY class", ("features",))
+#: Features of water and other classes, of four kinds, some of them empty.
+WATERS = "SELECT p_partkey AS feature_id, ['river', 'lake', 'pool', 'bay', 'drain', 'water', 'canal'][CAST(p_partkey % 7 AS INT) + 1] AS class, ['Polygon', 'LineString', 'MultiPolygon', 'Point'][CAST(p_partkey % 4 AS INT) + 1] AS kind, p_partkey % 5 = 0 AS is_empty FROM part"
+
+
+def waters(s, d):
+    each = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % n + 1).cast("int"))
+    held = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("feature_id"), each(["river", "lake", "pool", "bay", "drain", "water", "canal"], 7).alias("class"), each(["Polygon", "LineString", "MultiPolygon", "Point"], 4).alias("kind"), (F.col("p_partkey") % 5 == 0).alias("is_empty"))
+    return relational.reference_water(held).select("feature_id", "class", "kind")
+
+
+AREAL = ", ".join(repr(c) for c in relational.AREAL_WATER)
+R.add("water_class_filter", waters, f"SELECT feature_id, class, kind FROM ({WATERS}) WHERE class IN ({AREAL}) AND kind IN ('Polygon', 'MultiPolygon') AND NOT is_empty")
 R.add("building_fraction", lambda s, d, c: relational.overlap_pairs(boxes(c), 2.0).select("r", "c").distinct().groupBy(F.floor(F.col("r") / 5).cast("int").alias("r"), F.floor(F.col("c") / 5).cast("int").alias("c")).agg((F.count(F.lit(1)) / 25).alias("fraction")), f"WITH bx AS ({BOXES}), p AS (SELECT *, unnest(range(CAST(floor(y0 / 2) AS BIGINT), CAST(ceil(y1 / 2) AS BIGINT))) AS r FROM bx), q AS (SELECT DISTINCT r, unnest(range(CAST(floor(x0 / 2) AS BIGINT), CAST(ceil(x1 / 2) AS BIGINT))) AS c FROM p) SELECT CAST(floor(r / 5.0) AS INT) AS r, CAST(floor(c / 5.0) AS INT) AS c, count(*) / 25.0 AS fraction FROM q GROUP BY 1, 2", ("cells",), "fraction")
 
 
@@ -230,11 +241,17 @@ def utm(s, d, c):
     x, y = geo.to_utm(F.col("lat"), F.col("lon"), F.col("zone"))
     held = held.withColumn("x", x).withColumn("y", y)
     lat, lon = geo.from_utm(F.col("x"), F.col("y"), F.col("zone"), F.col("lat") < 0)
-    # the inverse must bring back what went in
-    return held.select("cell_id", (F.abs(lat - F.col("lat")) < 1e-7).alias("lat_back"), (F.abs(lon - F.col("lon")) < 1e-7).alias("lon_back"), (F.col("x").between(100000, 900000)).alias("in_zone"))
+    return held.select("cell_id", "x", "y", lat.alias("lat"), lon.alias("lon"))
 
 
-R.add("geo_utm", utm, "SELECT cell_id, true AS lat_back, true AS lon_back, true AS in_zone FROM cells", ("cells",))
+#: Krueger's series in the third flattening n, to its third power, from the conformal latitude.
+UTM_SQL = f"""{LL}, z AS (SELECT *, least(60, greatest(1, floor((lon + 180) / 6) + 1)) AS zone, radians(lat) AS phi, (1 / 298.257223563e0) / (2 - 1 / 298.257223563e0) AS n FROM ll),
+    e AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, 2 * sqrt(n) / (1 + n) AS ec, 0.9996e0 * 6378137e0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS rad FROM z),
+    t AS (SELECT *, sinh(atanh(sin(phi)) - ec * atanh(ec * sin(phi))) AS t FROM e),
+    g AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM t)
+    SELECT cell_id, 500000 + rad * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS x,
+        CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + rad * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS y, lat, lon FROM g"""
+R.add("geo_utm", utm, f"WITH {UTM_SQL}", ("cells",), "x y lat lon", digits=3)
 R.add("geo_grid", lambda s, d, c: c.select("cell_id", geo.snapped(F.col("x_m"), 10.0).alias("x"), geo.snapped(F.col("y_m"), 10.0).alias("y")), "SELECT cell_id, round_even(x_m / 10.0, 0) * 10.0 AS x, round_even(y_m / 10.0, 0) * 10.0 AS y FROM cells", ("cells",), "x y")
 R.add("native_cells", lambda s, d, c: c.select("cell_id", F.rint(F.col("x_m") / 600 - 0.5).cast("int").alias("nc"), F.rint(F.col("y_m") / 600 - 0.5).cast("int").alias("nr")).withColumn("native_id", F.concat(F.lit("vnp_r"), F.col("nr"), F.lit("_c"), F.col("nc"))), "SELECT cell_id, CAST(round_even(x_m / 600 - 0.5, 0) AS INT) AS nc, CAST(round_even(y_m / 600 - 0.5, 0) AS INT) AS nr, 'vnp_r' || CAST(round_even(y_m / 600 - 0.5, 0) AS INT) || '_c' || CAST(round_even(x_m / 600 - 0.5, 0) AS INT) AS native_id FROM cells", ("cells",))
 R.add("str_slug", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.slug(F.concat(F.lit("  "), F.col("p_name"), F.lit(" -- "), F.col("p_type"))).alias("slug")), "SELECT p_partkey, trim(regexp_replace(lower(trim('  ' || p_name || ' -- ' || p_type)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")

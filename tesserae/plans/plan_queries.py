@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
-from tesserae.operators import statistics, stencil
-from tesserae.plans import run_matrix
+from tesserae.operators import order, pixels, statistics, stencil
+from tesserae.plans import contract, raster_queries, run_matrix
 from tesserae.plans.registry import Registry
-from tesserae.sources import artifacts
+from tesserae.sources import artifacts, geoparquet
 from tesserae.streaming import events as streaming
 
 R = Registry()
@@ -36,7 +36,7 @@ R.add("src_native_cells", lambda s, d, c: c.select("cell_id", (F.col("x_m") - 23
 R.add("city_select", lambda s, d: s.createDataFrame([(0, "NATION_17"), (1, "NATION_3"), (2, "NATION_8")], "ordinal int, city string").transform(lambda o: cities(s, d).join(F.broadcast(o), "city").select("ordinal", "city", "country").orderBy("ordinal")), f"SELECT ordinal, city, country FROM ({CITIES}) JOIN (VALUES (0, 'NATION_17'), (1, 'NATION_3'), (2, 'NATION_8')) AS o(ordinal, city) USING (city)")
 NOTE = "coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END), ''), nullif(trim(CASE WHEN o_orderkey % 2 = 0 THEN '  ' END), ''), o_orderstatus) AS note"
 R.add("city_notes", lambda s, d: t(s, d, "orders").selectExpr("o_orderkey", NOTE), f"SELECT o_orderkey, {NOTE} FROM orders")
-R.add("city_holdout", lambda s, d: t(s, d, "nation").select("n_nationkey", F.xxhash64("n_nationkey", F.lit(20260728)).alias("draw")).orderBy("draw").limit(5))
+R.add("city_holdout", lambda s, d: run_matrix.city_holdout(t(s, d, "nation").select("n_name"), "n_name", 0.2, 20260728), "SELECT n_name FROM nation QUALIFY row_number() OVER (ORDER BY sha256('20260728|' || n_name), n_name) <= greatest(1, round_even(count(*) OVER () * 0.2, 0))")
 R.add("s2_link_join", lambda s, d: t(s, d, "orders").select("o_orderkey", "o_orderstatus").join(t(s, d, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_discount").alias("score")), "o_orderkey", "left"), "SELECT o_orderkey, o_orderstatus, l_discount AS score FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 2", (), "score")
 
 # --- dates
@@ -53,7 +53,17 @@ R.add("tile_windows", lambda s, d: run_matrix.core_windows(s, 13, 15, 6), "SELEC
 R.add("tile_regular", lambda s, d: run_matrix.regular_tiles(0.0, 0.0, 0.2, 0.1, 0.1, s), "SELECT * FROM (VALUES (0.0, 0.0, 0.1, 0.1), (0.1, 0.0, 0.2, 0.1)) AS v(west, south, east, north)", (), "west south east north")
 R.add("tile_quad", lambda s, d: run_matrix.quadrants(run_matrix.regular_tiles(0.0, 0.0, 0.2, 0.1, 0.1, s)), "SELECT q AS quadrant, west + (q % 2) * 0.05 AS west, south + (q // 2) * 0.05 AS south, west + 0.05 + (q % 2) * 0.05 AS east, south + 0.05 + (q // 2) * 0.05 AS north FROM (VALUES (0.0, 0.0), (0.1, 0.0)) AS v(west, south), (VALUES (0), (1), (2), (3)) AS k(q)", (), "west south east north")
 TILES = "SELECT DISTINCT CAST(floor(r / 8.0) AS INT) AS tile_r, CAST(floor(c / 8.0) AS INT) AS tile_c FROM grid_px"
-R.add("resume_anti", lambda s, d, px: px.select(F.floor(F.col("r") / 8).cast("int").alias("tile_r"), F.floor(F.col("c") / 8).cast("int").alias("tile_c")).distinct().transform(lambda a: run_matrix.to_do(a, a.where("(tile_r + tile_c) % 3 = 0"), ["tile_r", "tile_c"])), f"SELECT * FROM ({TILES}) WHERE (tile_r + tile_c) % 3 <> 0", ("grid_px",))
+
+
+def resume(s, d, px):
+    """Two thirds of the tiles have a record, half of these of another content or not complete."""
+    tiles = artifacts.tile_checksums(px.select("r", "c", "infra"), 8).select(F.col("tile_row").alias("tile_r"), F.col("tile_col").alias("tile_c"), "checksum")
+    turn = F.col("tile_r") + F.col("tile_c")
+    records = tiles.where(turn % 3 < 2).withColumn("status", F.when(turn % 6 == 1, "running").otherwise("complete")).withColumn("checksum", F.when(turn % 6 == 4, F.lit("stale")).otherwise(F.col("checksum")))
+    return run_matrix.to_do(tiles, records, ["tile_r", "tile_c"]).select("tile_r", "tile_c")
+
+
+R.add("resume_anti", resume, f"SELECT * FROM ({TILES}) WHERE (tile_r + tile_c) % 3 = 2 OR (tile_r + tile_c) % 6 IN (1, 4)", ("grid_px",))
 R.add("kernel_circular", lambda s, d: s.createDataFrame(stencil.circular_kernel(500.0, 100.0), "dr int, dc int, w double"), "WITH a AS (SELECT CAST(i AS INT) AS dr, CAST(j AS INT) AS dc FROM (SELECT unnest(range(-5, 6)) AS i), (SELECT unnest(range(-5, 6)) AS j) WHERE i * i + j * j <= 25) SELECT dr, dc, 1.0 / (SELECT count(*) FROM a) AS w FROM a", (), "w")
 R.add("kernel_gaussian", lambda s, d: s.createDataFrame(stencil.gaussian_kernel(750.0, 100.0), "dr int, dc int, w double"), "WITH z AS (SELECT 750.0 / (2 * sqrt(2 * ln(2.0))) / 100 AS sg), a AS (SELECT CAST(i AS INT) AS dr, CAST(j AS INT) AS dc, exp(-(i * i + j * j) / (2 * sg * sg)) AS w FROM z, (SELECT unnest(range(-13, 14)) AS i), (SELECT unnest(range(-13, 14)) AS j)) SELECT dr, dc, w / (SELECT sum(w) FROM a) AS w FROM a", (), "w")
 R.add("kernel_native", lambda s, d: s.createDataFrame(stencil.box_kernel(34.0, 22.0, 10.0), "dr int, dc int, w double"), "WITH a AS (SELECT CAST(i AS INT) AS dr, CAST(j AS INT) AS dc, greatest(0.0, least(11.0, (i + 0.5) * 10) - greatest(-11.0, (i - 0.5) * 10)) * greatest(0.0, least(17.0, (j + 0.5) * 10) - greatest(-17.0, (j - 0.5) * 10)) AS w FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(-3, 4)) AS j)) SELECT dr, dc, w / (SELECT sum(w) FROM a) AS w FROM a WHERE w > 0", (), "w")
@@ -63,6 +73,16 @@ R.add("audit_ready", lambda s, d, px: run_matrix.readiness(px.groupBy(F.floor(F.
 R.add("audit_bbox", lambda s, d, c: c.select("cell_id", F.coalesce(F.col("x_m").between(500, 20000) & F.col("y_m").between(500, 20000) & F.col("radiance").isNotNull(), F.lit(False)).alias("inside")), "SELECT cell_id, coalesce(x_m BETWEEN 500 AND 20000 AND y_m BETWEEN 500 AND 20000 AND radiance IS NOT NULL, false) AS inside FROM cells", ("cells",))
 R.add("audit_contract", lambda s, d, px: px.agg(F.count_if(F.col("persistent_w").isNull() | ~F.col("persistent_w").between(0, 1)).alias("bad_persistent"), F.count_if(F.col("spectral_w").isNull() | ~F.col("spectral_w").between(0, 1)).alias("bad_spectral"), F.count_if(F.col("base_proxy") < 0).alias("negative_proxy")), "SELECT count(*) FILTER (persistent_w IS NULL OR persistent_w NOT BETWEEN 0 AND 1) AS bad_persistent, count(*) FILTER (spectral_w IS NULL OR spectral_w NOT BETWEEN 0 AND 1) AS bad_spectral, count(*) FILTER (base_proxy < 0) AS negative_proxy FROM grid_px", ("grid_px",))
 
+
+
+def contracts(s, d):
+    """Settings, sound and with one change each, with what the contract says of them."""
+    rows = [(name, *contract.verdict(config)) for name, config in contract.variants(contract.EXAMPLE)]
+    return s.createDataFrame(rows, "variant string, valid boolean, problem string")
+
+
+R.add("config_contract", contracts, contract.VERDICTS_SQL)
+
 # --- manifests and closeouts
 MANIFEST = '[{"city":"ny","pixels":100,"configs":[{"name":"direct","valid":90,"mae":1.5},{"name":"s2","valid":80,"mae":1.25}]},{"city":"delhi","pixels":50,"configs":[{"name":"direct","valid":45,"mae":2.5}]}]'
 SHAPE = "array<struct<city:string,pixels:bigint,configs:array<struct<name:string,valid:bigint,mae:double>>>>"
@@ -122,17 +142,36 @@ R.add("fixture_coastline", coast, COAST, (), "offshore proxy")
 
 # --- sinks
 def shared(s, name):
-    base = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tesserae"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{order.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+LAYERS = ["allocation", "err", "kl", "kh", "s_l", "s_h", "g"]
 
 
 def bundle(s, d, px):
+    """All layers of an allocation as one product with a manifest, read back by the manifest's names."""
     path = shared(s, "product")
-    artifacts.write_product(px.select(F.lit("ny").alias("city"), F.lit("direct").alias("config"), "r", "c", "radiance"), path, 32)
-    return s.read.parquet(path).select("r", "c", "radiance", "tile_row")
+    h = pixels.normalize_mean_one(px, "base_proxy", "h")
+    made = stencil.allocate(h, stencil.plus_kernel(), "radiance", "h").select(F.lit("ny").alias("city"), F.lit("structural").alias("config"), "r", "c", *LAYERS)
+    manifest = artifacts.write_bundle(made, path, 32, {"kernel": "plus", "claim": "analysis only"})
+    names = [r["name"] for r in manifest.where("kind = 'layer'").collect()]
+    return s.read.parquet(f"{path}/pixels").select("r", "c", *names, "tile_row")
+
+
+ALLOC = raster_queries.alloc_sql(raster_queries.K5, "h")
+R.add("sink_bundle", bundle, f"WITH {ALLOC} SELECT r, c, {', '.join(LAYERS)}, CAST(floor(r / 32.0) AS INT) AS tile_row FROM z", ("grid_px",), " ".join(LAYERS))
+
+
+def features(s, d, c):
+    """Boxes of cells as a feature file with its geometry's metadata, read back."""
+    path = shared(s, "features")
+    boxes = c.select(F.col("cell_id").cast("string").alias("id"), F.col("x_m").alias("x0"), F.col("y_m").alias("y0"), (F.col("x_m") + 30).alias("x1"), (F.col("y_m") + 20).alias("y1"))
+    manifest = s.createDataFrame(geoparquet.write_boxes(boxes, path).collect(), geoparquet.MANIFEST)  # a row a file
+    geoparquet.check(manifest)
+    return geoparquet.read(s, path).select("id", F.hex("geometry").alias("wkb"))
 
 
-R.add("sink_bundle", bundle, "SELECT r, c, radiance, CAST(floor(r / 32.0) AS INT) AS tile_row FROM grid_px", ("grid_px",), "radiance")
+R.add("sink_geoparquet", features, None, ("cells",))
 
 
 def metrics(s, d, px):

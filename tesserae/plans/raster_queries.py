@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import pixels, quality, relational, statistics, stencil
+from tesserae.operators import order, pixels, quality, relational, statistics, stencil
 from tesserae.plans.registry import Registry
+from tesserae.sources import artifacts
 
 R = Registry()
 KEYS = ["r", "c"]
@@ -97,24 +98,28 @@ R.add("kernel_mean", lambda s, d, px: stencil.kernel_mean(px, DISK, ["radiance"]
 R.add("kernel_mean_tiled", lambda s, d, px: stencil.kernel_mean_tiled(px, DISK, "radiance", 8), f"WITH {K13}, src AS (SELECT r, c, radiance AS l, base_proxy AS h FROM grid_px), {MEAN_SQL} SELECT r, c, CASE WHEN coalesce(sl, 0) > 1.1920929e-07 THEN nl / sl END AS k_radiance, {ONE.format('sl')} AS s_radiance FROM src JOIN m USING (r, c)", ("grid_px",), "k_radiance s_radiance")
 
 
-def alloc_sql(kernel: str, h: str) -> str:
+def alloc_sql(kernel: str, h: str, support: str = "1") -> str:
     return f"""{kernel}, {NORMAL}, src AS (SELECT r, c, radiance AS l, {h} AS h FROM px), {MEAN_SQL},
     a AS (SELECT r, c, l, h, CASE WHEN coalesce(sl, 0) > 1.1920929e-07 THEN nl / sl END AS kl, CASE WHEN coalesce(sh, 0) > 1.1920929e-07 THEN nh / sh END AS kh, {ONE.format('sl')} AS s_l, {ONE.format('sh')} AS s_h, {ONE.format('g')} AS g FROM src JOIN m USING (r, c)),
     v AS (SELECT *, coalesce(kh < 1e-6, false) AS is_floor, coalesce(kh < 0.05, false) AS is_unstable, g < 1 - 1e-6 AS is_boundary, s_l < g - 1e-6 AS is_invalid_l, s_h < g - 1e-6 AS is_invalid_h, coalesce(l < 0, false) AS is_negative_input,
-        h IS NOT NULL AND kl IS NOT NULL AND kh IS NOT NULL AND least(s_l, s_h, g) >= 1 - 1e-6 AS is_valid FROM a),
+        h IS NOT NULL AND kl IS NOT NULL AND kh IS NOT NULL AND least(s_l, s_h, g) >= {support} - 1e-6 AS is_valid FROM a),
     p AS (SELECT *, CASE WHEN is_valid THEN h * kl / greatest(kh, 1e-6) END AS pre_clip FROM v),
     f AS (SELECT *, coalesce(pre_clip < 0, false) AS is_negative_pre, CASE WHEN pre_clip IS NOT NULL THEN greatest(pre_clip, 0.0) END AS allocation FROM p),
     b AS (SELECT s.r - k.dr AS r, s.c - k.dc AS c, sum(k.w * s.allocation) AS na, sum(CASE WHEN s.allocation IS NOT NULL THEN k.w END) AS sa FROM f s CROSS JOIN k GROUP BY 1, 2),
-    z AS (SELECT f.*, CASE WHEN coalesce(sa, 0) > 1.1920929e-07 THEN na / sa END AS reaggregated, CASE WHEN l IS NOT NULL AND least({ONE.format('sa')}, g) >= 1 - 1e-6 THEN l - na / sa END AS err FROM f JOIN b USING (r, c))"""
+    z AS (SELECT f.*, CASE WHEN coalesce(sa, 0) > 1.1920929e-07 THEN na / sa END AS reaggregated, CASE WHEN l IS NOT NULL AND least({ONE.format('sa')}, g) >= {support} - 1e-6 THEN l - na / sa END AS err FROM f JOIN b USING (r, c))"""
 
 
-def structural(px, kernel=PLUS):
-    return stencil.allocate(normal(px), kernel, "radiance", "h")
+def structural(px, kernel=PLUS, **how):
+    return stencil.allocate(normal(px), kernel, "radiance", "h", **how)
 
 
 MASKS = "is_floor is_unstable is_boundary is_invalid_l is_invalid_h is_negative_input is_negative_pre is_valid".split()
 R.add("alloc_structural", lambda s, d, px: structural(px).select(*KEYS, "allocation", "err"), f"WITH {alloc_sql(K5, 'h')} SELECT r, c, allocation, err FROM z", ("grid_px",), "allocation err")
 R.add("alloc_structural_disk", lambda s, d, px: structural(px, DISK).select(*KEYS, "allocation", "err"), f"WITH {alloc_sql(K13, 'h')} SELECT r, c, allocation, err FROM z", ("grid_px",), "allocation err")
+#: 1257 taps, more than the raster is wide, so the support asked for is less.
+WIDE = stencil.circular_kernel(200.0, 10.0)
+KWIDE = "ki AS (SELECT CAST(i AS INT) AS dr, CAST(j AS INT) AS dc FROM (SELECT unnest(range(-20, 21)) AS i), (SELECT unnest(range(-20, 21)) AS j) WHERE i * i + j * j <= 400), k AS (SELECT dr, dc, 1.0 / (SELECT count(*) FROM ki) AS w FROM ki)"
+R.add("alloc_structural_wide", lambda s, d, px: structural(px, WIDE, min_support=0.3).select(*KEYS, "allocation", "err", *MASKS), f"WITH {alloc_sql(KWIDE, 'h', '0.3')} SELECT r, c, allocation, err, {', '.join(MASKS)} FROM z", ("grid_px",), "allocation err")
 R.add("alloc_uniform", lambda s, d, px: stencil.uniform(px, PLUS, "radiance").select(*KEYS, "allocation", "err"), f"WITH {alloc_sql(K5, '1.0')} SELECT r, c, allocation, err FROM z", ("grid_px",), "allocation err")
 R.add("alloc_consistency", lambda s, d, px: structural(px).select(*KEYS, "reaggregated", "err"), f"WITH {alloc_sql(K5, 'h')} SELECT r, c, reaggregated, err FROM z", ("grid_px",), "reaggregated err")
 R.add("alloc_masks", lambda s, d, px: structural(px).select(*KEYS, *MASKS), f"WITH {alloc_sql(K5, 'h')} SELECT r, c, {', '.join(MASKS)} FROM z", ("grid_px",))
@@ -239,16 +244,16 @@ R.add("shoreline_bands", lambda s, d, px: statistics.distance_bands(with_bands(p
 
 
 def control(px):
-    return statistics.lowest_control(px, "base_proxy", (F.col("occ") < 90) & (F.col("r") >= 2), 20, KEYS)
+    return statistics.lowest_control(px, "base_proxy", (F.col("occ") < 90) & (F.col("r") >= 2), F.col("occ") >= 90, KEYS)
 
 
-CONTROL_SQL = "t AS (SELECT * FROM grid_px WHERE occ < 90 AND r >= 2 AND base_proxy IS NOT NULL), u AS (SELECT max(base_proxy) AS cut FROM (SELECT base_proxy FROM t ORDER BY base_proxy LIMIT 20)), ct AS (SELECT t.* FROM t, u WHERE base_proxy <= cut ORDER BY r, c LIMIT 20)"
+CONTROL_SQL = "t AS (SELECT * FROM grid_px WHERE occ < 90 AND r >= 2 AND base_proxy IS NOT NULL), cn AS (SELECT least((SELECT count(*) FROM grid_px WHERE occ >= 90), greatest(1, count(*) // 10)) AS n FROM t), u AS (SELECT max(base_proxy) AS cut FROM (SELECT base_proxy, row_number() OVER (ORDER BY base_proxy) AS i FROM t), cn WHERE i <= n), ct AS (SELECT * EXCLUDE (i) FROM (SELECT t.*, row_number() OVER (ORDER BY r, c) AS i FROM t, u WHERE base_proxy <= cut), cn WHERE i <= n)"
 R.add("low_proxy_control", lambda s, d, px: control(px).select(*KEYS, "base_proxy"), f"WITH {CONTROL_SQL} SELECT r, c, base_proxy FROM ct", ("grid_px",), "base_proxy")
 
 
 def inland(s, d, px):
-    # distances to the control set: the control is 20 pixels, so it is broadcast
-    marked = px.join(F.broadcast(control(px).select(*KEYS, F.lit(True).alias("control"))), KEYS, "left")
+    # distances to the control set
+    marked = px.join(control(px).select(*KEYS, F.lit(True).alias("control")), KEYS, "left")
     held = stencil.nearest_distance(marked, F.col("control"), 12, 10.0).where("r >= 2")
     return statistics.distance_bands(held.withColumn("scaled", F.col("base_proxy") * 30), "distance", "radiance", "scaled", EDGES)
 
@@ -282,7 +287,12 @@ def qa_pairs(o):
 PAIR_SQL = f"u AS (SELECT r, c, CASE WHEN count(CASE WHEN {accepts('strict')} THEN 1 END) >= 15 THEN median(CASE WHEN {accepts('strict')} THEN radiance END) END AS strict, CASE WHEN count(CASE WHEN {accepts('broad')} THEN 1 END) >= 5 THEN median(CASE WHEN {accepts('broad')} THEN radiance END) END AS broad FROM daily_obs GROUP BY r, c)"
 R.add("qa_coverage_compare", lambda s, d, o: qa_pairs(o).agg(F.count("strict").alias("n_strict"), F.count("broad").alias("n_broad"), F.count_if(F.col("strict").isNull() & F.col("broad").isNotNull()).alias("n_broad_only"), F.avg(F.when(F.col("strict").isNull(), F.col("broad"))).alias("broad_only_mean"), (F.count("broad") * 0.0001).alias("area_km2"), statistics.pearson("strict", "broad").alias("pearson")), f"WITH {PAIR_SQL} SELECT count(strict) AS n_strict, count(broad) AS n_broad, count(*) FILTER (strict IS NULL AND broad IS NOT NULL) AS n_broad_only, avg(CASE WHEN strict IS NULL THEN broad END) AS broad_only_mean, count(broad) * 0.0001 AS area_km2, (SELECT covar_pop(strict, broad) / nullif(stddev_pop(strict) * stddev_pop(broad), 0) FROM u WHERE strict IS NOT NULL AND broad IS NOT NULL) AS pearson FROM u", ("daily_obs",), "broad_only_mean area_km2 pearson")
 R.add("broad_audit", lambda s, d, o: statistics.comparison(qa_pairs(o), "strict", "broad").selectExpr("'common' AS part", "n", "mae AS value").unionByName(qa_pairs(o).where("strict is null and broad is not null").agg(F.lit("newly_filled").alias("part"), F.count(F.lit(1)).alias("n"), F.avg("broad").alias("value"))), f"WITH {PAIR_SQL} SELECT 'common' AS part, count(*) AS n, avg(abs(broad - strict)) AS value FROM u WHERE strict IS NOT NULL AND broad IS NOT NULL UNION ALL SELECT 'newly_filled', count(*), avg(broad) FROM u WHERE strict IS NULL AND broad IS NOT NULL", ("daily_obs",), "value")
-R.add("quantile_limits", lambda s, d, px: px.agg(F.percentile("radiance", F.lit(0.02)).alias("p02"), F.percentile("radiance", F.lit(0.98)).alias("p98"), F.percentile("radiance", F.lit(0.995)).alias("p995")), "SELECT quantile_cont(radiance, 0.02) AS p02, quantile_cont(radiance, 0.98) AS p98, quantile_cont(radiance, 0.995) AS p995 FROM grid_px", ("grid_px",), "p02 p98 p995")
+def limits(s, d, px):
+    low, high, most = order.quantiles(px, "radiance", [0.02, 0.98, 0.995])
+    return s.createDataFrame([(low, high, most)], "p02 double, p98 double, p995 double")
+
+
+R.add("quantile_limits", limits, "SELECT quantile_cont(radiance, 0.02) AS p02, quantile_cont(radiance, 0.98) AS p98, quantile_cont(radiance, 0.995) AS p995 FROM grid_px", ("grid_px",), "p02 p98 p995")
 
 
 def targets(at, step, start, size):
@@ -350,5 +360,6 @@ def cutouts(s, d, px):
 
 
 R.add("cutout_select", cutouts, f"WITH {BLOCKS_SQL} (SELECT 'dense' AS role, br, bc FROM b WHERE p IS NOT NULL ORDER BY p DESC, br, bc LIMIT 1) UNION ALL (SELECT 'sparse', br, bc FROM b WHERE infra >= 0.05 AND p IS NOT NULL ORDER BY p, br, bc LIMIT 1)", ("grid_px",))
-R.add("tile_checksum", lambda s, d, px: px.groupBy(F.floor(F.col("r") / 8).cast("int").alias("tile_r")).agg(F.bit_xor(F.xxhash64("r", "c", "radiance")).alias("checksum")), None, ("grid_px",))
+ROWS_SQL = "string_agg(r || ',' || c || ',' || coalesce(CAST(CAST(round(radiance * 1e3) AS BIGINT) AS VARCHAR), 'null'), ';' ORDER BY r, c)"
+R.add("tile_checksum", lambda s, d, px: artifacts.tile_checksums(px.select(*KEYS, F.rint(F.col("radiance") * 1e3).cast("long").alias("radiance")), 8), f"SELECT CAST(floor(r / 8.0) AS INT) AS tile_row, CAST(floor(c / 8.0) AS INT) AS tile_col, sha256({ROWS_SQL}) AS checksum, count(*) AS n FROM grid_px GROUP BY 1, 2", ("grid_px",))
 R.add("gate1_checks", lambda s, d, px: structural(px).agg(F.every(F.coalesce(F.col("allocation") >= 0, F.lit(True))).alias("nonnegative"), F.every(~F.col("is_valid") | F.col("allocation").isNotNull()).alias("valid_has_value"), F.every(~F.col("is_boundary") | ~F.col("is_valid")).alias("boundary_invalid"), (F.count("allocation") > 0).alias("some_output")), f"WITH {alloc_sql(K5, 'h')} SELECT bool_and(coalesce(allocation >= 0, true)) AS nonnegative, bool_and(NOT is_valid OR allocation IS NOT NULL) AS valid_has_value, bool_and(NOT is_boundary OR NOT is_valid) AS boundary_invalid, count(allocation) > 0 AS some_output FROM z", ("grid_px",))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators import order
 from tesserae.operators.pixels import WATER_VARIANTS
 
 #: Fixed names and values of the configurations.
@@ -61,8 +62,18 @@ def quadrants(boxes: DataFrame) -> DataFrame:
 
 
 def to_do(requested: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame:
-    """Requested tiles without a completed record of the same keys and checksum."""
-    return requested.join(completed, keys, "left_anti")
+    """Requested tiles (keys, checksum) without a completed record of the same keys, checksum and status."""
+    done = completed.where("status = 'complete'").select(*keys, "checksum")
+    return requested.join(done, [*keys, "checksum"], "left_anti")
+
+
+def city_holdout(cities: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """The cities held out: a share of them, one at least, drawn by a seeded digest of their names."""
+    if not 0 <= fraction < 1:
+        raise ValueError("fraction must be in [0, 1)")
+    drawn = cities.withColumn("_draw", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256))
+    n = cities.count() if fraction else 0
+    return order.numbered(drawn, [F.col("_draw"), F.col(key)], "_place").where(F.col("_place") <= (max(1, round(n * fraction)) if n else 0)).drop("_draw", "_place")
 
 
 def readiness(catalog: DataFrame, rules: dict[str, str]) -> DataFrame:

@@ -29,15 +29,37 @@ def write_product(pixels: DataFrame, path: str, tile: int = 512) -> None:
     out.repartition(*keys).sortWithinPartitions(*keys, "r", "c").write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").parquet(path)
 
 
+def write_bundle(made: DataFrame, path: str, tile: int, tags: dict[str, str]) -> DataFrame:
+    """All layers of `made` (city, config, r, c, layers) as one product below `path`, with a manifest of its layers and tags.
+
+    The manifest (kind, name, rows, filled, value) is written last, so a product without one isn't complete.
+    """
+    spark = made.sparkSession
+    write_product(made, f"{path}/pixels", tile)
+    layers = [c for c in made.columns if c not in ("city", "config", "r", "c")]
+    held = spark.read.parquet(f"{path}/pixels").agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in layers]).first()
+    rows = [("layer", c, held["rows"], held[c], None) for c in layers] + [("tag", k, None, None, v) for k, v in sorted(tags.items())]
+    kinds = "kind string, name string, rows long, filled long, value string"
+    spark.createDataFrame(rows, kinds).write.json(f"{path}/manifest")
+    return spark.read.schema(kinds).json(f"{path}/manifest")
+
+
 def write_metrics(rows: list[DataFrame], path: str) -> None:
-    """Metric tables of different columns as one CSV, nested values as JSON."""
+    """Metric tables of different columns as one folder of CSV files, nested values as JSON."""
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r, allowMissingColumns=True)
     nested = {c: F.to_json(c) for c, t in out.dtypes if t.startswith(("array", "struct", "map"))}
-    out.withColumns(nested).coalesce(1).write.csv(path, header=True, mode="overwrite")
+    out.withColumns(nested).write.csv(path, header=True, mode="overwrite")
 
 
-def tile_checksums(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-insensitive checksum and row count by tile."""
-    return pixels.groupBy(*keys).agg(F.bit_xor(F.xxhash64(*[c for c in pixels.columns if c not in keys])).alias("checksum"), F.count(F.lit(1)).alias("n"))
+def tile_checksums(pixels: DataFrame, tile: int) -> DataFrame:
+    """(tile_row, tile_col, checksum, n): SHA-256 of each tile's rows as text in row-major order, nulls as null.
+
+    pixels: r, c and columns of integers or text; a tile has at most tile * tile rows.
+    """
+    at = lambda c: F.floor(F.col(c) / tile).cast("int")
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in pixels.columns])
+    rows = F.array_sort(F.collect_list(F.struct("r", "c", line.alias("line"))))
+    held = pixels.groupBy(at("r").alias("tile_row"), at("c").alias("tile_col")).agg(rows.alias("rows"), F.count(F.lit(1)).alias("n"))
+    return held.select("tile_row", "tile_col", F.sha2(F.concat_ws(";", F.col("rows.line")), 256).alias("checksum"), "n")
