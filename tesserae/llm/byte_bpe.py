@@ -104,7 +104,7 @@ class ByteBpe:
         self.comma = {i: f",{i}" for i in self.ranks.values()}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
-        self.matches = Generations(cache)
+        self.matches = Generations(cache // 4)  # chunks are mostly one match
         self.chunks = Generations(cache)
 
     def _encode_matches(self, text: str) -> list[int]:

@@ -72,3 +72,31 @@ def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int
             at, size, held = i + 1, 0, []
     if held:
         yield at, held
+
+
+class Grouped:
+    """Entries (row, column) of a sparse matrix for sums by row and by column; entries come sorted by row."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray):
+        self.cols = cols.astype(np.int32)
+        self.row_starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        self.row_names = rows[self.row_starts]
+        self.order = np.argsort(self.cols, kind="stable").astype(np.int32)
+        by_col = self.cols[self.order]
+        self.rows_by_col = rows[self.order].astype(np.int32)
+        self.col_starts = np.flatnonzero(np.diff(by_col, prepend=-1))
+        self.col_names = by_col[self.col_starts]
+
+    def by_row(self, values: np.ndarray, n: int) -> np.ndarray:
+        """Sums of a value by entry over rows 0 .. n - 1."""
+        out = np.zeros(n)
+        if len(values):
+            out[self.row_names] = np.add.reduceat(values, self.row_starts)
+        return out
+
+    def by_col(self, values: np.ndarray, n: int) -> np.ndarray:
+        """Sums over columns 0 .. n - 1 of a value by entry, the entries in `order`."""
+        out = np.zeros(n)
+        if len(values):
+            out[self.col_names] = np.add.reduceat(values, self.col_starts)
+        return out

@@ -263,12 +263,18 @@ def tidy(run):
     return task
 
 
+#: Tables that modules keep within a task and can compute again.
+KEPT_TABLES: list[dict] = []
+
+
 def release() -> None:
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    for held in KEPT_TABLES:
+        held.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

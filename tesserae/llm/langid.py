@@ -20,12 +20,11 @@ import pickle
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.char_ngrams import TextBatch, portions
+from tesserae.llm.char_ngrams import Grouped, TextBatch, portions
 from tesserae.llm.common import release, require, slices, small_batches, tidy
 
 ORDERS = (2, 3, 4)
@@ -54,12 +53,14 @@ def svm(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, sign: np.ndarray
     """Linear machine with squared hinge loss, classes weighted equally; sign: 1 or -1 a row."""
     share = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1))
     used, place = np.unique(cols, return_inverse=True)
+    held = Grouped(rows, place)
+    by_col = values[held.order]
     weights, bias = np.zeros(len(used)), 0.0
     slow, fast = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
-        gap = np.maximum(0, 1 - sign * (np.bincount(rows, weights[place] * values, len(sign)) + bias))
+        gap = np.maximum(0, 1 - sign * (held.by_row(weights[held.cols] * values, len(sign)) + bias))
         pull = -2 * share * sign * gap
-        grad = np.append(np.bincount(place, pull[rows] * values, len(used)) + penalty * weights, pull.sum())
+        grad = np.append(held.by_col(pull[held.rows_by_col] * by_col, len(used)) + penalty * weights, pull.sum())
         slow = 0.9 * slow + 0.1 * grad
         fast = 0.999 * fast + 0.001 * grad**2
         step = 0.1 * (slow / (1 - 0.9**t)) / (np.sqrt(fast / (1 - 0.999**t)) + 1e-10)
@@ -195,13 +196,14 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Hierarchy:
     # ids first, so that texts of no more than the sample are shuffled
     sample = rows.join(F.broadcast(sample_ids(rows, sample_rows)), ["doc_id", "lang"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lang", "doc_id", "text"], kind="stable")
-        model = pickle.dumps(fit(pdf["text"].tolist(), pdf["lang"].tolist()))
+    def run(table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "doc_id", "text")), strict=True))
+        model = pickle.dumps(fit([r[2] for r in rows], [r[0] for r in rows]))
+        del rows
         release()
-        return pd.DataFrame({"model": [model]})
+        return pa.table({"model": pa.array([model], pa.binary())})
 
-    found = sample.select("doc_id", "lang", "text").groupBy().applyInPandas(run, "model binary").collect()
+    found = sample.select("doc_id", "lang", "text").groupBy().applyInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else fit([], [])
 
 

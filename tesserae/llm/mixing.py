@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,16 +77,16 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED, subtrees: int =
     span = -(-shards // subtrees)
     kinds = "lo int, hi int, number long, quota long"
 
-    def below(pdf: pd.DataFrame, lo: int, hi: int, least: int) -> pd.DataFrame:
-        pdf = pdf.sort_values("number")
-        number = pdf["number"].to_numpy()
-        out = [(a, b, number[at], q[at]) for a, b, q in split(pdf["quota"].to_numpy(), lo, hi, least, seed) for at in [np.flatnonzero(q)]]
+    def below(table, lo: int, hi: int, least: int):
+        number, quota = (table.column(c).to_numpy() for c in ("number", "quota"))
+        by = np.argsort(number)
+        out = [(a, b, number[by][at], q[at]) for a, b, q in split(quota[by], lo, hi, least, seed) for at in [np.flatnonzero(q)]]
         columns = [np.concatenate([np.full(len(n), x, np.int32) for x, _, n, _ in out]), np.concatenate([np.full(len(n), x, np.int32) for _, x, n, _ in out]), np.concatenate([n for _, _, n, _ in out]), np.concatenate([q for _, _, _, q in out])]
-        return pd.DataFrame(dict(zip(("lo", "hi", "number", "quota"), columns, strict=True)))
+        return pa.table(dict(zip(("lo", "hi", "number", "quota"), columns, strict=True)))
 
-    nodes = quotas.groupBy().applyInPandas(lambda pdf: below(pdf, 0, shards, span), kinds)
+    nodes = quotas.groupBy().applyInArrow(lambda table: below(table, 0, shards, span), kinds)
     if span > 1:
-        nodes = nodes.groupBy("lo", "hi").applyInPandas(lambda key, pdf: below(pdf, int(key[0]), int(key[1]), 1), kinds)
+        nodes = nodes.groupBy("lo", "hi").applyInArrow(lambda key, table: below(table, key[0].as_py(), key[1].as_py(), 1), kinds)
     return nodes.select("number", F.col("lo").alias("shard"), "quota")
 
 

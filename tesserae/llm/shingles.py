@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+from tesserae.llm.common import KEPT_TABLES
+
 _RANDOM = np.random.default_rng(97)
 BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 PLACE = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
+KEPT_TABLES.append(_POWERS)
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -20,12 +20,11 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.char_ngrams import TextBatch, portions
+from tesserae.llm.char_ngrams import Grouped, TextBatch, portions
 from tesserae.llm.common import release, require, slices, small_batches, tidy
 
 ORDERS = (4, 5, 6)
@@ -50,7 +49,8 @@ def pairs(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator
 
 
 def present(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *pairs(texts, wanted)]
+    none = np.zeros(0, np.int32)
+    held = [(none, none), *((a.astype(np.int32), b.astype(np.int32)) for a, b in pairs(texts, wanted))]
     return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
 
 
@@ -87,13 +87,13 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, rounds: int =
     place[kept] = np.arange(len(kept), dtype=np.int32)
     rows, cols = present(texts, place)
     r = ratio[kept]
-    values = r[cols]
+    held = Grouped(rows, cols)
     weights, bias = np.zeros(len(kept)), 0.0
     slow, fast = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    for t in range(1, rounds + 1):  # Adam over the whole sample
-        margin = np.bincount(rows, weights[cols] * values, len(labels)) + bias
+    for t in range(1, rounds + 1):  # Adam over the whole sample; a feature that is there has its ratio as value
+        margin = held.by_row((weights * r)[held.cols], len(labels)) + bias
         miss = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels
-        grad = np.append(np.bincount(cols, miss[rows] * values, len(kept)) / len(labels) + penalty * weights, miss.mean())
+        grad = np.append(held.by_col(miss[held.rows_by_col], len(kept)) * r / len(labels) + penalty * weights, miss.mean())
         slow = 0.9 * slow + 0.1 * grad
         fast = 0.999 * fast + 0.001 * grad**2
         step = 0.05 * (slow / (1 - 0.9**t)) / (np.sqrt(fast / (1 - 0.999**t)) + 1e-8)
@@ -121,13 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = require(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "toxic", "text"], kind="stable", na_position="first")
-        model = pickle.dumps(fit([t if isinstance(t, str) else None for t in pdf["text"]], pdf["toxic"].to_numpy(), prior))
+    def run(table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or ""))
+        model = pickle.dumps(fit([r[2] for r in rows], np.array([r[1] for r in rows]), prior))
+        del rows
         release()
-        return pd.DataFrame({"model": [model]})
+        return pa.table({"model": pa.array([model], pa.binary())})
 
-    found = sample.groupBy().applyInPandas(run, "model binary").collect()
+    found = sample.groupBy().applyInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else fit([], np.zeros(0), prior)
 
 
