@@ -186,7 +186,7 @@ def possible(rows: DataFrame, row_key: str, keys: DataFrame, key: str, most: int
 
 
 #: A key with more than 1/HEAVY of all rows is heavy: there are fewer than HEAVY such keys.
-HEAVY = 1024
+HEAVY = 8192
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:

@@ -108,19 +108,20 @@ def regions(ws: Workspace, classes: DataFrame) -> DataFrame:
     """(key, n, node): every region of two classes or more, with its number of classes.
 
     A prefix's classes are counted by combined sums, and rows learn the count by lookup: those
-    of a common prefix never meet in a task.
+    of a common prefix never meet in a task.  Rows alone with their shortest prefix go first.
     """
-    rows, out = prefix_keys(classes), None
+    rows = prefix_keys(classes)
     for depth in range(SHALLOW, LEAST + 1):
         rows = ws.save(rows, f"keys{depth}")
-        key = f"key{depth}"
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = lookup(rows, counts, key, "n", rows.count()).where("n > 1")
-        done = met if depth == LEAST else met.where(F.col("n") <= FULL)
-        done = done.select(F.col(key).alias("key"), "n", "node")
-        out = done if out is None else out.unionByName(done)
-        rows = met.where(F.col("n") > FULL).drop(key, "n")
-    found = ws.save(out, "regions")
+        key, n = f"key{depth}", f"n{depth}"
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+        rows = lookup(rows, counts, key, n, rows.count())
+        if depth == SHALLOW:
+            rows = rows.where(F.col(n) > 1)
+    deep = range(SHALLOW, LEAST)
+    small = lambda d: F.coalesce(F.col(f"n{d}"), F.lit(1)) <= FULL
+    pick = lambda c: F.coalesce(*[F.when(small(d), F.struct(F.col(f"key{d}").alias("key"), F.col(f"n{d}").alias("n"))) for d in deep], F.struct(F.col(f"key{c}").alias("key"), F.col(f"n{c}").alias("n")))
+    found = ws.save(rows.select(pick(LEAST).alias("at"), "node").select("at.key", "at.n", "node").where("n > 1"), "regions")
     for depth in range(SHALLOW, LEAST + 1):
         ws.drop(f"keys{depth}")
     return found

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bwt
-from tesserae.llm.common import HEAVY, Workspace, lookup, possible, require, small_batches, task_folder, tidy, without
+from tesserae.llm.common import Workspace, lookup, possible, require, small_batches, task_folder, tidy, without
 from tesserae.llm.shingles import BASE, BYTE, mix, powers
 
 LENGTH, ANCHOR = 50, 16
@@ -47,8 +47,8 @@ PORTION = 4 << 20  # bytes of text at once; below 1 << 22 and a text more
 COLLECTION = 12_000
 #: Bytes of text whose anchors a task of step 2 gathers, and pieces that a task of step 3 gets.
 BUCKET_BYTES, TASK_PIECES = 32 << 20, 250_000
-#: Pieces from which an anchor may be hot, and from which it is.
-HOT_LEAST, HOT_MOST = 64, 100_000
+#: Share of all pieces, and pieces at least, from which an anchor is hot, and pieces from which it always is.
+HEAVY, HOT_LEAST, HOT_MOST = 1024, 64, 100_000
 #: Hot anchors that are broadcast; more are met in a shuffle.
 HOT_KEYS = 1 << 20
 
