@@ -201,14 +201,14 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     hot = right.where(F.col(weight) >= least).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
     cold = right.where(F.col(weight) < least).withColumnRenamed(key, "_cold")
     met = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    # rows that found a heavy key must not meet again at that key
-    spread = F.when(F.col("_hot").isNull(), F.col(key))
-    met = met.withColumn("_at", spread).withColumn("_salt", F.when(F.col("_at").isNull(), F.monotonically_increasing_id()))
-    cold = cold.withColumn("_none", F.lit(None).cast("long"))
-    out = met.join(cold, (F.col("_at") == F.col("_cold")) & F.col("_salt").eqNullSafe(F.col("_none")), "left")
-    return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values])
-
-
+    # rows that found a heavy key, and those without a key, go anywhere: by a hash of the whole row
+    kind = dict(left.dtypes)[key]
+    anywhere = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    anywhere = F.encode(anywhere.cast("string"), "utf-8") if kind == "binary" else anywhere.cast(kind)
+    met = met.withColumn("_at", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(anywhere))
+    out = met.join(cold, F.col("_at") == F.col("_cold"), "left")
+    own = F.col(key) == F.col("_cold")  # anywhere may be a key by chance
+    return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.when(own, F.col(c))).alias(c) for c in values])
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: str, most: int = MOST_BITS, few: int = FEW_KEYS) -> DataFrame:

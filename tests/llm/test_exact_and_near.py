@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.components import components
 from tesserae.llm import bwt, minhash_forest
 from tesserae.llm import suffix_dedup as suffix
-from tesserae.llm.common import Workspace, filter_bits, numbered, possible, scratch, without
+from tesserae.llm.common import Workspace, filter_bits, lookup, numbered, possible, scratch, without
 from tesserae.llm.exact_dedup import LsmIndex, exact_dedup
 from tesserae.llm.minhash_forest import near_duplicates
 from tesserae.llm.suffix_dedup import suffix_dedup
@@ -66,6 +66,19 @@ def test_without(spark):
     assert filter_bits(dropped, "k") == 1 << 20 and filter_bits(spark.range(100_000), "id") > 1 << 20
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "binary"])
+def test_lookup_of_heavy_and_null_keys(spark, kind):
+    """Every row once, with its key's value; rows of heavy keys and without one spread over the tasks."""
+    keys = [5] * 3000 + list(range(10, 60)) * 2 + [None] * 500
+    cast = (lambda c: F.encode(c.cast("string"), "utf-8")) if kind == "binary" else (lambda c: c.cast(kind))
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").withColumn("k", cast(F.col("k"))).repartition(3)
+    right = spark.createDataFrame([(5, 3000, 7), *((k, 2, k * 3) for k in range(10, 50))], "k long, n long, v long").withColumn("k", cast(F.col("k")))
+    met = lookup(left, right, "k", "n", 10_000_000)
+    assert sorted((r.i, r.v) for r in met.collect()) == [(i, {5: 7, **{k: k * 3 for k in range(10, 50)}}.get(k)) for i, k in enumerate(keys)]
+    heavy = lookup(left, right, "k", "n", len(keys))
+    assert sorted((r.i, r.v) for r in heavy.collect()) == sorted((r.i, r.v) for r in met.collect())
+
+
 @pytest.mark.parametrize("one_task", [10**6, 5])
 def test_numbered(spark, one_task):
     df = spark.createDataFrame([(w, i) for i, w in enumerate(["b", "a", None, "é", "Z", "c"] * 3)], "w string, i int").repartition(3)
