@@ -12,6 +12,8 @@ import os
 import tempfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tesserae.llm.common import task_folder
 
@@ -47,6 +49,11 @@ class _Files:
             f.close()
 
 
+def _by_symbol(bwt: np.ndarray) -> np.ndarray:
+    """Rows in stable order of their symbol: Arrow counts bytes, in a third of numpy's time."""
+    return pc.array_sort_indices(pa.array(bwt)).to_numpy().view(np.int64)
+
+
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least of values[lo:hi] for each pair, lo < hi, by a table of doubling spans."""
     spans = hi - lo
@@ -86,24 +93,23 @@ def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int)
             done += 1
             bwt, lcp = held.read()
             # rows by symbol, stably: what extends them is in this order after the empty suffixes
-            order = np.argsort(bwt, kind="stable")
+            order = _by_symbol(bwt)
             whole = int(np.count_nonzero(bwt == 0))
-            place = np.empty(len(bwt), np.int32)
-            place[order] = np.arange(m - whole, m - whole + len(bwt), dtype=np.int32)
-            at = place[rows].astype(np.int64)
-            by = np.argsort(at)
-            docs, rows, at = docs[by], rows[by], at[by]
+            # the last suffixes are in ascending rows, so the same sort puts them in their order among all
+            by = np.argsort(bwt[rows], kind="stable")
+            last = np.zeros(len(bwt), bool)
+            last[rows] = True
+            docs, rows, near = docs[by], rows[by], np.flatnonzero(last[order])
+            at = near + m - whole
             # the old row before this one, and the one after, with the same symbol
-            near = at - m + whole
             symbol = bwt[rows]
-            prefix = np.zeros(len(at), np.uint8)
             before = order[near - 1]
             ok = (near > whole) & (bwt[before] == symbol)
-            prefix[ok] = np.minimum(_least(lcp, before[ok] + 1, rows[ok] + 1), cap - 1) + 1
-            follows = np.zeros(len(at), np.uint8)
             after = order[np.minimum(near + 1, len(order) - 1)]
             more = (near + 1 < len(order)) & (bwt[after] == symbol)
-            follows[more] = np.minimum(_least(lcp, rows[more] + 1, after[more] + 1), cap - 1) + 1
+            shared = np.minimum(_least(lcp, np.concatenate([before[ok], rows[more]]) + 1, np.concatenate([rows[ok], after[more]]) + 1), cap - 1) + 1
+            prefix, follows = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
+            prefix[ok], follows[more] = np.split(shared, [np.count_nonzero(ok)])
             fresh = np.ones(len(bwt) + len(at), bool)
             fresh[at] = False
             new_bwt, new_lcp = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8)
@@ -123,7 +129,7 @@ def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int)
 def places(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document and length of each row's suffix, by following the transform from the empty suffixes."""
     m = len(sizes)
-    order = np.argsort(bwt, kind="stable")
+    order = _by_symbol(bwt)
     whole = int(np.count_nonzero(bwt == 0))
     follow = np.empty(len(bwt), np.int64)
     follow[order] = np.arange(len(bwt)) - whole + m
