@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.sources.views import view, with_views
@@ -12,6 +12,17 @@ from tesserae.sources.views import view, with_views
 DIGITS = 6
 
 
+def rounded_to(value: Column, digits: int) -> Column:
+    """Rounded as the independent engine does: the scaled double to a whole number, halves away from zero.
+
+    Spark's own round to some digits decides by the shortest decimal text of the double instead,
+    which may read as a half where the double is just below one.
+    """
+    value, scale = value.cast("double"), F.lit(10.0**digits)
+    held = F.round(value * scale) / scale
+    return F.when(F.isnan(held) | (F.abs(held) == float("inf")), value).otherwise(held) + F.lit(0.0)
+
+
 class Registry:
     def __init__(self) -> None:
         self.calls: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +37,7 @@ class Registry:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = call(spark, sf_dir, *[view(spark, sf_dir, v) for v in views])
-            return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in rounded}) if rounded else df
+            return df.withColumns({c: rounded_to(F.col(c), digits) for c in rounded}) if rounded else df
 
         run.__name__ = name
         self.calls[name] = run
