@@ -1,5 +1,9 @@
 """Rounding and turns as the independent engine has them, on values where another way differs."""
 
+import math
+import random
+from itertools import accumulate
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -25,3 +29,32 @@ def test_doubles_are_rounded_as_in_the_other_engine(spark, digits):
     held.register("t", df.toArrow())
     want = [r[0] for r in held.execute(f"SELECT round(v, {digits}) + 0.0 FROM t").fetchall()]
     assert list(map(repr, got)) == list(map(repr, want))
+
+
+def pixel_tables(spark, path, prices):
+    """part and lineitem: one pixel for each list of prices."""
+    rows = [(k, i, float(p)) for k, each in enumerate(prices) for i, p in enumerate(each)]
+    spark.createDataFrame([(k, 1) for k in range(len(prices))], "p_partkey long, p_size int").write.parquet(f"{path}/part.parquet")
+    lines = spark.createDataFrame(rows, "l_partkey long, l_linenumber int, l_extendedprice double")
+    lines.coalesce(1).selectExpr("*", "1.0D AS l_quantity", "0.0D AS l_discount").write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_tile_checksums_round_halves_as_the_sql(spark, tmp_path):
+    pixel_tables(spark, tmp_path, [[k + 0.5] for k in range(640)])
+    held = engine(tmp_path, "part", "lineitem")
+    want = {r[:2]: r[2:] for r in held.execute(f"SELECT tile_row, tile_col, checksum, n FROM ({SQL['tile_checksum']})").fetchall()}
+    got = QUERIES["tile_checksum"](spark, str(tmp_path)).collect()
+    assert {(x.tile_row, x.tile_col): (x.checksum, x.n) for x in got} == want
+
+
+def test_tile_checksums_do_not_depend_on_the_order_of_a_sum(spark, tmp_path):
+    draw = random.Random(0)
+    prices = [draw.randrange(1, 9999999) / 100 for _ in range(19)]
+    prices.append((1000 - sum(round(x * 100) for x in prices)) % 2000 / 100)  # the exact mean ends in a half
+    orders = [prices, sorted(prices), sorted(prices, reverse=True)]
+    assert len({list(accumulate(x))[-1] / 20 / 1e3 * 1e3 % 1 < 0.5 for x in orders}) == 2
+    found = []
+    for name, each in zip("abc", orders, strict=True):
+        pixel_tables(spark, tmp_path / name, [each])
+        found.append([tuple(r) for r in QUERIES["tile_checksum"](spark, str(tmp_path / name)).collect()])
+    assert found[0] == found[1] == found[2]
