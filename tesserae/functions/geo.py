@@ -13,6 +13,8 @@ _N = FLAT / (2 - FLAT)
 _RADIUS = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
 _BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+#: Steps of the inverse: 3 within a zone, 10 as far out as the series has one inverse.
+NEWTON = 10
 _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 
 
@@ -48,6 +50,18 @@ def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
     return EAST0 + K0 * _RADIUS * x, F.when(lat < 0, NORTH0).otherwise(0.0) + K0 * _RADIUS * y
 
 
+def _step(s: Column, _: Column) -> Column:
+    """A complex Newton step to the point (a, b) that the forward series takes to (xi, eta)."""
+    a, b = s["a"], s["b"]
+    f, g, p, q = a - s["xi"], b - s["eta"], F.lit(1.0), F.lit(0.0)
+    for j, k in enumerate(_ALPHA, 1):
+        sin, cos, sinh, cosh = F.sin(2 * j * a), F.cos(2 * j * a), F.sinh(2 * j * b), F.cosh(2 * j * b)
+        f, g = f + k * sin * cosh, g + k * cos * sinh
+        p, q = p + 2 * j * k * cos * cosh, q - 2 * j * k * sin * sinh
+    size = p * p + q * q
+    return F.struct((a - (f * p + g * q) / size).alias("a"), (b - (g * p - f * q) / size).alias("b"), s["xi"].alias("xi"), s["eta"].alias("eta"))
+
+
 def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
     """Latitude and longitude."""
     xi = (y - F.when(south, NORTH0).otherwise(0.0)) / (K0 * _RADIUS)
@@ -56,6 +70,9 @@ def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column,
     for j, k in enumerate(_BETA, 1):
         a = a - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         b = b - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    # far outside a zone the inverse series fails, so its result only begins Newton's steps on to_utm()'s own
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.struct(a.alias("a"), b.alias("b"), xi.alias("xi"), eta.alias("eta")), _step)
+    a, b = at["a"], at["b"]
     chi = F.asin(F.sin(a) / F.cosh(b))
     phi = chi
     for j, d in enumerate(_DELTA, 1):
@@ -63,6 +80,11 @@ def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column,
     return F.degrees(phi), zone * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a)))
 
 
+def same_turn(lon: Column, at: Column) -> Column:
+    """The same meridian in the turn of `at`: whole turns are lost in a projection, and are all that is added."""
+    return lon + 360 * F.rint((at - lon) / 360)
+
+
 def snapped(x: Column, step: float) -> Column:
     """Nearest multiple, halves to even."""
     return F.rint(x / step) * step

@@ -58,3 +58,19 @@ def test_tile_checksums_do_not_depend_on_the_order_of_a_sum(spark, tmp_path):
         pixel_tables(spark, tmp_path / name, [each])
         found.append([tuple(r) for r in QUERIES["tile_checksum"](spark, str(tmp_path / name)).collect()])
     assert found[0] == found[1] == found[2]
+
+
+def test_utm_keeps_the_turn_of_its_longitudes(spark, tmp_path):
+    # cells of 60 times the customers reach several turns
+    spark.range(0, 900000, 8111).selectExpr("id AS c_custkey", "0.0D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(5).selectExpr("id AS o_custkey", "1.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {r[0]: r[1:] for r in engine(tmp_path, "customer", "orders").execute(f"SELECT cell_id, x, y, lat, lon FROM ({SQL['geo_utm']})").fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in QUERIES["geo_utm"](spark, str(tmp_path)).select("cell_id", "x", "y", "lat", "lon").collect()}
+    assert got.keys() == want.keys() and max(x[3] for x in want.values()) > 720
+    sure = 0
+    for k, x in got.items():
+        lat, lon = math.radians(want[k][2]), want[k][3]
+        if math.atanh(abs(math.cos(lat) * math.sin(math.radians(lon - 177)))) < 3.3 or lon < 177:  # nearer to the pole of the projection, its series has several inverses
+            assert x == pytest.approx(want[k], rel=1e-9, abs=0.0011), k
+            sure += 1
+    assert sure > 100
