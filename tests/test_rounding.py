@@ -74,3 +74,8 @@ def test_utm_keeps_the_turn_of_its_longitudes(spark, tmp_path):
             assert x == pytest.approx(want[k], rel=1e-9, abs=0.0011), k
             sure += 1
     assert sure > 100
+
+
+def test_tile_names_are_never_cut(spark, tmp_path):
+    pixel_tables(spark, tmp_path, [[1.0]] * 5000)
+    assert QUERIES["tile_id"](spark, str(tmp_path)).count() == 5000
