@@ -51,6 +51,8 @@ BUCKET_BYTES, TASK_PIECES = 32 << 20, 250_000
 HEAVY, HOT_LEAST, HOT_MOST = 1024, 64, 100_000
 #: Hot anchors that are broadcast; more are met in a shuffle.
 HOT_KEYS = 1 << 20
+#: Spans of hot pieces that a task holds to combine them by document.
+SPAN_ROWS = 1 << 20
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,6 +334,21 @@ def spans_of(docs: np.ndarray, windows: np.ndarray, early: np.ndarray, begins: n
     return pa.record_batch([pa.array(np.repeat(docs[who], each)), pa.array(begin + np.repeat(offset[first], each)), pa.array(begin + np.repeat(offset[last], each) + length)], names=["doc_id", "start", "end"])
 
 
+def by_document(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Spans (doc_id, start, end) as a row a document (doc_id, spans), those that meet as one."""
+    doc, start, end = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    changes = np.concatenate([[True], doc[1:] != doc[:-1]])
+    base = (np.cumsum(changes) - 1) * (int(end.max()) + 1)  # so that a document's places are beyond those of the one before
+    upto = np.maximum.accumulate(end + base)
+    first = np.flatnonzero(changes | np.concatenate([[True], (start + base)[1:] > upto[:-1]]))
+    last = np.append(first[1:], len(doc)) - 1
+    edges = np.append(np.flatnonzero(changes[first]), len(first)).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array((upto - base)[last])], names=["start", "end"])
+    return pa.record_batch([pa.array(doc[changes]), pa.ListArray.from_arrays(pa.array(edges), spans)], names=["doc_id", "spans"])
+
+
 def collections(batches):
     """Tables of whole anchors, of about COLLECTION rows, from a task's batches."""
     held = [b for b in batches if b.num_rows]
@@ -383,7 +400,7 @@ def repeated_spans(found: DataFrame, n_pieces: int, length: int) -> DataFrame:
 
 
 def hot_spans(ws: Workspace, held: DataFrame, length: int) -> DataFrame:
-    """Spans of the hot pieces' rows (key, piece, docs, starts)."""
+    """(doc_id, spans) of the hot pieces' rows (key, piece, docs, starts), a row a document and task, or SPAN_ROWS spans of it."""
     alike = held.groupBy("key", "piece").agg(F.min(F.array_min("docs")).alias("least"), F.max(F.array_max("docs")).alias("latest"), F.count(F.lit(1)).alias("n"))
 
     @tidy
@@ -398,6 +415,7 @@ def hot_spans(ws: Workspace, held: DataFrame, length: int) -> DataFrame:
 
     @tidy
     def spans(batches):
+        kept, n = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256)
@@ -405,17 +423,27 @@ def hot_spans(ws: Workspace, held: DataFrame, length: int) -> DataFrame:
                 windows = pc.list_value_length(early).to_numpy(zero_copy_only=False).astype(np.int64)
                 docs, start = rows.column("docs").flatten(), rows.column("starts").flatten()
                 own = np.repeat(np.arange(rows.num_rows), counts)
-                yield spans_of(docs.to_numpy(), windows[own], early.flatten().to_numpy(), (np.cumsum(windows) - windows)[own], start, pa.nulls(len(docs), _LISTS), length)
+                kept.append(spans_of(docs.to_numpy(), windows[own], early.flatten().to_numpy(), (np.cumsum(windows) - windows)[own], start, pa.nulls(len(docs), _LISTS), length))
+                n += kept[-1].num_rows
+                if n >= SPAN_ROWS:
+                    yield by_document(kept)
+                    kept, n = [], 0
+        if n:
+            yield by_document(kept)
 
     n_rows = held.count()
     known = ws.save(dealt(alike, "key", n_rows).mapInArrow(judge, "piece binary, early array<long>, n long"), "hot_judged")
     met = lookup(held.select("piece", "docs", "starts"), known, "piece", "n", n_rows).where("early is not null")
-    return met.select("docs", "starts", "early").mapInArrow(spans, "doc_id long, start long, end long")
+    return met.select("docs", "starts", "early").mapInArrow(spans, "doc_id long, spans array<struct<start: long, end: long>>")
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, n_spans, kept) of the documents that lose bytes; `kept` is the bytes that stay."""
-    lost = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """(doc_id, n_removed, n_spans, kept) of the documents that lose bytes; `kept` is the bytes that stay.
+
+    spans: doc_id with start and end, or with a list of them in `spans`.
+    """
+    alone = F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end")))
+    lost = spans.groupBy("doc_id").agg((F.concat(alone, F.flatten(F.collect_list("spans"))) if "spans" in spans.columns else alone).alias("spans"))
     texts = possible(docs, "doc_id", spans, "doc_id").join(lost, "doc_id")
 
     @tidy
@@ -465,7 +493,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     found = ws.save(repeated_spans(pieces(rows, flagged, length), n_pieces, length), "found")
     spans = found.where("doc_id is not null").select("doc_id", "start", "end")
     if n_hot:
-        spans = ws.save(spans.unionByName(hot_spans(ws, found.where("doc_id is null").select("key", "piece", "docs", "starts"), length)), "spans")
+        spans = ws.save(spans.unionByName(hot_spans(ws, found.where("doc_id is null").select("key", "piece", "docs", "starts"), length), allowMissingColumns=True), "spans")
     ws.drop("shared")
     left = cut(rows, spans).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("left_sha256")).dropDuplicates(["doc_id"])
     empty = hashlib.sha256(b"").hexdigest()

@@ -249,6 +249,30 @@ def test_collections_are_whole_anchors(monkeypatch, size):
     assert list(suffix.collections(iter(b.slice(0, 0) for b in batches))) == []
 
 
+def test_spans_of_hot_pieces_are_combined_by_document(copies_df, copies, monkeypatch):
+    """A task makes no more rows than it has documents, however many pieces they share."""
+    monkeypatch.setattr(suffix, "HOT_LEAST", 2)
+    monkeypatch.setattr(suffix, "HEAVY", 10**9)
+    seen, plain = [], suffix.hot_spans
+    monkeypatch.setattr(suffix, "hot_spans", lambda *a: seen.append(plain(*a)) or seen[-1])
+    assert rows(suffix_dedup(copies_df)) == brute_spans(copies, 50)
+    made = seen[0].groupBy(F.spark_partition_id(), "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("spans")).alias("spans")).collect()
+    assert made and {r.n for r in made} == {1}
+    assert any(r.spans > 1 for r in made)
+
+
+def test_spans_that_meet_are_one():
+    draw = random.Random(8)
+    each = [(draw.randrange(-3, 3), a := draw.randrange(300), a + draw.randrange(1, 20)) for _ in range(90)]
+    want = {d: {i for x, a, b in each if x == d for i in range(a, b)} for d, _, _ in each}
+    held = [pa.record_batch([pa.array(x) for x in zip(*part, strict=True)], names=["doc_id", "start", "end"]) for part in (each[:40], each[40:])]
+    got = suffix.by_document(held).to_pydict()
+    assert got["doc_id"] == sorted(want)
+    for d, spans in zip(got["doc_id"], got["spans"], strict=True):
+        assert {i for s in spans for i in range(s["start"], s["end"])} == want[d]
+        assert all(a["end"] < b["start"] for a, b in zip(spans, spans[1:]))
+
+
 def test_transform_like_sorted_suffixes():
     """The column-wise transform against suffixes that are sorted outright."""
     rng = np.random.default_rng(9)
