@@ -2,7 +2,8 @@
 
 Each round inserts one more symbol of every document, read from its end: round r adds the
 suffixes of length r.  The transform and the lengths of common prefixes of neighbouring
-suffixes lie in external files that each round reads and writes from start to end.
+suffixes lie in external files that each round reads and writes from start to end.  A symbol
+is a byte, or several at once (wider()), which takes as many times fewer rounds.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tesserae.llm.common import task_folder
 
 
 class _Files:
-    """Transform and prefix lengths, a byte a suffix each; a round reads one pair of files and writes the other.
+    """Transform (a symbol a suffix) and prefix lengths (a byte); a round reads one pair of files and writes the other.
 
     Files stay open and are written over from the start: each is longer than what it held
     before, so nothing is cut off, which would make the file system write it out at once.
@@ -27,20 +28,20 @@ class _Files:
 
     def __init__(self, folder: str):
         self.pairs = [[open(os.path.join(folder, f"{n}{i}"), "w+b", buffering=0) for n in ("bwt", "lcp")] for i in (0, 1)]
-        self.rows = 0
+        self.rows, self.types = 0, []
 
     def write(self, *columns: np.ndarray) -> None:
         self.pairs.reverse()
-        self.rows = len(columns[0])
+        self.rows, self.types = len(columns[0]), [c.dtype for c in columns]
         for out, column in zip(self.pairs[0], columns, strict=True):
             out.seek(0)
             out.write(column.data)
 
     def read(self) -> list[np.ndarray]:
-        columns = [np.empty(self.rows, np.uint8) for _ in self.pairs[0]]
+        columns = [np.empty(self.rows, t) for t in self.types]
         for source, column in zip(self.pairs[0], columns, strict=True):
             source.seek(0)
-            if source.readinto(column.data) != self.rows:
+            if source.readinto(column.data) != column.nbytes:
                 raise OSError("a file of the transform is short")
         return columns
 
@@ -50,8 +51,11 @@ class _Files:
 
 
 def _by_symbol(bwt: np.ndarray) -> np.ndarray:
-    """Rows in stable order of their symbol: Arrow counts bytes, in a third of numpy's time."""
-    return pc.array_sort_indices(pa.array(bwt)).to_numpy().view(np.int64)
+    """Rows in stable order of their symbol: Arrow counts bytes, in a third of numpy's time; numpy sorts two bytes by digits."""
+    if bwt.dtype == np.uint8:
+        return pc.array_sort_indices(pa.array(bwt)).to_numpy().view(np.int64)
+    low = np.argsort(bwt.astype(np.uint16), kind="stable")
+    return low if bwt.dtype == np.uint16 else low[np.argsort((bwt >> 16).astype(np.uint16)[low], kind="stable")]
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -71,17 +75,41 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def wider(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of all documents with `step` bytes a symbol, as documents for transform(): symbols, starts, sizes.
+
+    A document becomes `step` documents, the one numbered k without its last k bytes, each cut
+    into symbols from its end: its suffix of n symbols is the document's last n * step + k bytes
+    without the last k.  So every place begins one suffix, and suffixes share n symbols where
+    they share n * step bytes.  Symbols are numbers of the different byte strings, so their order
+    isn't that of bytes; any order puts suffixes that share symbols together.
+    """
+    if step == 1:
+        return data, starts, sizes
+    less = np.tile(np.arange(step), len(sizes))
+    ends = np.repeat(starts + sizes, step) - less
+    counts = (np.repeat(sizes, step) - less) // step
+    begins = np.cumsum(counts) - counts
+    at = np.repeat(ends - step * (counts + begins), counts) + step * np.arange(int(counts.sum()))
+    packed = np.zeros(len(at), np.uint64)
+    for i in range(step):
+        packed = packed << np.uint64(8) | data[at + i]
+    coded = pa.array(packed).dictionary_encode()
+    n = len(coded.dictionary)
+    return coded.indices.to_numpy().astype(np.uint8 if n < 0xFF else np.uint16 if n < 0xFFFF else np.uint32), begins, counts
+
+
 def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Transform and prefix lengths (at most `cap`) of all suffixes in order.
 
-    data: bytes of all documents, none of them 0xFF; a document is data[start : start + size].
-    Symbols are bytes plus one, and 0 where a suffix is its whole document.  The first rows
+    data: symbols of all documents, none of them the greatest of its unsigned type; a document
+    is data[start : start + size].  The transform has them plus one, and 0 where a suffix is its whole document.  The first rows
     are the empty suffixes, by document.  `cap` is at most 255.
     """
     m = len(sizes)
     ends = starts + sizes
     with tempfile.TemporaryDirectory(dir=task_folder()) as folder, contextlib.closing(_Files(folder)) as held:
-        first = np.where(sizes > 0, data[np.maximum(ends - 1, 0)].astype(np.int64) + 1, 0).astype(np.uint8)
+        first = np.where(sizes > 0, data[np.maximum(ends - 1, 0)].astype(np.int64) + 1, 0).astype(data.dtype)
         held.write(first, np.zeros(m, np.uint8))
         docs, rows = np.arange(m), np.arange(m)  # documents that go on, and where their last suffix is
         done = 0
@@ -96,7 +124,7 @@ def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int)
             order = _by_symbol(bwt)
             whole = int(np.count_nonzero(bwt == 0))
             # the last suffixes are in ascending rows, so the same sort puts them in their order among all
-            by = np.argsort(bwt[rows], kind="stable")
+            by = _by_symbol(bwt[rows])
             last = np.zeros(len(bwt), bool)
             last[rows] = True
             docs, rows, near = docs[by], rows[by], np.flatnonzero(last[order])
@@ -112,7 +140,7 @@ def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int)
             prefix[ok], follows[more] = np.split(shared, [np.count_nonzero(ok)])
             fresh = np.ones(len(bwt) + len(at), bool)
             fresh[at] = False
-            new_bwt, new_lcp = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8)
+            new_bwt, new_lcp = np.empty(len(fresh), bwt.dtype), np.empty(len(fresh), np.uint8)
             new_bwt[fresh], new_lcp[fresh] = bwt, lcp
             left = ends[docs] - done - 1
             new_bwt[at] = np.where(sizes[docs] > done, data[np.maximum(left, 0)].astype(np.int64) + 1, 0)

@@ -43,8 +43,16 @@ from tesserae.llm.shingles import BASE, BYTE, mix, powers
 
 LENGTH, ANCHOR = 50, 16
 PORTION = 4 << 20  # bytes of text at once; below 1 << 22 and a text more
+#: Bytes of text whose hashes are worked on at once, or one text.
+CACHED_BYTES = 1 << 17
+#: Bytes of text whose pieces are cut at once, or one text; and rows of shared anchors that go out together.
+CUT_BYTES, OUT_ROWS = 1 << 19, 1 << 16
+#: Anchors that a task holds to pack them by bucket.
+PACK_ROWS = 1 << 20
 #: Pieces of a collection: its arrays then stay in a core's cache.
 COLLECTION = 12_000
+#: Bytes of a symbol of the transform at most; the most that divide `length` are taken.
+SYMBOL = 5
 #: Bytes of text whose anchors a task of step 2 gathers, and pieces that a task of step 3 gets.
 BUCKET_BYTES, TASK_PIECES = 32 << 20, 250_000
 #: Share of all pieces, and pieces at least, from which an anchor is hot, and pieces from which it always is.
@@ -64,9 +72,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
         return none
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(BASE, n))])
     h = mix((sums[anchor:] - sums[:-anchor]) * powers(pow(BASE, -1, 2**64), n)[: n - anchor + 1])
-    bits = max(n.bit_length(), 1)
-    low = np.uint64((1 << bits) - 1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
+    # half of the hash decides, however much is read at once, and of equal ones the first
+    low = np.uint64((1 << 32) - 1)
+    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -86,6 +94,18 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     return h[at[first]], windows[first], np.diff(np.append(first, len(at)))
 
 
+def anchors_of_all(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchors() of texts that lie end to end, some at a time, so that its arrays stay in a core's cache."""
+    found, lo = [], 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CACHED_BYTES, "right")))
+        base = starts[lo]
+        h, first, count = anchors(data[base : ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base, length, anchor)
+        found.append((h, first + base, count))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _portions(batch: pa.RecordBatch):
     """(doc_ids, data, starts, ends) of some whole texts at a time."""
     held, ids, size = [], [], 0
@@ -111,25 +131,35 @@ PACKED = "bucket int, keys binary, docs binary, locs binary"
 
 
 def packed_anchors(docs: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
-    """Anchors of all pieces, a row for each portion of texts and bucket: key, doc_id and place << 8 | windows."""
+    """Anchors of all pieces, a row for each bucket and PACK_ROWS of them or a task's rest: key, doc_id and place << 8 | windows."""
+
+    def packed(held):
+        h, docs, locs = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, docs, locs, bucket = h[order], docs[order], locs[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        column = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+        return pa.record_batch([pa.array(bucket[cuts[:-1]].astype(np.int32)), column(h), column(docs), column(locs)], names=["bucket", "keys", "docs", "locs"])
 
     @tidy
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for ids, data, starts, ends in _portions(batch):
-                h, first, count = anchors(data, starts, ends, length, anchor)
+                h, first, count = anchors_of_all(data, starts, ends, length, anchor)
                 if not len(h):
                     continue
                 own = np.searchsorted(starts, first, "right") - 1
                 # texts may be empty: the last that starts here holds the window
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, own, first, count, bucket = h[order], own[order], first[order], count[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                docs, locs = ids[own], (first - starts[own]) << 8 | count
-                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-                column = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())  # noqa: B023,E731
-                yield pa.record_batch([pa.array(bucket[cuts[:-1]].astype(np.int32)), column(h), column(docs), column(locs)], names=["bucket", "keys", "docs", "locs"])
+                held.append((h, ids[own], (first - starts[own]) << 8 | count))
+                n += len(h)
+                if n >= PACK_ROWS:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     return docs.mapInArrow(run, PACKED)
 
@@ -168,12 +198,24 @@ def shared_anchors(packed: DataFrame) -> DataFrame:
             wanted = key[lo < hi]
             del parts, key, lo, hi
             spill.seek(0)
+            # entries shrink as buckets grow in number, batches must not
+            found, rows = [], 0
+
+            def out():
+                return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["key", "doc_id", "loc"])
+
             for size in sizes:
                 keys, docs, locs = (np.frombuffer(spill.read(size), t) for t in (np.uint64, np.int64, np.int64))
                 at = np.minimum(np.searchsorted(wanted, keys), max(len(wanted) - 1, 0))
                 ok = wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)
                 if ok.any():
-                    yield pa.record_batch([pa.array(keys[ok].view(np.int64)), pa.array(docs[ok]), pa.array(locs[ok])], names=["key", "doc_id", "loc"])
+                    found.append((keys[ok].view(np.int64), docs[ok], locs[ok]))
+                    rows += len(found[-1][0])
+                    if rows >= OUT_ROWS:
+                        yield out()
+                        found, rows = [], 0
+            if found:
+                yield out()
 
     return packed.repartition(F.col("bucket")).mapInArrow(run, "key long, doc_id long, loc long")
 
@@ -184,6 +226,13 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return data[np.repeat(starts - begins, sizes) + np.arange(int(sizes.sum()))], begins
 
 
+def strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes data[starts : starts + sizes] end to end, for sizes that differ little: by rows of the greatest."""
+    most = int(sizes.max())
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(most, np.uint8)), most)[starts]
+    return rows.ravel() if (sizes == most).all() else rows[np.arange(most) < sizes[:, None]]
+
+
 PIECES = "key long, slot long, doc_id long, start long, more array<long>, piece binary, docs array<long>"
 _LISTS = pa.list_(pa.int64())
 _PIECES = pa.schema([("key", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("more", _LISTS), ("piece", pa.binary()), ("docs", _LISTS)])
@@ -212,14 +261,18 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("loc", "key", "hot")).alias("found"))
     texts = possible(docs, "doc_id", shared, "doc_id").join(wanted, "doc_id")
 
-    def cold(doc_id: int, key: np.ndarray, start: np.ndarray, piece: pa.Array) -> pa.RecordBatch:
-        unique, order, first, counts = places_of(piece)
-        more = pa.nulls(len(piece), _LISTS)
-        if len(unique) < len(piece):
-            rest = np.delete(order, first)
-            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts - 1)).astype(np.int32)), pa.array(start[rest]), mask=pa.array(counts == 1))
-            piece, key, start = unique, key[order[first]], start[order[first]]
-        return pa.record_batch([pa.array(key), pa.array(key), pa.array(np.full(len(piece), doc_id, np.int64)), pa.array(start), more, piece, pa.nulls(len(piece), _LISTS)], schema=_PIECES)
+    def cold(doc: np.ndarray, key: np.ndarray, start: np.ndarray, piece: pa.Array) -> pa.RecordBatch:
+        coded = piece.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        order = np.lexsort((which, doc))  # stably
+        new = np.concatenate([[True], (np.diff(which[order]) != 0) | (np.diff(doc[order]) != 0)])
+        first = order[new]
+        more = pa.nulls(len(first), _LISTS)
+        if len(first) < len(order):
+            counts = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(start[order[~new]]), mask=pa.array(counts == 0))
+        piece, key = coded.dictionary.take(pa.array(which[first])), pa.array(key[first])
+        return pa.record_batch([key, key, pa.array(doc[first]), pa.array(start[first]), more, piece, pa.nulls(len(first), _LISTS)], schema=_PIECES)
 
     def hot(held: list[tuple]) -> pa.RecordBatch:
         docs, key, start, piece = (np.concatenate([h[i] for h in held]) if i < 3 else pa.concat_arrays([h[i] for h in held]) for i in range(4))
@@ -231,26 +284,38 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
         docs, starts = (pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (docs, start))
         return pa.record_batch([pa.array(key), pa.array(slot), none, none, starts, unique, docs], schema=_PIECES)
 
+    def portions(batch: pa.RecordBatch):
+        """Rows of the batch whose texts have CUT_BYTES bytes together, or one, with those texts."""
+        lo, held, size = 0, [], 0
+        for i, t in enumerate(batch.column(1)):
+            held.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size >= CUT_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(lo, i + 1 - lo), held
+                lo, held, size = i + 1, [], 0
+
     @tidy
     def run(batches):
         for batch in batches:
             held = []
-            for i in range(batch.num_rows):
-                doc_id = batch.column(0)[i].as_py()
-                data = np.frombuffer((batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                found = batch.column(2)[i].values
+            for rows, encoded in portions(batch):
+                found = rows.column(2)
+                own = np.repeat(np.arange(rows.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64))
+                found = found.flatten()
                 loc, key = found.field("loc").to_numpy(), found.field("key").to_numpy()
                 apart = found.field("hot").to_numpy(zero_copy_only=False)
+                ends = np.cumsum([len(t) for t in encoded])
+                begins = np.concatenate([[0], ends[:-1]])
+                doc, data = rows.column(0).to_numpy()[own], np.frombuffer(b"".join(encoded), np.uint8)
                 for at in (~apart, apart):
                     if not at.any():
                         continue
                     start, sizes = loc[at] >> 8, (loc[at] & 255) + length - 1
-                    bytes_, begins = gathered(data, start, sizes)
-                    piece = binary(bytes_, np.append(begins, len(bytes_)))
+                    piece = binary(strings(data, begins[own[at]] + start, sizes), np.append(0, np.cumsum(sizes)))
                     if at is apart:
-                        held.append((np.full(len(start), doc_id, np.int64), key[at], start, piece))
+                        held.append((doc[at], key[at], start, piece))
                     else:
-                        yield cold(doc_id, key[at], start, piece)
+                        yield cold(doc[at], key[at], start, piece)
             if held:
                 yield hot(held)
 
@@ -259,18 +324,21 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
 
 def earliest(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Earliest document of every window of the different pieces, end to end, and where each piece's begin."""
-    symbols, prefix = bwt.transform(data, starts, sizes, length)
-    owner, suffix = bwt.places(symbols, sizes)
-    at = np.flatnonzero(suffix >= length)
+    step = max(g for g in range(1, SYMBOL + 1) if length % g == 0)
+    wide, at, counts = bwt.wider(data, starts, sizes, step)
+    symbols, prefix = bwt.transform(wide, at, counts, length // step)
+    owner, suffix = bwt.places(symbols, counts)
+    at = np.flatnonzero(suffix >= length // step)
     # a shorter suffix between two of these rows shares less with both, so rows next to each other decide
-    new = prefix[at] < length
+    new = prefix[at] < length // step
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    least = np.minimum.reduceat(docs[owner[at]], first) if len(first) else np.zeros(0, np.int64)
+    owner, less = owner[at] // step, owner[at] % step
+    least = np.minimum.reduceat(docs[owner], first) if len(first) else np.zeros(0, np.int64)
     windows = sizes - length + 1
     begins = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), np.int64)
-    out[begins[owner[at]] + sizes[owner[at]] - suffix[at]] = least[group]
+    out[begins[owner] + sizes[owner] - less - suffix[at] * step] = least[group]
     return out, begins
 
 

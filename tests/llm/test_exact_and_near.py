@@ -295,3 +295,75 @@ def test_suffix_dedup_at_the_edges(docs, no_docs):
     assert sorted({r for r in got if r[0] is not None}, key=repr) == brute_spans(named, 50)
     assert all(r[2] == 0 for r in got if r[0] is None)
     assert rows(suffix_dedup(no_docs)) == []
+
+
+@pytest.mark.parametrize("length", [50, 44, 23])
+@pytest.mark.parametrize("letters", [2, 26, 200])
+def test_earliest_with_symbols_of_several_bytes(length, letters):
+    """Rounds are a symbol each, and every window finds the earliest document of its string."""
+    rng = np.random.default_rng(length)
+    whole = rng.integers(0, letters, 3000).astype(np.uint8)
+    sizes = rng.integers(length, 85, 70)
+    at = rng.integers(0, 400, 70)
+    data = np.concatenate([whole[a : a + n] for a, n in zip(at, sizes, strict=True)])
+    starts, docs = np.cumsum(sizes) - sizes, rng.integers(0, 1000, 70)
+    least = {}
+    for s, n, d in zip(starts, sizes, docs, strict=True):
+        for p in range(s, s + n - length + 1):
+            key = data[p : p + length].tobytes()
+            least[key] = min(d, least.get(key, d))
+    early, begins = suffix.earliest(data, starts, sizes, docs, length)
+    for s, n, b in zip(starts, sizes, begins, strict=True):
+        assert early[b : b + n - length + 1].tolist() == [least[data[p : p + length].tobytes()] for p in range(s, s + n - length + 1)]
+
+
+def test_rounds_of_the_transform_follow_its_symbols(monkeypatch):
+    rounds, plain = [], bwt._Files.read
+    monkeypatch.setattr(bwt._Files, "read", lambda self: rounds.append(1) or plain(self))
+    data = np.random.default_rng(1).integers(97, 123, 84 * 30).astype(np.uint8)
+    suffix.earliest(data, np.arange(30) * 84, np.full(30, 84), np.arange(30), 50)
+    assert len(rounds) <= 84 // 5 + 2
+
+
+@pytest.mark.parametrize("greatest", [200, 60_000, 100_000])
+def test_transform_of_wide_symbols(greatest):
+    rng = np.random.default_rng(3)
+    docs = [rng.choice([1, 2, 3, greatest - 1, greatest], rng.integers(0, 12)).tolist() for _ in range(60)]
+    data = np.array([x for d in docs for x in d], np.uint8 if greatest < 255 else np.uint16 if greatest < 65535 else np.uint32)
+    sizes = np.array([len(d) for d in docs])
+    owner, length = bwt.places(bwt.transform(data, np.cumsum(sizes) - sizes, sizes, 20)[0], sizes)
+    order = sorted(((d[len(d) - n :], i) for i, d in enumerate(docs) for n in range(len(d) + 1)), key=lambda x: ([*x[0], 0], x[1]))
+    assert [(docs[i][len(docs[i]) - n :], i) for i, n in zip(owner.tolist(), length.tolist(), strict=True)] == order
+
+
+class Lone:
+    """A frame of which only the task function is wanted."""
+
+    def repartition(self, _):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_packed_anchors_follow_the_text_and_not_its_batches(spark):
+    """Rows are one for each bucket, not for each batch and bucket, and shared anchors go out together."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("abcdefgh ", k=400)) for _ in range(60)]
+    batches = [pa.record_batch([pa.array([i, i + 1000]), pa.array([t, t])], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    packed = list(suffix.packed_anchors(Lone(), 16, 50, 16)(iter(batches)))
+    assert sum(b.num_rows for b in packed) == 16
+    shared = list(suffix.shared_anchors(Lone())(iter(packed)))
+    assert len(shared) == 1 and set(shared[0].column("doc_id").to_pylist()) == {*range(60), *range(1000, 1060)}
+
+
+def test_anchors_of_all_are_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(suffix, "CACHED_BYTES", 150)
+    rng = np.random.default_rng(5)
+    sizes = rng.choice([0, 20, 49, 50, 51, 90, 400], 60)
+    data, ends = rng.integers(97, 100, sizes.sum()).astype(np.uint8), np.cumsum(sizes)
+    found = zip(*(x.tolist() for x in suffix.anchors_of_all(data, ends - sizes, ends, 50, 16)), strict=True)
+    want = []
+    for a, n in zip((ends - sizes).tolist(), sizes.tolist(), strict=True):
+        want += [(h, first + a, count) for h, first, count in zip(*(x.tolist() for x in suffix.anchors(data[a : a + n], np.zeros(1, np.int64), np.array([n]), 50, 16)), strict=True)]
+    assert sorted(found) == sorted(want)
