@@ -37,12 +37,17 @@ def utm_epsg(lat: Column, lon: Column) -> Column:
     return F.when(lat >= 0, 32600).otherwise(32700) + utm_zone(lon)
 
 
-def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing by Krueger's series in the third flattening."""
+def _on_sphere(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """The transverse Mercator projection of the conformal latitude, from which Krueger's series starts."""
     e = 2 * math.sqrt(_N) / (1 + _N)
     phi, dl = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    return F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+
+
+def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing by Krueger's series in the third flattening."""
+    xi, eta = _on_sphere(lat, lon, zone)
     x, y = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
@@ -59,20 +64,35 @@ def _step(s: Column, _: Column) -> Column:
         f, g = f + k * sin * cosh, g + k * cos * sinh
         p, q = p + 2 * j * k * cos * cosh, q - 2 * j * k * sin * sinh
     size = p * p + q * q
-    return F.struct((a - (f * p + g * q) / size).alias("a"), (b - (g * p - f * q) / size).alias("b"), s["xi"].alias("xi"), s["eta"].alias("eta"))
+    moved = F.struct((a - (f * p + g * q) / size).alias("a"), (b - (g * p - f * q) / size).alias("b"), s["xi"].alias("xi"), s["eta"].alias("eta"))
+    return F.when(F.abs(b) == float("inf"), s).otherwise(moved)  # the pole is endlessly far, and no step leaves it
+
+
+def one_to_one(lat: Column, lon: Column, zone: Column) -> Column:
+    """Whether the series has one inverse here: its derivative has a positive real part as far from the meridian, and nearer to it."""
+    eta = _on_sphere(lat, lon, zone)[1]
+    return sum((2 * j * a * F.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1)), F.lit(0.0)) < 1
+
 
+def from_utm(x: Column, y: Column, zone: Column, south: Column, at: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """Latitude and longitude.
 
-def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """Latitude and longitude."""
+    By the pole of the projection the series takes several places to one point, which no point
+    can tell apart.  `at`, a latitude and longitude, says which is meant: that which Newton's
+    steps reach from there.  It is used only where the series isn't one_to_one().
+    """
     xi = (y - F.when(south, NORTH0).otherwise(0.0)) / (K0 * _RADIUS)
     eta = (x - EAST0) / (K0 * _RADIUS)
     a, b = xi, eta
     for j, k in enumerate(_BETA, 1):
         a = a - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         b = b - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    if at is not None:
+        sure, (near_a, near_b) = one_to_one(*at, zone), _on_sphere(*at, zone)
+        a, b = F.when(sure, a).otherwise(near_a), F.when(sure, b).otherwise(near_b)
     # far outside a zone the inverse series fails, so its result only begins Newton's steps on to_utm()'s own
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.struct(a.alias("a"), b.alias("b"), xi.alias("xi"), eta.alias("eta")), _step)
-    a, b = at["a"], at["b"]
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.struct(a.alias("a"), b.alias("b"), xi.alias("xi"), eta.alias("eta")), _step)
+    a, b = last["a"], last["b"]
     chi = F.asin(F.sin(a) / F.cosh(b))
     phi = chi
     for j, d in enumerate(_DELTA, 1):

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import geo
 from tesserae.plans import catalogue, registry
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -79,3 +80,19 @@ def test_utm_keeps_the_turn_of_its_longitudes(spark, tmp_path):
 def test_tile_names_are_never_cut(spark, tmp_path):
     pixel_tables(spark, tmp_path, [[1.0]] * 5000)
     assert QUERIES["tile_id"](spark, str(tmp_path)).count() == 5000
+
+
+def test_utm_by_the_pole_of_a_projection(spark, tmp_path):
+    """Where the series takes several places to one, the place that it came from; elsewhere the inverse stands alone."""
+    # around the equator, 90 degrees from the meridian 177 of the last zone
+    places = [(lat / 10, 267 + lon / 10) for lat in range(-60, 61, 3) for lon in range(-60, 61, 3)]
+    df = spark.createDataFrame(places, "lat double, lon double").withColumn("zone", geo.utm_zone(F.col("lon")))
+    lat, lon, zone = (F.col(x) for x in ("lat", "lon", "zone"))
+    x, y = geo.to_utm(lat, lon, zone)
+    back = geo.from_utm(x, y, zone, lat < 0, (lat, lon))
+    plain = geo.from_utm(x, y, zone, lat < 0)
+    got = df.select(lat, lon, back[0], geo.same_turn(back[1], lon), plain[0], geo.same_turn(plain[1], lon), geo.one_to_one(lat, lon, zone)).collect()
+    for r in got:
+        assert r[2:4] == pytest.approx(r[:2], abs=1e-6)
+        assert not r[6] or r[4:6] == pytest.approx(r[:2], abs=1e-6)
+    assert (0.0, 267.0) in {tuple(r[:2]) for r in got} and {r[6] for r in got} == {True, False}
