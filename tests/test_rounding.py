@@ -1,7 +1,9 @@
 """Rounding and turns as the independent engine has them, on values where another way differs."""
 
+import hashlib
 import math
 import random
+from fractions import Fraction
 from itertools import accumulate
 
 import duckdb
@@ -61,6 +63,20 @@ def test_tile_checksums_do_not_depend_on_the_order_of_a_sum(spark, tmp_path):
     assert found[0] == found[1] == found[2]
 
 
+def test_tile_checksums_are_those_of_exact_means(spark, tmp_path):
+    """Whatever a sum of doubles makes of means that are exact halves."""
+    draw = random.Random(1)
+    cents = [[draw.randrange(1, 9999999) for _ in range(19)] for _ in range(8)]
+    for each in cents:
+        each.append((1000 - sum(each)) % 2000)  # of 20 prices, so the mean ends in a half
+    pixel_tables(spark, tmp_path, [[x / 100 for x in each] for each in cents])
+    halves = [Fraction(sum(each), 2000) for each in cents]
+    assert all(x.denominator == 2 for x in halves)
+    text = ";".join(f"0,{k},{'null' if k == 5 else (x.numerator + 1) // 2}" for k, x in enumerate(halves))
+    got = [tuple(r) for r in QUERIES["tile_checksum"](spark, str(tmp_path)).select("checksum", "n").collect()]
+    assert got == [(hashlib.sha256(text.encode()).hexdigest(), 8)]
+
+
 def test_utm_keeps_the_turn_of_its_longitudes(spark, tmp_path):
     # cells of 60 times the customers reach several turns
     spark.range(0, 900000, 8111).selectExpr("id AS c_custkey", "0.0D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
